@@ -87,13 +87,13 @@ links as (
   select child as event_id, parent as spot, 1 as depth from links
   union all
   select w.event_id, l.parent, w.depth + 1 from walk w join links l on l.child = w.spot
-  where w.depth <= (select count(*) from links) and w.depth < 3000
+  where w.depth <= 2 * (select count(*) from links)
 ), ends as (
   select event_id, spot, depth from walk where spot not in (select child from links)
 ), looping as (select child from links where child not in (select event_id from ends))
 select event_id, spot as root_id, depth::bigint as depth from ends
 union all
 select event_id, min(spot), -1 from walk
-where event_id in (select child from looping) and depth > 500 group by 1
+where event_id in (select child from looping) and depth > (select count(*) from links) group by 1
 """,
 }
