@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import feeds
+from loomgraph.plans import feeds, graph
 
-FLAGSHIP = "p1_found"
-_MODULES = (feeds,)
+FLAGSHIP = "claim_confidence"
+_MODULES = (graph, feeds)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
