@@ -98,11 +98,6 @@ class Scratch:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; what a broadcast decision checks."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def task_count(df: DataFrame, bytes_per_task: int, least: int | None = None) -> int:
-    """Tasks so that each gets about ``bytes_per_task`` of the plan's output."""
-    floor = least or df.sparkSession.sparkContext.defaultParallelism
-    return max(floor, -(-plan_bytes(df) // bytes_per_task))
+    """The optimizer's size estimate; 0 where it knows none (its default is near 2**63)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
