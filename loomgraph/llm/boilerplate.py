@@ -8,10 +8,10 @@ nodes; lines that match at their ends leave a slot. Each matched shape (leading
 trailing words) is a candidate node of the host's wrapper.
 
 Candidates of all groups are pooled and their support is counted over all pages. A constant
-node is template if enough of the host's pages hold it. Pages without any constant node are
-bare: what occurs on them is article text. A slotted node is template if it is frequent on
-the host's furnished pages and rare on bare pages, of all hosts together; sentence patterns
-and headings of the articles occur on both alike. Lines that are constant template on several
+node is template if enough of the host's pages hold it. Pages without constant nodes are
+bare: what occurs on them is article text. A node, constant or slotted, is template only if it
+is frequent on the host's furnished pages and rare on bare pages, of all hosts together;
+sentence patterns and headings of the articles occur on both alike. Lines that are constant template on several
 hosts and never occur on bare pages are template on every host.
 
 A host with a third of all pages is dealt into many groups; counts are combinable, and the
@@ -34,7 +34,8 @@ GROUP = 24  # pages aligned with one another
 CONSTANT_SUPPORT = 0.15  # share of a host's pages that hold a constant node
 SLOT_SUPPORT = 0.2  # share of a host's furnished pages that hold a slotted node
 BARE_RATIO = 0.1  # a slotted node's greatest rate on bare pages, of its own rate
-LEAST_PAGES = 3
+LEAST_PAGES = 2  # pages with a constant node
+SLOT_PAGES = 3  # pages with a slotted node
 _NUMBER = re.compile(r"\d[\d.,]*")
 _SPLIT = re.compile(r"\s+")
 
@@ -188,6 +189,19 @@ def _wrapper(known: dict[str, Wrapper], host: str, shapes) -> Wrapper:
     return known[host]
 
 
+def _furnished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages that hold constant nodes: two of them where the host has four or more."""
+    wrappers: dict[str, Wrapper] = {}
+    for batch in batches:
+        pages = []
+        for page, host, text, shapes in zip(batch["page"], batch["host"], batch["text"], batch["shapes"], strict=True):
+            wrapper = _wrapper(wrappers, host, shapes)
+            held = {k for _, words in page_lines(text, host) for k in wrapper.match(words)}
+            if len(held) >= (2 if len(wrapper.shapes) >= 4 else 1):
+                pages.append(page)
+        yield pd.DataFrame({"page": pages})
+
+
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The template lines of every page."""
     wrappers: dict[str, Wrapper] = {}
@@ -232,26 +246,29 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     pooled = found.groupBy("host", "head", "tail", "constant").agg(F.sum("n").alias("n")).join(sizes, "host")
     # each page takes part in up to four alignments: support below these shares of the
     # alignments cannot reach the shares of pages asked for
-    pooled, _ = scratch.keep(pooled.where((F.col("n") >= 2) & (F.col("n") >= 0.01 * F.col("pages"))))
+    pooled, _ = scratch.keep(pooled.where((F.col("n") >= 2) | (F.col("pages") < 2 * GROUP)).where(F.col("n") >= 0.01 * F.col("pages")))
     constants = pooled.where("constant").select("host", "head", "tail", "constant")
     support = _counted(proof, constants).join(sizes, "host")
     enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= CONSTANT_SUPPORT * F.col("pages"))
     fixed, _ = scratch.keep(support.where(enough).select("host", "head", "tail", "constant", "n"))
-    furnished = _with_wrapper(proof, fixed).mapInPandas(_strip, "page bigint, line_no int").select("page").distinct()
+    furnished = _with_wrapper(proof, fixed).mapInPandas(_furnished, "page bigint")
     marked = proof.join(furnished.withColumn("has", F.lit(True)), "page", "left")
     marked, _ = scratch.keep(marked.select("page", "host", "text", F.coalesce("has", F.lit(False)).alias("furnished")))
-    # slotted shapes: rates on the host's furnished pages against rates on bare pages
-    slots = pooled.where("not constant").select("host", "head", "tail", "constant")
     totals = marked.groupBy("host").agg(F.count_if("furnished").alias("furnished_pages"))
-    own = _counted(marked.where("furnished"), slots).join(totals, "host")
-    own, _ = scratch.keep(own.where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= SLOT_SUPPORT * F.col("furnished_pages"))))
     bare_pages = marked.where("not furnished")
     lines, _ = scratch.keep(bare_pages.mapInPandas(_lines, LINES).select("page", "line").distinct())
     bare = F.lit(max(1, bare_pages.count()))
+    rare = F.coalesce("bare_n", F.lit(0)) / bare <= BARE_RATIO * F.col("n") / F.greatest(F.lit(1), F.col("furnished_pages"))
+    # frequent headings are constant too, but stand on bare pages as often
+    whole = lines.groupBy(F.col("line").alias("head")).agg(F.count(F.lit(1)).alias("bare_n"))
+    fixed, _ = scratch.keep(fixed.join(totals, "host").join(whole, "head", "left").where(rare).select("host", "head", "tail", "constant", "n"))
+    # slotted shapes: rates on the host's furnished pages against rates on bare pages
+    slots = pooled.where("not constant").select("host", "head", "tail", "constant")
+    own = _counted(marked.where("furnished"), slots).join(totals, "host")
+    own, _ = scratch.keep(own.where((F.col("n") >= SLOT_PAGES) & (F.col("n") >= SLOT_SUPPORT * F.col("furnished_pages"))))
     kinds = own.select("head", "tail").distinct()
-    rated = own.join(_bare_counts(lines, kinds), ["head", "tail"], "left").withColumn("bare_n", F.coalesce("bare_n", F.lit(0)))
-    slotted = rated.where(F.col("bare_n") / bare <= BARE_RATIO * F.col("n") / F.col("furnished_pages"))
-    ranked = slotted.select("host", "head", "tail", "constant", "n", "bare_n").unionByName(
+    slotted = own.join(_bare_counts(lines, kinds), ["head", "tail"], "left").where(rare)
+    ranked = slotted.select("host", "head", "tail", "constant", "n", F.coalesce("bare_n", F.lit(0)).alias("bare_n")).unionByName(
         fixed.select("host", "head", "tail", "constant", "n", F.lit(0).cast("bigint").alias("bare_n"))
     )
     wrapper, _ = scratch.keep(ranked.groupBy("host").applyInPandas(_specific, "host string, head string, tail string, constant boolean"))
