@@ -159,7 +159,8 @@ def apply_changes(changes: DataFrame, buckets: int | None = None) -> DataFrame:
     sequences and any arrival order give the same result; of two inserts with equal
     sequence the larger body wins. An empty feed gives an empty state. Entities that
     were only deleted appear with a null ``entity_kind``, ``insert_seq`` -1 and
-    ``active`` false. ``buckets`` defaults to one per 4 MB of folded changes.
+    ``active`` false. ``buckets`` defaults to one per 32 MB of the feed, at least the session's
+    shuffle partitions.
     """
     folded = fold_deliveries(changes.select(*CHANGE_COLUMNS))
     if buckets is None:
