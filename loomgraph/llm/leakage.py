@@ -4,9 +4,9 @@ The evaluation items form a small inverted index. A passage of a document is sco
 against every item with a BM25 sum over shared terms; an item's weights are divided by
 the least score that any of its runs of ``run`` words gets, so every passage that holds
 such a run scores at least 1 and the retrieval loses nothing. Postings carry block
-maxima. A passage whose terms' maxima cannot reach 1 is skipped unscored, whole blocks
-of passages at a time; the rest go through block-max WAND, which skips items whose
-remaining maxima fall short. Candidates are verified word by word.
+maxima. Passages lie in stretches of words that the index holds; one whose terms' maxima
+cannot reach 1 is skipped unscored, the rest go through block-max WAND, which skips items
+whose remaining maxima fall short. Candidates are verified word by word.
 
 Documents are scanned once and only the pairs found leave the scan: no shuffle of text.
 The index is sent to the tasks only after its size is checked; more items are handled by
@@ -16,6 +16,7 @@ further scans, one per index of bounded size.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from loomgraph.llm.tokens import WORD
 K1, B = 1.2, 0.75
 #: Items per index; one index of this many items of ordinary length is a few MB.
 ITEMS_PER_INDEX = 20_000
-POSTINGS_PER_BLOCK = 64
+POSTINGS_PER_BLOCK = 16
 
 
 class ItemIndex:
@@ -58,12 +59,11 @@ class ItemIndex:
             for w, x in weight.items():
                 postings[w].append((i, x / least * (1 + 1e-9)))
         self.term = {w: t for t, w in enumerate(postings)}
-        self.docs = [np.array([i for i, _ in p], dtype=np.int64) for p in postings.values()]
-        self.impact = [np.array([x for _, x in p]) for p in postings.values()]
-        self.block_max = [
-            np.array([x[s : s + POSTINGS_PER_BLOCK].max() for s in range(0, len(x), POSTINGS_PER_BLOCK)]) for x in self.impact
-        ]
-        self.top = np.array([x.max() for x in self.impact] or [0.0])
+        size = POSTINGS_PER_BLOCK
+        self.docs = [[i for i, _ in p] for p in postings.values()]
+        self.impact = [[x for _, x in p] for p in postings.values()]
+        self.block_max = [[max(x[s : s + size]) for s in range(0, len(x), size)] for x in self.impact]
+        self.top = np.array([max(x) for x in self.impact] or [0.0])
         # runs of term ids per item, for the verification
         self.runs: dict[bytes, list[int]] = defaultdict(list)
         for i, words in enumerate(self.words):
@@ -73,72 +73,74 @@ class ItemIndex:
 
     def retrieve(self, terms: list[int]) -> list[int]:
         """Items that score at least 1 against the distinct terms, by block-max WAND."""
-        lists = [[0, t] for t in terms]
+        docs, impact, blocks, size = self.docs, self.impact, self.block_max, POSTINGS_PER_BLOCK
+        # a cursor: the item it stands at, its place in the postings, the term, its bound
+        cursors = [[docs[t][0], 0, t, float(self.top[t])] for t in terms]
         found = []
-        while lists:
-            lists.sort(key=lambda c: self.docs[c[1]][c[0]])
-            bound, pivot = 0.0, -1
-            for j, (_, t) in enumerate(lists):
-                bound += self.top[t]
+        while cursors:
+            cursors.sort()
+            bound = 0.0
+            for pivot, cursor in enumerate(cursors):  # noqa: B007
+                bound += cursor[3]
                 if bound >= 1.0:
-                    pivot = j
                     break
-            if pivot < 0:
+            else:
                 break
-            at = self.docs[lists[pivot][1]][lists[pivot][0]]
-            while pivot + 1 < len(lists) and self.docs[lists[pivot + 1][1]][lists[pivot + 1][0]] == at:
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
                 pivot += 1
-            blocks = [self._block(c, at) for c in lists[: pivot + 1]]
-            if sum(m for m, _ in blocks) < 1.0:
-                # no item before the nearest block end, or the next list, can reach 1
-                ends = [e for _, e in blocks]
-                beyond = min([*ends, *([self.docs[lists[pivot + 1][1]][lists[pivot + 1][0]]] if pivot + 1 < len(lists) else [])])
-                goal = max(beyond, at + 1)
+            front = cursors[: pivot + 1]
+            beyond = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 62
+            if front[0][0] == at:
+                score = 0.0
+                for _, p, t, _ in front:
+                    score += impact[t][p]
+                if score >= 1.0:
+                    found.append(at)
+                goal = at + 1
             else:
-                if self.docs[lists[0][1]][lists[0][0]] == at:
-                    score = sum(self.impact[t][p] for p, t in lists[: pivot + 1])
-                    if score >= 1.0:
-                        found.append(int(at))
-                    goal = at + 1
-                else:
-                    goal = at
-            for cursor in lists[: pivot + 1]:
-                p, t = cursor
-                if self.docs[t][p] < goal:
-                    cursor[0] = p + int(np.searchsorted(self.docs[t][p:], goal))
-            lists = [c for c in lists if c[0] < len(self.docs[c[1]])]
+                goal, bound, ends = at, 0.0, beyond
+                for _, p, t, _ in front:
+                    p = bisect_left(docs[t], at, p)
+                    if p < len(docs[t]):
+                        block = p // size
+                        bound += blocks[t][block]
+                        ends = min(ends, docs[t][min(len(docs[t]), (block + 1) * size) - 1] + 1)
+                if bound < 1.0:
+                    # nothing before the nearest block end, or the next list, can reach 1
+                    goal = max(ends, at + 1)
+            for cursor in front:
+                if cursor[0] < goal:
+                    listed = docs[cursor[2]]
+                    cursor[1] = bisect_left(listed, goal, cursor[1])
+                    cursor[0] = listed[cursor[1]] if cursor[1] < len(listed) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
         return found
 
-    def _block(self, cursor: list[int], at: int) -> tuple[float, int]:
-        """Block maximum of the list where ``at`` would lie, and the first id past it."""
-        p, t = cursor
-        docs = self.docs[t]
-        p = p + int(np.searchsorted(docs[p:], at))
-        if p == len(docs):
-            return 0.0, int(docs[-1]) + 1
-        b = p // POSTINGS_PER_BLOCK
-        return float(self.block_max[t][b]), int(docs[min(len(docs), (b + 1) * POSTINGS_PER_BLOCK) - 1]) + 1
-
     def leaks(self, text: str) -> list[int]:
         """Positions of the items of which ``run`` consecutive words stand in ``text``."""
         run, term = self.run, self.term
         ids = np.fromiter((term.get(w, -1) for w in WORD.findall(text.lower())), dtype=np.int32)
         if len(ids) < run:
             return []
-        # bounds of all passages at once: a passage is two strides long, so each run of
-        # words lies in one; words outside the index weigh nothing
-        stride = run
-        weight = np.where(ids >= 0, self.top[ids], 0.0)
-        bound = np.add.reduceat(weight, np.arange(0, len(ids), stride))
-        pair = bound[:-1] + bound[1:] if len(bound) > 1 else bound
+        # a leak is a stretch of words that the index all holds; elsewhere nothing can leak
+        held = np.r_[False, ids >= 0, False]
+        turns = np.flatnonzero(held[1:] != held[:-1])
         out: set[int] = set()
-        for k in np.flatnonzero(pair >= 1.0):
-            part = ids[k * stride : (k + 2) * stride]
-            items = set(self.retrieve(sorted({int(t) for t in part if t >= 0})))
-            if not items:
+        for start, end in zip(turns[::2], turns[1::2], strict=True):
+            if end - start < run:
                 continue
-            for s in range(max(1, len(part) - run + 1)):
-                out.update(i for i in self.runs.get(part[s : s + run].tobytes(), ()) if i in items)
+            # bounds of the stretch's passages at once: a passage is two strides long, so
+            # each run of words lies in one
+            part = ids[start:end]
+            bound = np.add.reduceat(self.top[part], np.arange(0, len(part), run))
+            pair = bound[:-1] + bound[1:] if len(bound) > 1 else bound
+            for k in np.flatnonzero(pair >= 1.0):
+                passage = part[k * run : (k + 2) * run]
+                items = set(self.retrieve(sorted({int(t) for t in passage})))
+                if items:
+                    for s in range(len(passage) - run + 1):
+                        out.update(i for i in self.runs.get(passage[s : s + run].tobytes(), ()) if i in items)
         return sorted(out)
 
 
