@@ -33,11 +33,10 @@ def consolidate(pairs: DataFrame, seed: int = 11) -> DataFrame:
         order = _order(seed + len(rounds))
         hook = edges.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(order("b").alias("h"), F.col("b").alias("u"))).alias("m"))
         own = F.struct(order("v").alias("h"), F.col("v").alias("u"))
-        step, _ = scratch.keep(hook.select("v", F.least("m", own)["u"].alias("label")))
+        step, _ = scratch.keep(hook.select("v", F.least("m", own)["u"].alias("label")).join(low, "v"))
         # the smallest member below each label; only vertices that still had edges take part
-        low = step.join(low, "v").groupBy(F.col("label").alias("v")).agg(F.min("low").alias("low"))
-        low, _ = scratch.keep(low)
-        rounds.append((step, low))
+        low = step.groupBy(F.col("label").alias("v")).agg(F.min("low").alias("low"))
+        rounds.append((step.select("v", "label"), low))
         left = step.select(F.col("v").alias("a"), F.col("label").alias("la"))
         right = step.select(F.col("v").alias("b"), F.col("label").alias("lb"))
         shrunk = edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
