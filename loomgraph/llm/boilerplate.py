@@ -177,7 +177,8 @@ def _support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in {k for _, words in page_lines(text, host) for k in wrapper.match(words)}:
                 counts[host, *wrapper.shapes[k]] += 1
         rows = [(*key, n) for key, n in counts.items()]
-        yield pd.DataFrame(rows, columns=["host", "head", "tail", "constant", "n"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["host", "head", "tail", "constant", "n"])
 
 
 def _wrapper(known: dict[str, Wrapper], host: str, shapes) -> Wrapper:
@@ -199,7 +200,8 @@ def _furnished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = {k for _, words in page_lines(text, host) for k in wrapper.match(words)}
             if len(held) >= (2 if len(wrapper.shapes) >= 4 else 1):
                 pages.append(page)
-        yield pd.DataFrame({"page": pages})
+        if pages:
+            yield pd.DataFrame({"page": pages})
 
 
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,7 +214,8 @@ def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hits = [k for k, words in page_lines(text, host) if wrapper.match(words)]
             pages += [page] * len(hits)
             lines += hits
-        yield pd.DataFrame({"page": pages, "line_no": lines})
+        if pages:
+            yield pd.DataFrame({"page": pages, "line_no": lines})
 
 
 def _with_wrapper(pages: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -291,7 +294,8 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for page, host, text in zip(batch["page"], batch["host"], batch["text"], strict=True)
             for k, words in page_lines(text, host)
         ]
-        yield pd.DataFrame(rows, columns=["page", "line_no", "line"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["page", "line_no", "line"])
 
 
 def _counted(pages: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def token_lengths(documents: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n = [count_tokens(t) if t else 0 for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": n})
+            if n:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": n})
 
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
     return rows.mapInPandas(measure, f"doc_id {dict(documents.dtypes)['doc_id']}, source string, n_tokens bigint")

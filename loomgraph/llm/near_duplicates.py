@@ -54,7 +54,8 @@ def word_classes(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
                 words = sorted(set(WORD.findall(" ".join(x for x in row if x).lower())))
                 keys.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None)
                 sets.append(hash_words(words).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "class_key": keys, "words": sets})
+            if keys:
+                yield pd.DataFrame({"id": batch["id"], "class_key": keys, "words": sets})
 
     kind = dict(records.dtypes)["id"]
     return records.select("id", *fields).mapInPandas(run, f"id {kind}, class_key string, words array<bigint>")
@@ -110,7 +111,8 @@ def _placements(t: float, sketch):
                     for r, c, is_probe in places:
                         for k, v in zip(cols, (word, r, c, is_probe, n, cid, bits), strict=True):
                             cols[k].append(v)
-            yield pd.DataFrame(cols)
+            if cols["cid"]:
+                yield pd.DataFrame(cols)
 
     return run
 
@@ -198,17 +200,32 @@ def similar_classes(records: DataFrame, fields: tuple[str, ...], threshold: floa
     return scratch.keep(members)[0], scratch.keep(pairs)[0]
 
 
+#: Pairs of records that two classes of copies may give before they are tied to one another
+#: through their first members only.
+EXPAND = 4096
+
+
 def near_duplicate_pairs(records: DataFrame, fields: tuple[str, ...], threshold: float) -> DataFrame:
-    """Every pair ``id_a < id_b`` of distinct records at or above the threshold, copies included.
+    """Pairs ``id_a < id_b`` of distinct records at or above the threshold.
 
-    The result has a row per pair, so copies of one text give all their pairs; the
+    Every pair of different texts is there with all copies of both, and every pair of
+    copies, as long as the two classes (or the class and itself) give at most ``EXPAND``
+    pairs. Larger classes of exact copies are not multiplied out: each copy is paired with
+    the smallest id of the other class (or of its own), which links the same records. The
     grouped form is :func:`near_duplicate_groups`.
     """
     members, pairs = similar_classes(records, fields, threshold)
-    linked = pairs.select("a", "b").union(members.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct())
+    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    copies = sizes.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    linked = pairs.select("a", "b").union(copies)
+    linked = linked.join(sizes.toDF("a", "na", "first_a"), "a").join(sizes.toDF("b", "nb", "first_b"), "b")
+    few = F.col("na") * F.col("nb") <= EXPAND
     a = members.select(F.col("cid").alias("a"), F.col("id").alias("x"))
     b = members.select(F.col("cid").alias("b"), F.col("id").alias("y"))
-    both = linked.join(a, "a").join(b, "b").where("x <> y")
+    whole = linked.where(few).join(a, "a").join(b, "b").select("x", "y")
+    star = linked.where(~few)
+    tied = star.join(a, "a").select("x", F.col("first_b").alias("y")).union(star.join(b, "b").select(F.col("first_a").alias("x"), "y"))
+    both = whole.union(tied).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

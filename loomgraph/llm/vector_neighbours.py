@@ -49,7 +49,8 @@ def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
                 rows /= np.linalg.norm(rows, axis=1)[:, None]
                 ids = batch["id"][good].tolist()
                 units = [r.tobytes() for r in rows.astype(np.float32)]
-            yield pd.DataFrame({"id": ids, "unit": units})
+            if units:
+                yield pd.DataFrame({"id": ids, "unit": units})
 
     rows = vectors.select("id", "vector").where(F.col("id").isNotNull() & (F.size("vector") == dim))
     rows = rows.where(~F.exists("vector", lambda x: x.isNull()))
@@ -236,15 +237,7 @@ def neighbour_graph(units: DataFrame, dim: int, width: int = 32, passes: int = 6
     spark = units.sparkSession
     scratch = Scratch(spark, "neighbours")
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = _stack(batch["unit"], np.float32, dim)
-                yield batch.assign(code=[r.tobytes() for r in np.rint(x * SCALE).astype(np.int8)])
-
-    kind = dict(units.dtypes)["id"]
-    held = units.withColumn("n", F.monotonically_increasing_id())
-    nodes, count = scratch.keep(held.mapInPandas(code, f"id {kind}, unit binary, n bigint, code binary"))
+    nodes, count = scratch.keep(_with_code(units.select("id", "unit").withColumn("n", F.monotonically_increasing_id()), dim))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * width // 250_000)
     runs = max(1, min(tasks, count // (4 * RUN)))
     codes = nodes.select("n", "code")
@@ -261,20 +254,36 @@ def neighbour_graph(units: DataFrame, dim: int, width: int = 32, passes: int = 6
     return nodes, graph
 
 
-def _scored(lists: DataFrame, nodes: DataFrame, dim: int, k: int, tasks: int) -> DataFrame:
-    """``a, b, similarity, rank``: the ``k`` best of each ``n``, by full vectors."""
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _exact(dim: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x, y = (_stack(batch[c], np.float32, dim).astype(np.float64) for c in ("ua", "ub"))
                 yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": np.einsum("ij,ij->i", x, y)})
 
+    return run
+
+
+def _with_code(rows: DataFrame, dim: int) -> DataFrame:
+    """Adds ``code``, one byte per number, to rows with a ``unit`` vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = _stack(batch["unit"], np.float32, dim)
+                yield batch.assign(code=[r.tobytes() for r in np.rint(x * SCALE).astype(np.int8)])
+
+    return rows.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", code binary")
+
+
+def _scored(lists: DataFrame, nodes: DataFrame, dim: int, k: int, tasks: int) -> DataFrame:
+    """``a, b, similarity, rank``: the ``k`` best of each ``n``, by full vectors."""
+
     kind = dict(nodes.dtypes)["id"]
     left = nodes.select("n", F.col("id").alias("a"), F.col("unit").alias("ua"))
     right = nodes.select(F.col("n").alias("other"), F.col("id").alias("b"), F.col("unit").alias("ub"))
     pairs = lists.select("n", "other").join(right, "other").join(left, "n").select("a", "b", "ua", "ub")
-    sims = pairs.mapInPandas(exact, f"a {kind}, b {kind}, similarity double")
+    sims = pairs.mapInPandas(_exact(dim), f"a {kind}, b {kind}, similarity double")
     best = sims.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("similarity"), F.col("b"))), False), 1, k).alias("best"))
     return best.select("a", F.posexplode("best").alias("rank", "x")).select("a", "x.b", "x.similarity", F.col("rank") + 1)
 
@@ -310,21 +319,21 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: i
     scratch = Scratch(spark, "search")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(queries.dtypes)["id"]
-    asked, _ = scratch.keep(queries.select(F.col("id").alias("a"), F.col("unit").alias("ua")))
+    asked, _ = scratch.keep(_with_code(queries.select("id", "unit"), dim).select(F.col("id").alias("a"), F.col("unit").alias("ua"), F.col("code").alias("ca")))
     # a fixed number of entry points, drawn by hash
     entry = [tuple(r) for r in nodes.select("n").orderBy(F.xxhash64("n", F.lit(17))).limit(beam).collect()]
     reached = asked.select("a", F.explode(F.lit([r[0] for r in entry])).alias("n")) if entry else asked.select("a", F.lit(None).cast("bigint").alias("n")).limit(0)
-    vectors = nodes.select("n", F.col("id").alias("b"), F.col("unit").alias("ub"))
+    vectors = nodes.select("n", F.col("id").alias("b"), F.col("code").alias("cb"))
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def closely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x, y = (_stack(batch[c], np.float32, dim).astype(np.float64) for c in ("ua", "ub"))
-                yield pd.DataFrame({"a": batch["a"], "n": batch["n"], "b": batch["b"], "similarity": np.einsum("ij,ij->i", x, y)})
+                x, y = (_stack(batch[c], np.int8, dim).astype(np.float32) / SCALE for c in ("ca", "cb"))
+                yield pd.DataFrame({"a": batch["a"], "n": batch["n"], "b": batch["b"], "similarity": np.einsum("ij,ij->i", x, y).astype(np.float64)})
 
     def measured(pairs: DataFrame) -> DataFrame:
-        sent = pairs.join(vectors, "n").join(asked, "a").where("a <> b")
-        return sent.mapInPandas(exact, f"a {kind}, n bigint, b {kind}, similarity double").withColumn("opened", F.lit(False))
+        sent = pairs.join(vectors, "n").join(asked.select("a", "ca"), "a").where("a <> b")
+        return sent.mapInPandas(closely, f"a {kind}, n bigint, b {kind}, similarity double").withColumn("opened", F.lit(False))
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -345,4 +354,9 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: i
         fresh = opened.mapInPandas(members, f"a {kind}, n bigint").distinct().join(front.select("a", "n"), ["a", "n"], "left_anti")
         old = front.select("a", "n", "b", "similarity", (F.col("opened") | F.col("open")).alias("opened"))
         front = old.unionByName(measured(fresh).repartition(tasks, "a"))
-    return front.where(F.col("rank") <= k).select("a", "b", "similarity", "rank")
+    # the byte vectors order closely, the full ones exactly
+    last = front.where(F.col("rank") <= 2 * k).select("a", "n")
+    last = last.join(asked.select("a", "ua"), "a").join(nodes.select("n", F.col("id").alias("b"), F.col("unit").alias("ub")), "n")
+    sims = last.mapInPandas(_exact(dim), f"a {kind}, b {kind}, similarity double")
+    ranked = sims.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b")))
+    return ranked.where(F.col("rank") <= k).select("a", "b", "similarity", "rank")

@@ -128,3 +128,20 @@ def test_average_linkage_stops_below_the_threshold(spark, rows):
     got = clusters.average_linkage(spark.createDataFrame(links + links[:2], "a string, b string, weight double"), 0.5)
     assert dict(rows(got, "v", "label")) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
     assert components.consolidate(spark.createDataFrame([("a", "b")], "a string, b string")).count() == 2
+
+
+def test_large_classes_of_copies_are_tied_to_their_first(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "EXPAND", 4)
+    near = "one two three four five six seven eight nine ten"
+    records = [(f"a{k}", near, None) for k in range(5)] + [("b0", near + " eleven", None), ("b1", near + " eleven", None), ("c0", "other words", None), ("c1", "words other", None)]
+    got = rows(near_duplicates.near_duplicate_pairs(spark.createDataFrame(records, "id string, t string, q string"), ("t", "q"), 0.7))
+    copies = [("a0", f"a{k}") for k in range(1, 5)] + [("b0", "b1"), ("c0", "c1")]
+    across = [(f"a{k}", "b0") for k in range(5)] + [("a0", "b1")]
+    assert got == sorted(copies + across)
+    assert union_find(got) == union_find(brute_pairs(records, 0.7))
+
+
+def test_texts_without_a_common_word(spark):
+    df = spark.createDataFrame([("a", "one", None), ("b", "two", None)], "id string, t string, q string").coalesce(1)
+    assert near_duplicates.near_duplicate_pairs(df, ("t", "q"), 0.7).count() == 0
+    assert clusters.subject_clusters(df.selectExpr("id", "t as text"), ["one", "two"]).count() == 0
