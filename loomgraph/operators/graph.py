@@ -6,7 +6,12 @@ edges and one anti join against what is known, whatever the number of roots.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import binary_entropy
@@ -123,32 +128,96 @@ def turned_edges(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.withColumns(ends).drop("v", "turn")
 
 
-def settling(claims: DataFrame, edges: DataFrame, verdicts: DataFrame, most: int = 20) -> DataFrame:
+#: Verdicts per row of marks, in words of 64 bits.
+MARKS = 1024
+_WORDS = [f"w{k}" for k in range(MARKS // 64)]
+
+
+def _numbered(roots: DataFrame, n: int) -> DataFrame:
+    """``root, slice, bit``: a bit of a slice of ``MARKS`` bits for each of ``n`` roots."""
+    part = F.pmod(F.xxhash64("root"), F.lit(n // 8192 + 1))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("root")) - 1
+    return roots.withColumn("part", part).withColumn("at", at).select("root", (F.col("part") * 100_000 + F.floor(F.col("at") / MARKS)).alias("slice"), (F.col("at") % MARKS).alias("bit"))
+
+
+def _own_bit(prefix: str) -> list[Column]:
+    """The words of a row that has ``bit`` set, or none where it is null."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return [F.when(F.floor(F.col("bit") / 64) == k, F.call_function("shiftleft", one, F.col("bit") % 64)).otherwise(zero).alias(prefix + w) for k, w in enumerate(_WORDS)]
+
+
+def upstream_marks(edges: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``node, slice, w0, w1, ...``: the roots that each node leads to, a bit each, at any distance.
+
+    ``numbered(root, slice, bit)``; a root leads to itself. A round sends the bits that
+    are new at a node one edge back; rounds end when no node learns anything. What is
+    held is a bit per node and root, whatever the number of pairs.
+    """
+    scratch = Scratch(edges.sparkSession, "upstream")
+    back, _ = scratch.keep(edges.where("source <> target").select(F.col("target").alias("node"), F.col("source").alias("to")).distinct())
+    fresh = [f"n{w}" for w in _WORDS]
+    first = numbered.select(F.col("root").alias("node"), "slice", *_own_bit(""))
+    state, live = scratch.keep(first.select("*", *(F.col(w).alias(f) for w, f in zip(_WORDS, fresh, strict=True)), F.lit(True).alias("live")))
+    while live:
+        sent = state.where("live").join(back, "node").groupBy(F.col("to").alias("node"), "slice").agg(*(F.bit_or(f).alias(f) for f in fresh))
+        both = state.drop(*fresh, "live").join(sent, ["node", "slice"], "full")
+        zero = F.lit(0).cast("bigint")
+        had, got = [F.coalesce(w, zero) for w in _WORDS], [F.coalesce(f, zero) for f in fresh]
+        after = [h.bitwiseOR(g).alias(w) for h, g, w in zip(had, got, _WORDS, strict=True)]
+        learnt = [g.bitwiseAND(F.bitwise_not(h)).alias(f) for h, g, f in zip(had, got, fresh, strict=True)]
+        rows = both.select("node", "slice", *after, *learnt).withColumn("live", reduce(Column.bitwiseOR, map(F.col, fresh)) != 0)
+        previous = state
+        state, seen = scratch.keep_with(rows, live=F.count_if("live"))
+        scratch.drop(previous)
+        live = seen["live"]
+    return state.select("node", "slice", *_WORDS)
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts per slice and bit of rows with the marks ``w`` (near) and ``x`` (crux)."""
+    for batch in batches:
+        for part in (batch.iloc[s : s + 1024] for s in range(0, len(batch), 1024)):
+            for at, rows in part.groupby("slice"):
+                near, own, crux = (
+                    np.unpackbits(np.ascontiguousarray(rows[[p + w for w in _WORDS]].to_numpy(dtype="<i8")).view(np.uint8), axis=1, bitorder="little") for p in ("", "o", "x")
+                )
+                deps = near & ~own & 1
+                contested, frames = rows["contested"].to_numpy(dtype=bool), rows["frames"].to_numpy(dtype=np.float64)
+                doubted = deps[contested]
+                open_all = crux.sum(0, dtype=np.int64) + (doubted & ~crux[contested] & 1).sum(0, dtype=np.int64)
+                counts = {"n_dependencies": deps.sum(0, dtype=np.int64), "n_contested": doubted.sum(0, dtype=np.int64), "n_cruxes": crux.sum(0, dtype=np.int64)}
+                counts |= {"n_framework": (frames @ deps).astype(np.int64), "n_open": open_all}
+                yield pd.DataFrame({"slice": at, "bit": np.arange(MARKS)} | counts)
+
+
+def settling(claims: DataFrame, edges: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Verdicts given while what they rest on is open: one row per verdict claim.
 
     ``verdict_id, detected, n_dependencies, n_contested, n_cruxes, n_framework, severity``.
     Contested dependencies have a confidence from 0.3 to 0.7 (missing: 0.5), open cruxes
-    lie below 0.85, a framework edge frames a dependency differently.
+    lie below 0.85, a framework edge frames a dependency differently. Dependencies are
+    all claims upstream, at any distance.
     """
-    roots = verdicts.select(F.col("claim_id").alias("root")).distinct()
-    deps = reach(active_edges(edges, UPSTREAM), roots, most, backward=True).where("root <> node").select("root", "node")
     scratch = Scratch(claims.sparkSession, "settling")
-    deps, _ = scratch.keep(deps)
+    roots, n = scratch.keep(verdicts.select(F.col("claim_id").alias("root")).distinct())
+    roots, _ = scratch.keep(_numbered(roots, n))
+    near = upstream_marks(active_edges(edges, UPSTREAM), roots)
     conf = claims.select(F.col("claim_id").alias("node"), F.coalesce("confidence", F.lit(0.5)).alias("c"))
-    near = deps.unionByName(roots.select("root", F.col("root").alias("node")))
-    cruxes = active_edges(edges, ("is_crux_for",)).select("edge_id", "source", "target")
-    by_either = near.join(cruxes, F.col("node") == F.col("source")).select("root", "edge_id", "source").union(
-        near.join(cruxes, F.col("node") == F.col("target")).select("root", "edge_id", "source")
-    )
-    open_cruxes = by_either.distinct().select("root", F.col("source").alias("node")).distinct().join(conf, "node", "left").where(F.coalesce("c", F.lit(0.5)) < 0.85)
-    open_cruxes = open_cruxes.select("root", "node")
-    contested = deps.join(conf, "node", "left").where(F.coalesce("c", F.lit(0.5)).between(0.3, 0.7)).select("root", "node")
-    frames = active_edges(edges, ("frames_differently",)).select("source", "target")
-    framed = deps.join(frames, F.col("node") == F.col("source")).select("root").union(deps.join(frames, F.col("node") == F.col("target")).select("root"))
-    count = lambda df, name: df.groupBy("root").agg(F.count(F.lit(1)).alias(name))
-    open_all = contested.union(open_cruxes).distinct()
-    rows = roots.join(count(deps, "n_dependencies"), "root", "left").join(count(contested, "n_contested"), "root", "left")
-    rows = rows.join(count(open_cruxes, "n_cruxes"), "root", "left").join(count(framed, "n_framework"), "root", "left").join(count(open_all, "n_open"), "root", "left").na.fill(0)
+    cruxes = active_edges(edges, ("is_crux_for",)).select("source", "target")
+    ends = cruxes.select(F.col("source").alias("crux"), F.col("source").alias("node")).union(cruxes.select("source", "target")).distinct()
+    by_either = ends.join(near, "node").groupBy(F.col("crux").alias("node"), "slice").agg(*(F.bit_or(w).alias(f"x{w}") for w in _WORDS))
+    open_cruxes = by_either.join(conf, "node", "left").where(F.coalesce("c", F.lit(0.5)) < 0.85).drop("c")
+    frames = active_edges(edges, ("frames_differently",))
+    framed = frames.select(F.col("source").alias("node")).union(frames.select("target")).groupBy("node").agg(F.count(F.lit(1)).alias("frames"))
+    rows = near.join(open_cruxes, ["node", "slice"], "full").join(conf, "node", "left").join(framed, "node", "left")
+    at = roots.select(F.col("root").alias("node"), "slice", "bit")
+    rows = rows.join(at, ["node", "slice"], "left").withColumn("contested", F.coalesce("c", F.lit(0.5)).between(0.3, 0.7))
+    zero = F.lit(0).cast("bigint")
+    marks = [F.coalesce(p + w, zero).alias(p + w) for p in ("", "x") for w in _WORDS]
+    names = ("n_dependencies", "n_contested", "n_cruxes", "n_framework", "n_open")
+    tallied = rows.select("slice", "contested", F.coalesce("frames", zero).alias("frames"), *_own_bit("o"), *marks).mapInPandas(_tally, "slice bigint, bit int, " + ", ".join(f"{c} bigint" for c in names))
+    counts = tallied.groupBy("slice", "bit").agg(*(F.sum(c).alias(c) for c in names))
+    rows = roots.join(counts, ["slice", "bit"], "left").na.fill(0)
     factual, framework = (F.col("n_contested") + F.col("n_cruxes")) > 0, F.col("n_framework") > 0
     base = F.least(F.lit(1.0), F.col("n_open") / F.greatest(F.lit(1), F.col("n_dependencies")))
     severity = F.when(framework, F.greatest(F.lit(0.5), base)).otherwise(base)

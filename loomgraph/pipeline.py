@@ -43,7 +43,7 @@ def discussed(spark: SparkSession, folder: str, settings: Settings) -> dict[str,
     return {
         "positions": positions,
         "disagreements": discourse.disagreements(positions, edges),
-        "settling": graph.settling(claims, graph.turned_edges(edges, verdicts), verdicts, settings.crux.max_depth),
+        "settling": graph.settling(claims, graph.turned_edges(edges, verdicts), verdicts),
     }
 
 

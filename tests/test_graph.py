@@ -98,6 +98,14 @@ def test_settling_values(spark, claims, edges):
     assert not r.detected and r.severity == 0
 
 
+def test_settling_follows_chains_of_any_length(spark, claims, edges):
+    names = [f"c{k}" for k in range(30)]
+    nodes = claims([(n, 0.9) for n in names[:-1]] + [("c29", 0.5)])
+    links = edges([(b, a, "supports") for a, b in zip(names, names[1:], strict=False)] + [("c29", "c27", "supports"), ("c0", "c28", "depends_on")])
+    r = G.settling(nodes, links, spark.createDataFrame([("c0",)], "claim_id string")).first()
+    assert (r.n_dependencies, r.n_contested, r.detected) == (29, 1, True)
+
+
 def test_verdict_edges_turn(spark, edges, rows):
     links = edges([("v", "a", "supports"), ("b", "c", "supports")])
     got = G.turned_edges(links, spark.createDataFrame([("v",), ("c",)], "claim_id string"))
