@@ -152,11 +152,12 @@ def _compare(t: float):
         starts = np.flatnonzero(changed)
         found: set[tuple[int, int]] = set()
         for at in np.split(order, starts):
-            if len(at) < 3:
+            # a class alone meets itself only
+            if len(at) < 2 or (len(at) == 2 and cid[at[0]] == cid[at[1]]):
                 continue
             cut = int(np.searchsorted(probe[at], True))
             y, x = at[:cut], at[cut:]
-            if not len(y):
+            if not len(y) or not len(x):
                 continue
             for a, b in tile_matches(bits[y], pop[y], size[y], bits[x], pop[x], size[x], limit):
                 a, b = cid[y[a]], cid[x[b]]

@@ -83,6 +83,15 @@ def test_sub_blocks_lose_nothing(spark, rows, monkeypatch):
     assert rows(near_duplicates.near_duplicate_pairs(df, ("t", "q"), 0.6)) == brute_pairs(records, 0.6)
 
 
+def test_sub_blocks_of_one_index_and_one_probe_row_are_compared(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SUB_BLOCK", 1)
+    common = "alpha beta gamma delta epsilon"
+    records = [("s1", "alpha beta gamma delta", None), ("s2", common, None)]
+    records += [(f"l{k:02d}", common + "".join(f" x{k}y{j}" for j in range(30)), None) for k in range(11)]
+    df = spark.createDataFrame(records, "id string, t string, q string")
+    assert rows(near_duplicates.near_duplicate_pairs(df, ("t", "q"), 0.7)) == brute_pairs(records, 0.7) == [("s1", "s2")]
+
+
 def test_near_duplicate_groups(spark):
     records = edited_texts(8, 100)
     got = {r.id: r for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(records, "id string, t string, q string"), ("t", "q"), 0.7).collect()}
