@@ -40,25 +40,27 @@ def overlap_needed(t: float, total: int) -> int:
 
 
 def word_classes(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """``id, class_key, words``: hashed distinct words of the fields together.
+    """``id, class_key, text_key, words``: hashed distinct words of the fields together.
 
-    Null fields count as empty; records without words have a null ``class_key``.
+    Null fields count as empty; records without words have a null ``class_key``. Exact
+    copies have one ``text_key``, equal word sets one ``class_key``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in batches:
-            keys, sets = [], []
+            keys, texts, sets = [], [], []
             for row in zip(*(batch[f] for f in fields), strict=True):
                 words = sorted(set(WORD.findall(" ".join(x for x in row if x).lower())))
                 keys.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None)
+                texts.append(xxhash.xxh3_128_hexdigest("\0".join(f"{len(x or '')} {x or ''}" for x in row)))
                 sets.append(hash_words(words).view(np.int64))
             if keys:
-                yield pd.DataFrame({"id": batch["id"], "class_key": keys, "words": sets})
+                yield pd.DataFrame({"id": batch["id"], "class_key": keys, "text_key": texts, "words": sets})
 
     kind = dict(records.dtypes)["id"]
-    return records.select("id", *fields).mapInPandas(run, f"id {kind}, class_key string, words array<bigint>")
+    return records.select("id", *fields).mapInPandas(run, f"id {kind}, class_key string, text_key string, words array<bigint>")
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
@@ -170,7 +172,7 @@ def _compare(t: float):
 
 
 def similar_classes(records: DataFrame, fields: tuple[str, ...], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Membership ``id, cid`` and the pairs ``a, b, similarity`` of similar classes.
+    """Membership ``id, cid, text_key`` and the pairs ``a, b, similarity`` of similar classes.
 
     Records that repeat an ``id`` keep one row (the smallest of the fields). Records
     without words are in no class. Equal word sets share a class, so copies are not
@@ -184,7 +186,7 @@ def similar_classes(records: DataFrame, fields: tuple[str, ...], threshold: floa
     sets, n = scratch.keep(word_classes(once, fields).where("class_key is not null"))
     classes = sets.select("class_key", "words").dropDuplicates(["class_key"])
     classes, n = scratch.keep(classes.select(F.monotonically_increasing_id().alias("cid"), "class_key", "words"))
-    members = sets.select("id", "class_key").join(classes.select("class_key", "cid"), "class_key").select("id", "cid")
+    members = sets.select("id", "class_key", "text_key").join(classes.select("class_key", "cid"), "class_key").select("id", "cid", "text_key")
     sketch = spark.sparkContext.broadcast(_sketch(classes))
     schema = "word bigint, row int, col int, probe boolean, size int, cid bigint, bits binary"
     placed = classes.select("cid", "words").mapInPandas(_placements(threshold, sketch), schema)
@@ -201,39 +203,51 @@ def similar_classes(records: DataFrame, fields: tuple[str, ...], threshold: floa
     return scratch.keep(members)[0], scratch.keep(pairs)[0]
 
 
-#: Pairs of records that two classes of copies may give before they are tied to one another
-#: through their first members only.
+#: Pairs of records that two texts with their exact copies may give before the copies are
+#: tied to one another through the first of each text only.
 EXPAND = 4096
+#: Texts of a class that meet those of another in one unit of work.
+SLICE = 256
 
 
 def near_duplicate_pairs(records: DataFrame, fields: tuple[str, ...], threshold: float) -> DataFrame:
     """Pairs ``id_a < id_b`` of distinct records at or above the threshold.
 
-    Every pair of different texts is there with all copies of both, and every pair of
-    copies, as long as the two classes (or the class and itself) give at most ``EXPAND``
-    pairs. Larger classes of exact copies are not multiplied out: each copy is paired with
-    the smallest id of the other class (or of its own), which links the same records. The
-    grouped form is :func:`near_duplicate_groups`.
+    Every two different texts are linked, however many texts share their word sets; the
+    texts of a class are cut into slices that meet pairwise. A pair of texts (or a text
+    and itself) is there with all exact copies of both as long as these give at most
+    ``EXPAND`` pairs. Of more, each copy is paired with the smallest id of the other text
+    (or of its own), which links the same records. The grouped form is
+    :func:`near_duplicate_groups`.
     """
     members, pairs = similar_classes(records, fields, threshold)
-    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    copies = sizes.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    linked = pairs.select("a", "b").union(copies)
-    linked = linked.join(sizes.toDF("a", "na", "first_a"), "a").join(sizes.toDF("b", "nb", "first_b"), "b")
+    scratch = Scratch(records.sparkSession, "near-duplicate-texts")
+    texts = members.groupBy("cid", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    sizes = texts.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"), F.sum("n").alias("n"))
+    texts = texts.join(sizes.select("cid", "slices"), "cid").withColumn("slice", F.pmod(F.xxhash64("text_key"), "slices")).drop("slices")
+    same = sizes.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    linked = pairs.select("a", "b").union(same)
+    slices = sizes.select("cid", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    linked = linked.join(slices.toDF("a", "sa"), "a").join(slices.toDF("b", "sb"), "b").where("a <> b or sa <= sb")
+    left, right = (texts.select(F.col("cid").alias(c), F.col("slice").alias(f"s{c}"), F.col("text_key").alias(f"t{c}"), F.col("n").alias(f"n{c}"), F.col("first").alias(f"first_{c}")) for c in "ab")
+    met = linked.join(left, ["a", "sa"]).join(right, ["b", "sb"])
+    met = met.where("a <> b or sa < sb or ta < tb or (ta = tb and na > 1)")
+    met, _ = scratch.keep(met.select("ta", "tb", "na", "nb", "first_a", "first_b"))
+    lone = (F.col("na") == 1) & (F.col("nb") == 1)
     few = F.col("na") * F.col("nb") <= EXPAND
-    a = members.select(F.col("cid").alias("a"), F.col("id").alias("x"))
-    b = members.select(F.col("cid").alias("b"), F.col("id").alias("y"))
-    whole = linked.where(few).join(a, "a").join(b, "b").select("x", "y")
-    star = linked.where(~few)
-    tied = star.join(a, "a").select("x", F.col("first_b").alias("y")).union(star.join(b, "b").select(F.col("first_a").alias("x"), "y"))
-    both = whole.union(tied).where("x <> y")
+    a = members.select(F.col("text_key").alias("ta"), F.col("id").alias("x"))
+    b = members.select(F.col("text_key").alias("tb"), F.col("id").alias("y"))
+    whole = met.where(few & ~lone).join(a, "ta").join(b, "tb").select("x", "y")
+    star = met.where(~few)
+    tied = star.join(a, "ta").select("x", F.col("first_b").alias("y")).union(star.join(b, "tb").select(F.col("first_a").alias("x"), "y"))
+    both = met.where(lone).select(F.col("first_a").alias("x"), F.col("first_b").alias("y")).union(whole).union(tied).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_duplicate_groups(records: DataFrame, fields: tuple[str, ...], threshold: float) -> DataFrame:
     """One row per record with words: ``id, class_id, group_id, n_links, n_copies``.
 
-    ``class_id`` is the smallest id among exact copies, ``group_id`` the smallest among
+    ``class_id`` is the smallest id among records of equal word sets, ``group_id`` the smallest among
     records linked directly or through others, ``n_links`` the number of other classes
     that the record's class is similar to, ``n_copies`` the size of its class.
     """
@@ -246,4 +260,4 @@ def near_duplicate_groups(records: DataFrame, fields: tuple[str, ...], threshold
     groups = consolidate(ends).select(F.col("member").alias("class_id"), F.col("group").alias("group_id"))
     classes = named.join(links, "cid", "left").join(groups, "class_id", "left")
     classes = classes.select("cid", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return members.join(classes, "cid").drop("cid")
+    return members.join(classes, "cid").drop("cid", "text_key")

@@ -150,6 +150,16 @@ def test_large_classes_of_copies_are_tied_to_their_first(spark, rows, monkeypatc
     assert union_find(got) == union_find(brute_pairs(records, 0.7))
 
 
+def test_different_texts_of_one_word_set_are_all_paired(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "EXPAND", 4)
+    monkeypatch.setattr(near_duplicates, "SLICE", 2, raising=False)
+    base = "one two three four five six seven eight nine ten".split()
+    records = [(f"a{k}", " ".join(base[k:] + base[:k]), None) for k in range(7)]
+    records += [(f"b{k}", " ".join(["eleven", *base[k:], *base[:k]]), None) for k in range(5)] + [("b5", records[0][1], "eleven")]
+    got = rows(near_duplicates.near_duplicate_pairs(spark.createDataFrame(records, "id string, t string, q string"), ("t", "q"), 0.7))
+    assert got == brute_pairs(records, 0.7)
+
+
 def test_texts_without_a_common_word(spark):
     df = spark.createDataFrame([("a", "one", None), ("b", "two", None)], "id string, t string, q string").coalesce(1)
     assert near_duplicates.near_duplicate_pairs(df, ("t", "q"), 0.7).count() == 0
