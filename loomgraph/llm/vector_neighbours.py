@@ -6,7 +6,7 @@ neighbours: every vector is sent to the vectors it is linked with in either dire
 those that meet there are compared in one matrix product, and each keeps what beats its
 present neighbours. Pairs that met in an earlier round are not compared again. Rounds end
 when few lists change. Vectors travel as one byte per number; the lists are re-scored on
-the full vectors at the end. Queries walk the graph greedily from a beam of entry points.
+the full vectors at the end. Queries walk the graph greedily from entry points of their runs.
 
 The graph has ``width`` neighbours per vector, so what is joined grows with the number of
 vectors and not with its square. A vector that very many others are linked to (a hub)
@@ -308,21 +308,64 @@ def similar_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, **options) ->
     return _scored(graph.select("n", "others").mapInPandas(front, "n bigint, other bigint"), nodes, dim, k, tasks).toDF("a", "b", "similarity", "rank")
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int = 64, k: int = 5, beam: int = 48, open_per_step: int = 8, steps: int = 10) -> DataFrame:
+def _routed(asked: DataFrame, nodes: DataFrame, dim: int, keep: int, passes: int, tasks: int) -> DataFrame:
+    """``a, n``: for each query the ``keep`` best vectors of its run in each pass.
+
+    Queries are sorted among the vectors along the hyperplane codes of the first graph, so
+    entry points lie near them however many vectors there are.
+    """
+    kind = dict(asked.dtypes)["a"]
+    both = nodes.select(F.lit(None).cast(kind).alias("a"), "n", "code").union(asked.select("a", F.lit(-1).cast("bigint").alias("n"), F.col("ca").alias("code")))
+    every = None
+    for k in range(passes):
+        planes = np.random.default_rng(1000 + k).standard_normal((dim, 25)).astype(np.float32)
+
+        def code(batches: Iterator[pd.DataFrame], planes=planes) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    side = _stack(batch["code"], np.int8, dim).astype(np.float32) @ planes
+                    bits = (side[:, :24] > 0) @ (1 << np.arange(24)[::-1])
+                    yield pd.DataFrame({"bucket": bits.astype(np.int64), "along": side[:, 24], "a": batch["a"], "n": batch["n"], "code": batch["code"]})
+
+        def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = _stack(batch["code"], np.int8, dim).astype(np.float32) / SCALE
+                n, a = batch["n"].to_numpy(), batch["a"].to_numpy()
+                for s in range(0, len(n), RUN):
+                    part = np.arange(s, min(len(n), s + RUN))
+                    ask, have = part[n[part] < 0], part[n[part] >= 0]
+                    take = min(keep, len(have))
+                    if len(ask) and take:
+                        best = np.argpartition(-(x[ask] @ x[have].T), take - 1, axis=1)[:, :take]
+                        yield pd.DataFrame({"a": np.repeat(a[ask], take), "n": n[have][best].ravel()})
+
+        coded = both.mapInPandas(code, f"bucket bigint, along float, a {kind}, n bigint, code binary")
+        near = coded.repartitionByRange(tasks, "bucket", "along").sortWithinPartitions("bucket", "along").mapInPandas(within, f"a {kind}, n bigint")
+        every = near if every is None else every.unionByName(near)
+    return every
+
+
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: int = 64, k: int = 5, beam: int = 48, open_per_step: int = 8, passes: int = 6) -> DataFrame:
     """``a, b, similarity, rank``: the ``k`` best that a greedy walk of the graph finds.
 
     ``queries(id, unit)`` as from :func:`usable_vectors`; a query is never its own result.
-    Each query keeps a beam of the best vectors seen, opens the best unopened of them and
-    adds their neighbours, until nothing in its beam is unopened or ``steps`` have passed.
+    Each query enters at vectors near it in the runs of ``passes`` hyperplane codes and at
+    some drawn by hash, keeps a beam of the best vectors seen, opens the best unopened of
+    them and adds their neighbours, until nothing in its beam is unopened. What leaves the
+    beam never comes back, so the walk ends.
     """
     spark = queries.sparkSession
     scratch = Scratch(spark, "search")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(queries.dtypes)["id"]
     asked, _ = scratch.keep(_with_code(queries.select("id", "unit"), dim).select(F.col("id").alias("a"), F.col("unit").alias("ua"), F.col("code").alias("ca")))
-    # a fixed number of entry points, drawn by hash
-    entry = [tuple(r) for r in nodes.select("n").orderBy(F.xxhash64("n", F.lit(17))).limit(beam).collect()]
-    reached = asked.select("a", F.explode(F.lit([r[0] for r in entry])).alias("n")) if entry else asked.select("a", F.lit(None).cast("bigint").alias("n")).limit(0)
+    # a fixed number of entry points for all queries, drawn by hash
+    entry = [r[0] for r in nodes.select("n").orderBy(F.xxhash64("n", F.lit(17))).limit(beam).collect()]
+    runs = max(1, min(tasks, nodes.count() // (4 * RUN)))
+    reached = _routed(asked, nodes, dim, beam // 2, passes, runs)
+    if entry:
+        reached = reached.union(asked.select("a", F.explode(F.lit(entry)).alias("n")))
+    reached = reached.distinct()
     vectors = nodes.select("n", F.col("id").alias("b"), F.col("code").alias("cb"))
 
     def closely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,12 +386,12 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, dim: i
 
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     front = measured(reached)
-    for step in range(steps + 1):
+    while True:
         front = front.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= beam)
         closed = F.row_number().over(Window.partitionBy("a", "opened").orderBy(F.desc("similarity"), "b"))
         front = front.withColumn("open", ~F.col("opened") & (closed <= open_per_step))
         front, seen = scratch.keep_with(front, open=F.count_if("open"))
-        if step == steps or not seen["open"]:
+        if not seen["open"]:
             break
         opened = front.where("open").select("a", "n").join(graph.select("n", "others"), "n").select("a", "others")
         fresh = opened.mapInPandas(members, f"a {kind}, n bigint").distinct().join(front.select("a", "n"), ["a", "n"], "left_anti")

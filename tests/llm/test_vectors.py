@@ -1,6 +1,8 @@
 import numpy as np
 
-from loomgraph.llm.vector_neighbours import greedy_search, neighbour_graph, similar_vectors, usable_vectors
+from pyspark.sql import functions as F
+
+from loomgraph.llm.vector_neighbours import SCALE, greedy_search, neighbour_graph, similar_vectors, usable_vectors
 
 DIM = 16
 
@@ -57,3 +59,23 @@ def test_unusable_few_and_equal_vectors(spark, rows):
     got = similar_vectors(df, DIM, 5, width=4, passes=1, rounds=2)
     assert {(r.a, r.b) for r in got.collect()} == {(x, y) for x in "abc" for y in "abc" if x != y}
     assert similar_vectors(df.where("id = 'a'"), DIM).count() == 0 and similar_vectors(df.limit(0), DIM).count() == 0
+
+
+def test_search_enters_near_queries_however_many_vectors(spark):
+    # vectors that resemble only the few before and after them: nothing leads there from afar
+    rng = np.random.default_rng(5)
+    n, span = 3000, 12
+    steps = rng.standard_normal((n + span, 64))
+    sums = np.cumsum(np.vstack([np.zeros((1, 64)), steps]), axis=0)
+    rows = sums[span : n + span] - sums[:n]
+    rows = (rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.float32)
+    codes = np.rint(rows * SCALE).astype(np.int8)
+    nodes = spark.createDataFrame([(k, f"v{k}", bytearray(rows[k].tobytes()), bytearray(codes[k].tobytes())) for k in range(n)], "n bigint, id string, unit binary, code binary")
+    near = [np.array([j for j in range(k - 3, k + 4) if j != k and 0 <= j < n], dtype=np.int64) for k in range(n)]
+    graph = spark.createDataFrame([(k, bytearray(near[k].tobytes())) for k in range(n)], "n bigint, others binary")
+    asked = list(range(7, n, 50))
+    got = greedy_search(nodes.where(F.col("n") % 50 == 7).select("id", "unit"), nodes, graph).collect()
+    sims = rows[asked] @ rows.T
+    sims[np.arange(len(asked)), asked] = -9
+    truth = {f"v{q}": {f"v{j}" for j in np.argsort(-s)[:5]} for q, s in zip(asked, sims, strict=True)}
+    assert sum(r.b in truth[r.a] for r in got) >= 0.9 * 5 * len(asked)
