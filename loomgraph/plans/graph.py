@@ -269,9 +269,18 @@ def quote_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("quote_fuzzy")
 def quote_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each quote's words stand in order in its claim or quote source text."""
-    rows = claims_view(spark, folder).where("quote is not null")
-    return rows.select("claim_id", T.quote_verified(F.col("quote"), F.concat_ws(" ", "text", "quote")).alias("verified"))
+    """Whether each quote stands, or its words stand in order, in a text of its source.
+
+    Texts of a source are the pages fetched from its address and the pages and documents
+    of its title; a quote without any is not verified.
+    """
+    rows = claims_view(spark, folder).where("quote is not null").select("claim_id", "quote", "source_url", F.lower(F.trim("source_title")).alias("title"))
+    pages = table(spark, folder, "fetch_results").select("url", F.lower(F.trim("title")).alias("title"), "text")
+    titled = pages.select("title", "text").union(table(spark, folder, "documents").select(F.lower(F.trim("title")), "text")).distinct()
+    by_url = rows.join(pages.select(F.col("url").alias("source_url"), "text").distinct(), "source_url").select("claim_id", "quote", "text")
+    by_title = rows.where("title <> ''").join(titled, "title").select("claim_id", "quote", "text")
+    found = by_url.union(by_title).where(T.quote_verified(F.col("quote"), F.col("text"))).select("claim_id").distinct()
+    return rows.join(found.withColumn("found", F.lit(True)), "claim_id", "left").select("claim_id", F.coalesce("found", F.lit(False)).alias("verified"))
 
 
 @_query(

@@ -144,3 +144,16 @@ def test_providers(spark, rows):
     positions = spark.createDataFrame([("p", "c2", 2), ("p", "c1", 1)], "position_id string, claim_id string, ord int")
     assert rows(P.labelled_positions(positions, spark.createDataFrame([("p", "?")], "position_id string, response string")), "label", "core_claim") == [("p", "c1")]
     assert P.missing_voices(spark.createDataFrame([('[{"perspective": "x"}, {"perspective": ""}]',)], "response string")).count() == 1
+
+
+def test_quotes_are_checked_against_texts_of_their_source(spark, rows, tmp_path):
+    from loomgraph.plans.graph import quote_fuzzy
+
+    text = "the settlement was abandoned long before the flood reached it"
+    quotes = [("c1", text[4:40], "u1", None), ("c2", "settlement abandoned long before flood reached", "u9", "A title "), ("c3", "words that no source text holds", "u1", "a title"), ("c4", text[4:40], "u9", None), ("c5", None, "u1", None)]
+    base = spark.read.parquet("/root/testdata/sf0.001/extraction_results.parquet").schema
+    data = [{f.name: None for f in base} | {"claim_id": c, "natural_language": "other", "relevant_quote": q, "source_url": u, "source_title": t} for c, q, u, t in quotes]
+    spark.createDataFrame([tuple(d.values()) for d in data], base).write.parquet(f"{tmp_path}/extraction_results.parquet")
+    spark.createDataFrame([("u1", "x", text), ("u1", None, None)], "url string, title string, text string").write.parquet(f"{tmp_path}/fetch_results.parquet")
+    spark.createDataFrame([("a title", text)], "title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(quote_fuzzy(spark, str(tmp_path))) == [("c1", True), ("c2", True), ("c3", False), ("c4", False)]
