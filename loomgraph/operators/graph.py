@@ -31,11 +31,12 @@ def in_degrees(edges: DataFrame, types: tuple[str, ...] = CASCADE) -> DataFrame:
     return active_edges(edges, types).groupBy(F.col("target").alias("claim_id")).agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int, backward: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, most: int | None, backward: bool = False) -> DataFrame:
     """``root, node, depth``: nodes within ``most`` steps of each root, least depth, root left out.
 
     ``starts(root)``; ``edges(source, target)``. Backward follows edges against their
-    direction. Cycles end by the anti join; repeated edges are walked once.
+    direction. Without ``most`` the whole closure. Cycles end by the anti join; repeated
+    edges are walked once.
     """
     scratch = Scratch(edges.sparkSession, "reach")
     step = edges.select("source", "target").distinct()
@@ -43,9 +44,11 @@ def reach(edges: DataFrame, starts: DataFrame, most: int, backward: bool = False
     step, _ = scratch.keep(step)
     known, live = scratch.keep(starts.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     frontier, parts = known, [known]
-    for depth in range(1, most + 1):
-        if not live:
-            break
+    depth = 0
+    while live and (most is None or depth < most):
+        depth += 1
+        if len(parts) > 20:  # the plan stays short, however long the chains
+            parts = [scratch.keep(reduce(DataFrame.unionByName, parts))[0]]
         seen = parts[0]
         for p in parts[1:]:
             seen = seen.unionByName(p)
@@ -246,10 +249,22 @@ def open_contradictions(claims: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(live, F.col("source") == F.col("claim_id"), "left_semi").join(live, F.col("target") == F.col("claim_id"), "left_semi")
 
 
-def on_dependency_cycle(edges: DataFrame, most: int = 20) -> DataFrame:
-    """``node`` of claims that depend on themselves within ``most`` steps."""
-    depends = active_edges(edges, ("depends_on",))
-    starts = depends.select(F.col("source").alias("root")).distinct()
-    again = reach(depends, starts, most).join(depends.select(F.col("source").alias("node"), F.col("target").alias("root2")), "node")
-    direct = depends.where("source = target").select(F.col("source").alias("node"))
+def on_dependency_cycle(edges: DataFrame) -> DataFrame:
+    """``node`` of claims that depend on themselves, however many claims the cycle has.
+
+    Claims that nothing depends on or that depend on nothing are trimmed until none is
+    left; only what remains is closed.
+    """
+    scratch = Scratch(edges.sparkSession, "cycles")
+    rest, n = scratch.keep(active_edges(edges, ("depends_on",)).select("source", "target").distinct())
+    direct, _ = scratch.keep(rest.where("source = target").select(F.col("source").alias("node")))
+    rest, n = scratch.keep(rest.where("source <> target"))
+    before = n + 1
+    while n and n < before:
+        led = rest.select(F.col("target").alias("source")).distinct()
+        leads = rest.select(F.col("source").alias("target")).distinct()
+        previous, before = rest, n
+        rest, n = scratch.keep(rest.join(led, "source", "left_semi").join(leads, "target", "left_semi").select("source", "target"))
+        scratch.drop(previous)
+    again = reach(rest, rest.select(F.col("source").alias("root")), None).join(rest.select(F.col("source").alias("node"), F.col("target").alias("root2")), "node")
     return again.where(F.col("root") == F.col("root2")).select(F.col("root").alias("node")).union(direct).distinct()

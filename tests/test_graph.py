@@ -88,6 +88,12 @@ def test_reach_ends_on_cycles(spark, edges, rows):
     assert rows(G.on_dependency_cycle(edges([("a", "b", "depends_on"), ("b", "a", "depends_on"), ("c", "a", "depends_on")]))) == [("a",), ("b",)]
 
 
+def test_dependency_cycles_of_any_length(spark, edges, rows):
+    ring = [(f"r{k:02d}", f"r{(k + 1) % 25:02d}", "depends_on") for k in range(25)]
+    links = edges([*ring, ("r03", "out", "depends_on"), ("in", "r04", "depends_on"), ("own", "own", "depends_on")])
+    assert rows(G.on_dependency_cycle(links)) == [("own",), *((f"r{k:02d}",) for k in range(25))]
+
+
 def test_settling_values(spark, claims, edges):
     nodes = claims([("verdict", 0.9), ("market", 0.7), ("contested", 0.5), ("framework_dep", 0.6), ("other_frame", 0.5)])
     links = edges([("market", "verdict", "supports"), ("contested", "market", "supports"), ("framework_dep", "market", "supports"), ("contested", "verdict", "is_crux_for"), ("framework_dep", "other_frame", "frames_differently")])
