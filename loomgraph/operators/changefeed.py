@@ -2,20 +2,23 @@
 
 The feed arrives late, repeatedly and out of order; ``tx`` numbers the events in
 their true order. Work is split by a hash of the entity id. Inside a bucket an
-embedded DuckDB table holds one row per entity with the sequence of its latest
+embedded DuckDB table holds one row per entity with the sequences of its latest
 insert, patch and delete; every write is an upsert whose conflict clause compares
-the stored sequence with the incoming one, so replays and stale deliveries lose.
-Deletes leave tombstones (an entity may be deleted by a change that arrives before
-its insert). Bucket results are exported by Spark's committer into a staging
-folder that is renamed into place in one step.
-
-Hot entities: effects commute except through their sequence, so each map task
-first folds its own deliveries to at most one row per entity and kind. A claim
-with a third of all events reaches its bucket as a few rows per map task.
+the stored sequence with the incoming one, so replays and stale deliveries lose
+whatever the order of arrival. Deletes leave tombstones (an entity may be deleted by
+a change that arrives before its insert). Bucket results are exported by Spark's
+committer into a staging folder that is renamed into place in one step.
+
+Hot entities: before the shuffle every map task applies its own deliveries to an
+embedded table of the same kind and sends on what that table holds, at most one row per
+entity and effect (more only where the table is emptied to keep its size). A claim with
+a third of all events reaches its bucket as a few rows per map task, where the same
+upsert takes them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +40,7 @@ EFFECTS = (
 )
 
 CHANGE_COLUMNS = ("entity_id", "effect", "seq", "entity_kind", "body")
+CHANGE_SCHEMA = "entity_id string, effect string, seq bigint, entity_kind string, body string"
 
 
 def normal_id(column: Column) -> Column:
@@ -83,51 +87,86 @@ def event_effects(events: DataFrame, with_body: bool = False) -> DataFrame:
     )
 
 
-def fold_deliveries(effects: DataFrame) -> DataFrame:
-    """At most one row per entity, kind and effect: the one of highest sequence."""
-    return effects.groupBy("entity_id", "effect", "entity_kind").agg(
-        F.max(F.struct("seq", "body")).alias("last")
-    ).select("entity_id", "effect", F.col("last.seq").alias("seq"), "entity_kind", F.col("last.body").alias("body"))
-
-
 STATE_SCHEMA = (
     "entity_id string, entity_kind string, insert_seq bigint, insert_body string, "
     "patch_seq bigint, patch_body string, delete_seq bigint, active boolean"
 )
 
 
-def _bucket_upsert(feed: pa.Table) -> pa.Table:
-    """Upsert one bucket's changes into an embedded table and export its rows."""
-    import duckdb
+_CHANGE_FIELDS = pa.schema([
+    ("entity_id", pa.string()), ("effect", pa.string()), ("seq", pa.int64()), ("entity_kind", pa.string()), ("body", pa.string()),
+])
+_STATE_FIELDS = pa.schema([
+    ("entity_id", pa.string()), ("entity_kind", pa.string()), ("insert_seq", pa.int64()), ("insert_body", pa.string()),
+    ("patch_seq", pa.int64()), ("patch_body", pa.string()), ("delete_seq", pa.int64()), ("active", pa.bool_()),
+])
+
+
+class _Upserts:
+    """One embedded table that takes changes in any order and any repetition."""
+
+    #: Deliveries that one statement takes; between statements only the conflict clause decides.
+    STATEMENT = 1024
+    #: Effect, the kind it names, and the columns for its sequence, kind and body. A tombstone
+    #: of unnamed kind retires a claim or an edge, the other only a claim.
+    TAKES = (
+        (INSERT, "true", "insert_seq", "entity_kind", "insert_body"),
+        (PATCH, "entity_kind = 'claim'", "claim_patch_seq", None, "patch_body"),
+        (DELETE, "entity_kind is null", "delete_seq", None, None),
+        (DELETE, "entity_kind = 'claim'", "claim_delete_seq", None, None),
+    )
+    #: What has to be greater in a new delivery than in the stored row for it to be taken.
+    NEWER = "({new}) > ({old})"
 
-    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"})
-    try:
-        db.execute(
+    def __init__(self):
+        import duckdb
+
+        # no folder to spill to: what a table holds is bounded by its bucket
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.db.execute(
             "create table state (entity_id varchar primary key, entity_kind varchar, "
             "insert_seq bigint default -1, insert_body varchar, "
             "claim_patch_seq bigint default -1, patch_body varchar, "
             "delete_seq bigint default -1, claim_delete_seq bigint default -1)"
         )
-        db.register("feed", feed)
-        # a tombstone of unnamed kind retires a claim or an edge, the other only a claim
-        for effect, kind, seq, body in (
-            (INSERT, "", "insert_seq", "insert_body"),
-            (PATCH, "and entity_kind = 'claim'", "claim_patch_seq", "patch_body"),
-            (DELETE, "and entity_kind is null", "delete_seq", None),
-            (DELETE, "and entity_kind = 'claim'", "claim_delete_seq", None),
-        ):
-            named = effect == INSERT
-            columns = ["entity_id", seq, *([body] if body else []), *(["entity_kind"] if named else [])]
-            values = ["entity_id", "seq", *(["body"] if body else []), *(["entity_kind"] if named else [])]
-            assign = ", ".join(f"{c} = excluded.{c}" for c in columns[1:])
-            db.execute(
-                f"insert into state ({', '.join(columns)}) "
-                f"select {', '.join(values)} from (select * from feed where effect = '{effect}' {kind} "
-                "qualify row_number() over (partition by entity_id order by seq desc, entity_kind, body) = 1) "
-                f"on conflict (entity_id) do update set {assign} where excluded.{seq} > state.{seq}"
-            )
+        self.bytes = 0
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        for start in range(0, batch.num_rows, self.STATEMENT):
+            part = batch.slice(start, self.STATEMENT)
+            present = set(part.column("effect").unique().to_pylist())
+            self.bytes += part.get_total_buffer_size() if part.num_rows == batch.num_rows else part.nbytes
+            self.db.register("feed", pa.Table.from_batches([part]))
+            for effect, named, seq, kind, body in self.TAKES:
+                if effect in present:
+                    self._upsert(effect, named, seq, kind, body)
+            self.db.unregister("feed")
+
+    def _upsert(self, effect: str, named: str, seq: str, kind: str | None, body: str | None) -> None:
+        fields = {"entity_id": "entity_id", seq: "seq"} | ({kind: "entity_kind"} if kind else {}) | ({body: "body"} if body else {})
+        order = [seq] + [f"coalesce({{}}{c}, '')" for c in (kind, body) if c]
+        side = lambda t: ", ".join(o.format(t) if "{" in o else t + o for o in order)
+        self.db.execute(
+            f"insert into state ({', '.join(fields)}) select {', '.join(fields.values())} "
+            f"from (select * from feed where effect = '{effect}' and {named} "
+            # one statement cannot write a row twice
+            "qualify row_number() over (partition by entity_id order by seq desc, coalesce(entity_kind, '') desc, coalesce(body, '') desc) = 1) "
+            f"on conflict (entity_id) do update set {', '.join(f'{c} = excluded.{c}' for c in fields if c != 'entity_id')} "
+            f"where {self.NEWER.format(new=side('excluded.'), old=side('state.'))}"
+        )
+
+    def changes(self) -> pa.Table:
+        """What the table holds as changes again, for a table further on."""
+        held = [
+            f"select entity_id, '{effect}' as effect, {seq} as seq, "
+            f"{kind or ('null::varchar' if 'null' in named else chr(39) + 'claim' + chr(39))} as entity_kind, {body or 'null::varchar'} as body from state where {seq} >= 0"
+            for effect, named, seq, kind, body in self.TAKES
+        ]
+        return self.db.sql(" union all ".join(held)).to_arrow_table().cast(_CHANGE_FIELDS)
+
+    def states(self) -> pa.Table:
         # a patch or delete counts for a claim only if the entity is one; older ones are void
-        return db.execute(
+        return self.db.sql(
             "select entity_id, entity_kind, insert_seq, insert_body, "
             "case when entity_kind = 'claim' and claim_patch_seq > insert_seq then claim_patch_seq end as patch_seq, "
             "case when entity_kind = 'claim' and claim_patch_seq > insert_seq then patch_body end as patch_body, "
@@ -135,21 +174,40 @@ def _bucket_upsert(feed: pa.Table) -> pa.Table:
             "insert_seq >= 0 and insert_seq > delete_seq "
             "and (entity_kind <> 'claim' or insert_seq > claim_delete_seq) as active "
             "from state"
-        ).to_arrow_table()
-    finally:
-        db.close()
+        ).to_arrow_table().cast(_STATE_FIELDS)
+
+    def empty(self) -> None:
+        self.db.execute("delete from state")
+        self.bytes = 0
 
 
-def _upsert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = list(batches)
-    if not parts:
-        return
-    out = _bucket_upsert(pa.Table.from_batches(parts))
-    wide = pa.schema([
-        ("entity_id", pa.string()), ("entity_kind", pa.string()), ("insert_seq", pa.int64()), ("insert_body", pa.string()),
-        ("patch_seq", pa.int64()), ("patch_body", pa.string()), ("delete_seq", pa.int64()), ("active", pa.bool_()),
-    ])
-    yield from out.cast(wide).combine_chunks().to_batches()
+#: Bytes of deliveries after which a map task sends on what its table holds.
+FLUSH = 64 << 20
+
+
+def _apply_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A map task's deliveries, reduced by the upsert to the latest per entity and effect."""
+    table = _Upserts()
+    for batch in batches:
+        table.take(batch)
+        if table.bytes > FLUSH:
+            yield from table.changes().to_batches()
+            table.empty()
+    yield from table.changes().to_batches()
+
+
+def _apply_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = _Upserts()
+    for batch in batches:
+        table.take(batch)
+    yield from table.states().to_batches()
+
+
+def _buckets(changes: DataFrame) -> int:
+    """One bucket per 16 MB of the feed as stored; of a feed of unknown size one per input partition."""
+    partitions = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = plan_bytes(changes)
+    return max(partitions, -(-size // (16 << 20)) if size else changes.rdd.getNumPartitions())
 
 
 def apply_changes(changes: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -157,27 +215,33 @@ def apply_changes(changes: DataFrame, buckets: int | None = None) -> DataFrame:
 
     ``changes`` has the columns of :func:`event_effects`. Repeated rows, equal
     sequences and any arrival order give the same result; of two inserts with equal
-    sequence the larger body wins. An empty feed gives an empty state. Entities that
+    sequence the larger kind, then the larger body wins. An empty feed gives an empty state. Entities that
     were only deleted appear with a null ``entity_kind``, ``insert_seq`` -1 and
-    ``active`` false. ``buckets`` defaults to one per 32 MB of the feed, at least the session's
+    ``active`` false. ``buckets`` defaults to one per 16 MB of the feed, at least the session's
     shuffle partitions.
     """
-    folded = fold_deliveries(changes.select(*CHANGE_COLUMNS))
-    if buckets is None:
-        spark = changes.sparkSession
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(changes) // (32 << 20)))
-    return folded.repartition(buckets, "entity_id").mapInArrow(_upsert_batches, STATE_SCHEMA)
+    return _in_buckets(changes, buckets).mapInArrow(_apply_bucket, STATE_SCHEMA)
+
+
+def latest_changes(changes: DataFrame) -> DataFrame:
+    """The feed reduced to its latest change per entity and effect, in the same columns."""
+    return _in_buckets(changes, None).mapInArrow(_apply_locally, CHANGE_SCHEMA)
+
+
+def _in_buckets(changes: DataFrame, buckets: int | None) -> DataFrame:
+    changes = changes.select(*CHANGE_COLUMNS)
+    return changes.mapInArrow(_apply_locally, CHANGE_SCHEMA).repartition(buckets or _buckets(changes), "entity_id")
 
 
 def rebuild_state(events: DataFrame, with_body: bool = True, path: str | None = None) -> DataFrame:
     """Fold the whole log and publish the state atomically; returns a scan of it.
 
-    ``path`` names the table folder; by default one below the shared folder. Readers
+    ``path`` names the table folder; by default a new one below the shared folder. Readers
     see the old state or the new one, never a mixture (see ``sources.publish``).
     """
     spark: SparkSession = events.sparkSession
     state = apply_changes(event_effects(events, with_body=with_body))
-    return publish(state, path or f"{shared_dir(spark)}/claim-state")
+    return publish(state, path or f"{shared_dir(spark)}/claim-state-{uuid.uuid4().hex}")
 
 
 def active_entities(state: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,20 +13,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_BLANK_LINE = re.compile(r"(?=\n\n)")
+
+
 def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Windows of ``size`` characters that step back ``overlap``; a window ends early at the
     last blank line within its last ``overlap`` characters."""
-    if len(text) <= size:
-        return [(0, len(text))]
-    spans, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            blank = text.rfind("\n\n", end - overlap, end)
-            end = blank if blank > start else end
-        spans.append((start, min(end, len(text))))
-        start = end - overlap
-    return spans
+    total = len(text)
+    blanks = [m.start() for m in _BLANK_LINE.finditer(text)] if total > size else []
+
+    def reach(begin: int) -> int:
+        full = begin + size
+        nearest = bisect_right(blanks, full - 2) - 1
+        ends_early = full < total and nearest >= 0 and blanks[nearest] > max(begin, full - overlap - 1)
+        return blanks[nearest] if ends_early else full
+
+    ends = [reach(0)]
+    while total > size and ends[-1] - overlap < total:
+        ends.append(reach(ends[-1] - overlap))
+    return [(end_before - overlap, min(end, total)) for end_before, end in zip([overlap, *ends], ends, strict=False)]
 
 
 def chunk_documents(documents: DataFrame, size: int = 8000, overlap: int = 500) -> DataFrame:

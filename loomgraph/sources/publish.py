@@ -3,7 +3,8 @@
 A version is written by Spark's own committer into a staging folder (task retries
 and lost executors leave no partial files), renamed to its final name, and then
 named in a small pointer file that is itself replaced by a rename. Readers resolve
-the pointer first, so they always scan one complete version.
+the pointer first, so they always scan one complete version. The version before the
+current one stays for readers that opened it; older ones are deleted.
 """
 
 from __future__ import annotations
@@ -39,16 +40,43 @@ def publish(df: DataFrame, path: str) -> DataFrame:
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(options, 1)
     overwrite[0] = options.OVERWRITE
+    before = _named(spark, path)
     files.rename(pointer, at(f"{path}/{POINTER}"), overwrite)
+    for entry in fs.listStatus(at(path)):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(entry.getPath(), True)
     return spark.read.schema(df.schema).parquet(final)
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """Scan the version that the pointer names."""
+def _named(spark: SparkSession, path: str) -> str | None:
+    """The version that the pointer names, if there is one."""
     jvm, fs = _fs(spark, path)
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"))
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
     try:
-        version = bytes(stream.readAllBytes()).decode()
+        return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """Scan the version that the pointer names."""
+    version = _named(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
     return spark.read.parquet(f"{path}/{version}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``, none if it does not exist."""
+    jvm, fs = _fs(spark, path)
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(e.getPath().getName() for e in fs.listStatus(root) if e.isDirectory()) if fs.exists(root) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm, fs = _fs(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)

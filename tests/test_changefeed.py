@@ -1,9 +1,10 @@
 import json
 import random
 
+from loomgraph.operators import changefeed
 from loomgraph.operators.changefeed import active_entities, apply_changes, event_effects, rebuild_state
 from loomgraph.sources.publish import publish, read_current
-from loomgraph.streaming.fold import folded_state, merge_batch
+from loomgraph.streaming.fold import compact, folded_state, merge_batch
 
 SCHEMA = "event_id string, event_type string, tx bigint, supersedes string, payload string"
 
@@ -89,3 +90,63 @@ def test_streamed_batches_in_any_order_give_the_batch_state(spark, rows, tmp_pat
     for part in (df.where("tx > 60"), df.where("tx <= 60"), df.where("tx between 50 and 70")):
         merge_batch(part, path)
     assert rows(active_entities(folded_state(spark, path))) == replay(events)
+    compact(spark, path)
+    assert rows(active_entities(folded_state(spark, path))) == replay(events)
+
+
+def test_a_replayed_batch_replaces_itself(spark, rows, tmp_path):
+    df = spark.createDataFrame(random_events(9, 80), SCHEMA)
+    path = str(tmp_path / "fold")
+    for number in (0, 1, 1):
+        merge_batch(df.where(f"tx % 2 = {number}"), path, number)
+    assert rows(active_entities(folded_state(spark, path))) == replay(random_events(9, 80))
+
+
+def delivered(events):
+    """One bucket's changes, delivery by delivery, in the order given."""
+    import pyarrow as pa
+
+    rows = []
+    for name, seq, effect, kind, body in events:
+        rows.append({"entity_id": name, "effect": effect, "seq": seq, "entity_kind": kind, "body": body})
+    return pa.RecordBatch.from_pylist(rows, changefeed._CHANGE_FIELDS)
+
+
+def bucket(events, statement, newer=None):
+    """States of a bucket that takes ``statement`` deliveries at a time."""
+    kept = changefeed._Upserts.STATEMENT, changefeed._Upserts.NEWER
+    changefeed._Upserts.STATEMENT = statement
+    changefeed._Upserts.NEWER = newer or kept[1]
+    try:
+        (out,) = changefeed._apply_bucket(iter([delivered(events)]))
+        return sorted(map(str, out.to_pylist()))
+    finally:
+        changefeed._Upserts.STATEMENT, changefeed._Upserts.NEWER = kept
+
+
+def test_the_conflict_clause_decides_between_deliveries():
+    rng = random.Random(3)
+    events = []
+    for seq in range(1, 300):
+        effect = rng.choice(["insert", "insert", "patch", "delete"])
+        kind = {"insert": "claim", "patch": "claim"}.get(effect, rng.choice([None, "claim"]))
+        events.append((f"clm_{rng.randrange(12)}", seq, effect, kind, rng.choice([None, f"b{seq}"]) if effect != "delete" else None))
+    events += [(n, s, e, k, "again" if e == "insert" else b) for n, s, e, k, b in rng.sample(events, 40)]
+    expected = bucket(events, 10_000)
+    for seed in range(3):
+        random.Random(seed).shuffle(events)
+        assert bucket(events, 1) == expected
+        assert bucket(events, 7) == expected
+        # without the comparison of stored sequences the last delivery wins
+        assert bucket(events, 7, "({new}) is not distinct from ({new}) or ({old}) = ({new})") != expected
+
+
+def test_a_map_task_that_empties_its_table_loses_nothing(spark, rows, monkeypatch):
+    events = random_events(5)
+    batches = [delivered([(r.entity_id, r.seq, r.effect, r.entity_kind, r.body)]) for r in event_effects(spark.createDataFrame(events, SCHEMA), True).collect()]
+    monkeypatch.setattr(changefeed, "FLUSH", 200)
+    partial = list(changefeed._apply_locally(iter(batches)))
+    assert sum(b.num_rows for b in partial) > 60
+    (state,) = changefeed._apply_bucket(iter(partial))
+    active = sorted((r["entity_id"], (r["insert_seq"] - 1) // 2, ((r["patch_seq"] or 1) - 1) // 2) for r in state.to_pylist() if r["active"])
+    assert active == replay(events)
