@@ -87,6 +87,11 @@ def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an evaluation item."""
+    return p8_overlap(spark, folder).select("doc_id", "item_id")
+
+
+def p8_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of an item leaked into a document, and how many of its closing question."""
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
@@ -129,6 +134,7 @@ QUERIES = {
     "p6_clusters": p6_clusters,
     "p8_found": p8_found,
     "p8_leaked": p8_leaked,
+    "p8_overlap": p8_overlap,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -175,4 +181,16 @@ select doc_id from documents
 where len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+')) > 1024
 """,
 }
+ORACLE["p8_overlap"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents where text is not null),
+i as (select item_id, {_WORDS} as w,
+        len(case when ends_with(trim(text), '?') then regexp_extract_all(lower(regexp_extract(trim(text), '^(.*[.!?:])\\s[^.!?:]*[?]$', 1)), '[a-z0-9]+') else {_WORDS} end) as asks
+      from eval_items where text is not null),
+dr as (select distinct doc_id, array_to_string(w[s:s+11], ' ') as r
+       from (select doc_id, w, unnest(range(1, len(w) - 10)) as s from d)),
+ir as (select item_id, asks, s, array_to_string(w[s:s+11], ' ') as r
+       from (select item_id, asks, w, unnest(range(1, len(w) - 10)) as s from i)),
+hit as (select distinct doc_id, item_id, asks, unnest(range(s, s + 12)) as at from dr join ir using (r))
+select doc_id, item_id, count(*)::int as words, count_if(at > asks)::int as question_words from hit group by 1, 2
+"""
 ORACLE["p8_leaked"] = f"select item_id, count(*) as n_docs, min(doc_id) as first_doc from ({ORACLE['p8_found']}) group by 1"

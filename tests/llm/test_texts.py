@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from loomgraph.llm import chunking, mixing
+from loomgraph.llm import chunking, leakage, mixing
 from loomgraph.llm.boilerplate import boilerplate_lines, tree_match
 from loomgraph.llm.leakage import ItemIndex, leaked_items
 from loomgraph.llm.tokens import TOKEN
@@ -45,14 +45,54 @@ def test_leaks_equal_brute_force(spark, rows):
 def test_retrieval_is_complete():
     _, items = leaky(4)
     index = ItemIndex(items, 12)
-    rng = random.Random(0)
-    for _ in range(300):
-        terms = sorted(rng.sample(range(len(index.term)), rng.randint(1, 24)))
-        score = dict.fromkeys(range(len(index.ids)), 0.0)
-        for t in terms:
-            for i, x in zip(index.docs[t], index.impact[t], strict=True):
-                score[i] += x
-        assert sorted(index.retrieve(terms)) == [i for i, x in score.items() if x >= 1.0]
+    rng = np.random.default_rng(0)
+    passages = rng.integers(0, index.none + 1, (300, 24)).astype(np.int32)
+    score = np.array([[sum(index.weight[index.cell[t, i // 16], i % 16] for t in set(p)) for i in range(len(index.ids))] for p in passages])
+    rows, got = index.retrieve(passages)
+    assert set(zip(rows, got, strict=True)) == set(zip(*np.nonzero(score >= 1 - 1e-4), strict=True))
+
+
+def test_every_run_of_an_item_reaches_the_threshold():
+    _, items = leaky(6)
+    index = ItemIndex(items, 12)
+    for item, words in enumerate(index.words):
+        for s in range(len(words) - 11):
+            passage = np.full((1, 24), index.none, dtype=np.int32)
+            passage[0, s % 12 : s % 12 + 12] = words[s : s + 12]
+            assert item in index.retrieve(passage)[1]
+
+
+def test_only_what_the_index_retrieves_is_reported(monkeypatch):
+    docs, items = leaky(1)
+    texts = [t for _, t in docs]
+    every = ItemIndex(items, 12).leaks(texts)
+    lost = every[0][1]
+    whole = ItemIndex.retrieve
+
+    def misses(self, passages):
+        rows, found = whole(self, passages)
+        return rows[found != lost], found[found != lost]
+
+    monkeypatch.setattr(ItemIndex, "retrieve", misses)
+    assert sorted(ItemIndex(items, 12).leaks(texts)) == sorted(x for x in every if x[1] != lost) != sorted(every)
+
+
+def test_shards_and_portions_of_a_batch_change_nothing(spark, rows, monkeypatch):
+    docs, items = leaky(2)
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    whole = rows(leakage.leaked_items(d, i))
+    monkeypatch.setattr(leakage, "SHARD_BYTES", 300)
+    assert rows(leakage.leaked_items(d, i)) == whole
+    few = ItemIndex(items, 12).leaks([t for _, t in docs])
+    monkeypatch.setattr(leakage, "WORDS_AT_ONCE", 100)
+    assert sorted(ItemIndex(items, 12).leaks([t for _, t in docs])) == sorted(few)
+
+
+def test_words_of_the_question_are_told_apart(spark, rows):
+    asked = "Passage: one two three four five six seven eight nine ten eleven twelve. What follows from all that was said in the passage of the twelve numbers?"
+    docs = [(1, "ONE two three four five six seven eight nine ten eleven twelve - and more"), (2, "he asked what follows from all that was said in the passage of the twelve sages")]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([(7, asked)], "item_id int, text string"))
+    assert rows(got) == [(1, 7, 12, 0), (2, 7, 13, 13)]
 
 
 def long_text(seed, n=6000, breaks=True):
