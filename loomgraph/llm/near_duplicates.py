@@ -203,9 +203,6 @@ def similar_classes(records: DataFrame, fields: tuple[str, ...], threshold: floa
     return scratch.keep(members)[0], scratch.keep(pairs)[0]
 
 
-#: Pairs of records that two texts with their exact copies may give before the copies are
-#: tied to one another through the first of each text only.
-EXPAND = 4096
 #: Texts of a class that meet those of another in one unit of work.
 SLICE = 256
 
@@ -214,11 +211,11 @@ def near_duplicate_pairs(records: DataFrame, fields: tuple[str, ...], threshold:
     """Pairs ``id_a < id_b`` of distinct records at or above the threshold.
 
     Every two different texts are linked, however many texts share their word sets; the
-    texts of a class are cut into slices that meet pairwise. A pair of texts (or a text
-    and itself) is there with all exact copies of both as long as these give at most
-    ``EXPAND`` pairs. Of more, each copy is paired with the smallest id of the other text
-    (or of its own), which links the same records. The grouped form is
-    :func:`near_duplicate_groups`.
+    texts of a class are cut into slices that meet pairwise. Exact copies are tied to the first
+    of their text (its smallest id), and of two different texts each copy of either is paired with
+    the first of the other: as many pairs as copies, at every size. A text without copies
+    or with one meets every record it is similar to, unless that has copies as well. The grouped
+    form is :func:`near_duplicate_groups`.
     """
     members, pairs = similar_classes(records, fields, threshold)
     scratch = Scratch(records.sparkSession, "near-duplicate-texts")
@@ -233,14 +230,12 @@ def near_duplicate_pairs(records: DataFrame, fields: tuple[str, ...], threshold:
     met = linked.join(left, ["a", "sa"]).join(right, ["b", "sb"])
     met = met.where("a <> b or sa < sb or ta < tb or (ta = tb and na > 1)")
     met, _ = scratch.keep(met.select("ta", "tb", "na", "nb", "first_a", "first_b"))
-    lone = (F.col("na") == 1) & (F.col("nb") == 1)
-    few = F.col("na") * F.col("nb") <= EXPAND
     a = members.select(F.col("text_key").alias("ta"), F.col("id").alias("x"))
     b = members.select(F.col("text_key").alias("tb"), F.col("id").alias("y"))
-    whole = met.where(few & ~lone).join(a, "ta").join(b, "tb").select("x", "y")
-    star = met.where(~few)
-    tied = star.join(a, "ta").select("x", F.col("first_b").alias("y")).union(star.join(b, "tb").select(F.col("first_a").alias("x"), "y"))
-    both = met.where(lone).select(F.col("first_a").alias("x"), F.col("first_b").alias("y")).union(whole).union(tied).where("x <> y")
+    firsts = met.select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+    of_a = met.where("na > 1").join(a, "ta").select("x", F.col("first_b").alias("y"))
+    of_b = met.where("nb > 1 and ta <> tb").join(b, "tb").select(F.col("first_a").alias("x"), "y")
+    both = firsts.union(of_a).union(of_b).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -132,6 +132,25 @@ def test_clusters_find_subjects(spark, rows):
     assert clusters.subject_clusters(df.limit(0), ordinary).count() == 0
 
 
+def test_a_term_of_another_subject_links_but_does_not_merge(spark, rows):
+    first, second = (["kalodol", "mizerix", "tuloramer", "zekadol"], ["ralomer", "kamirix", "tuzedol", "lomiramer"])
+    rng = random.Random(1)
+    texts = [(f"{'ab'[k % 2]}{k:02d}", " and ".join(rng.sample((first, second)[k % 2], 3))) for k in range(24)]
+    texts += [("a98", "kalodol and mizerix and ralomer"), ("b99", "tuzedol and lomiramer and zekadol")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = rows(clusters.subject_clusters(df, ["and"]), "id", "cluster_id")
+    assert got == sorted((i, "a00" if i[0] == "a" else "b01") for i, _ in texts)
+    # the threshold is what keeps them apart
+    assert rows(clusters.subject_clusters(df, ["and"], threshold=0.0), "id", "cluster_id") == sorted((i, "a00") for i, _ in texts)
+
+
+def test_terms_weigh_by_their_company(spark):
+    texts = [(k, "kalodol mizerix " + ("reseen Nimeth" if k % 5 == 0 else "scatter")) for k in range(10)] + [(k, "scatter reseen Nimeth"[: 7 + 7 * (k % 3 > 0)]) for k in range(10, 60)]
+    words = clusters.rare_words(spark.createDataFrame(texts, "id int, text string"), ["and"])
+    weights = {r.term: r.w for r in clusters.term_weights(words).collect()}
+    assert weights["kalodol"] == weights["mizerix"] == 1.0 and "nimeth" not in weights
+
+
 def test_average_linkage_stops_below_the_threshold(spark, rows):
     links = [("a", "b", 0.9), ("b", "c", 0.8), ("c", "d", 0.2), ("d", "e", 0.9), ("b", "d", 0.3)]
     got = clusters.average_linkage(spark.createDataFrame(links + links[:2], "a string, b string, weight double"), 0.5)
@@ -139,8 +158,7 @@ def test_average_linkage_stops_below_the_threshold(spark, rows):
     assert components.consolidate(spark.createDataFrame([("a", "b")], "a string, b string")).count() == 2
 
 
-def test_large_classes_of_copies_are_tied_to_their_first(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "EXPAND", 4)
+def test_copies_are_tied_to_the_first_of_their_text(spark, rows):
     near = "one two three four five six seven eight nine ten"
     records = [(f"a{k}", near, None) for k in range(5)] + [("b0", near + " eleven", None), ("b1", near + " eleven", None), ("c0", "other words", None), ("c1", "words other", None)]
     got = rows(near_duplicates.near_duplicate_pairs(spark.createDataFrame(records, "id string, t string, q string"), ("t", "q"), 0.7))
@@ -151,7 +169,6 @@ def test_large_classes_of_copies_are_tied_to_their_first(spark, rows, monkeypatc
 
 
 def test_different_texts_of_one_word_set_are_all_paired(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "EXPAND", 4)
     monkeypatch.setattr(near_duplicates, "SLICE", 2, raising=False)
     base = "one two three four five six seven eight nine ten".split()
     records = [(f"a{k}", " ".join(base[k:] + base[:k]), None) for k in range(7)]
