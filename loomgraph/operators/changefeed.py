@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomgraph.session import plan_bytes, shared_dir
 from loomgraph.sources.publish import publish
 
-INSERT, PATCH, DELETE = "insert", "patch", "delete"
+INSERT, PATCH, SCORE, DELETE = "insert", "patch", "score", "delete"
 
 #: Event types of the store that create, patch or retire an entity, with the
 #: payload key that names it. Only the asserted types create.
@@ -39,8 +39,8 @@ EFFECTS = (
     ("claim.superseded", "old_claim_id", "claim", DELETE),
 )
 
-CHANGE_COLUMNS = ("entity_id", "effect", "seq", "entity_kind", "body")
-CHANGE_SCHEMA = "entity_id string, effect string, seq bigint, entity_kind string, body string"
+CHANGE_COLUMNS = ("entity_id", "effect", "seq", "entity_kind", "body", "moment")
+CHANGE_SCHEMA = "entity_id string, effect string, seq bigint, entity_kind string, body string, moment bigint"
 
 
 def normal_id(column: Column) -> Column:
@@ -49,16 +49,19 @@ def normal_id(column: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def event_effects(events: DataFrame, with_body: bool = False) -> DataFrame:
-    """One row per effect of an event: ``entity_id, effect, seq, entity_kind, body``.
+def event_effects(events: DataFrame, with_body: bool = False, with_scores: bool = False) -> DataFrame:
+    """One row per effect of an event: ``entity_id, effect, seq, entity_kind, body, moment``.
 
     ``seq`` is twice the transaction number, plus one for the event's own effect, so
     a reference in ``supersedes`` acts before it. Events with a null ``tx`` have no
     place in the order and are ignored, as are unknown types and bodies that are not
-    JSON objects. Extra columns of ``events`` are ignored.
+    JSON objects. ``body`` is the payload of inserts and patches if asked for; a patch
+    that carries a confidence (or rank) is also a score, as a later patch without one leaves
+    it standing. ``moment`` is the event's ``ts`` in microseconds where there is one. Extra
+    columns of ``events`` are ignored.
     """
     kind = normal_id(F.col("event_type"))
-    body = F.from_json(F.col("payload"), "claim_id string, edge_id string, old_claim_id string")
+    body = F.from_json(F.col("payload"), "claim_id string, edge_id string, old_claim_id string, confidence string")
     own = F.lit(None)
     for event_type, key, entity, effect in reversed(EFFECTS):
         own = F.when(
@@ -76,29 +79,38 @@ def event_effects(events: DataFrame, with_body: bool = False) -> DataFrame:
         (F.col("tx") * 2).alias("seq"),
         F.lit(None).cast("string").alias("entity_kind"),
     )
+    effects = [own, reference]
+    if with_body or with_scores:
+        is_number = F.expr("try_cast(_body.confidence as double) is not null")
+        effects.append(F.when((kind == "claim.rank_changed") & is_number, F.struct(
+            normal_id(F.col("_body.claim_id")).alias("entity_id"), F.lit(SCORE).alias("effect"), (F.col("tx") * 2 + 1).alias("seq"), F.lit("claim").alias("entity_kind"))))
     wanted = kind.isin([e[0] for e in EFFECTS]) | normal_id(F.col("supersedes")).isNotNull()
     text = F.col("payload") if with_body else F.lit(None).cast("string")
+    moment = F.unix_micros(F.col("ts").cast("timestamp")) if "ts" in events.columns and (with_body or with_scores) else F.lit(None).cast("bigint")
+    said = F.when(F.col("e.effect") == SCORE, F.col("_body.confidence")).when(F.col("e.effect") != DELETE, F.col("_text"))
     return (
         events.where(F.col("tx").isNotNull() & wanted)
-        .select("event_type", "tx", "supersedes", body.alias("_body"), text.alias("_text"))
-        .select(F.explode(F.array(own, reference)).alias("e"), "_text")
+        .select("event_type", "tx", "supersedes", body.alias("_body"), text.alias("_text"), moment.alias("moment"))
+        .select(F.explode(F.array(*effects)).alias("e"), "_text", "_body", "moment")
         .where(F.col("e.entity_id").isNotNull())
-        .select("e.*", F.when(F.col("e.effect") != DELETE, F.col("_text")).alias("body"))
+        .select("e.*", said.alias("body"), F.when(F.col("e.effect").isin(INSERT, DELETE), F.col("moment")).alias("moment"))
     )
 
 
 STATE_SCHEMA = (
     "entity_id string, entity_kind string, insert_seq bigint, insert_body string, "
-    "patch_seq bigint, patch_body string, delete_seq bigint, active boolean"
+    "patch_seq bigint, patch_body string, delete_seq bigint, active boolean, "
+    "score_body string, insert_at bigint, delete_at bigint"
 )
 
 
 _CHANGE_FIELDS = pa.schema([
-    ("entity_id", pa.string()), ("effect", pa.string()), ("seq", pa.int64()), ("entity_kind", pa.string()), ("body", pa.string()),
+    ("entity_id", pa.string()), ("effect", pa.string()), ("seq", pa.int64()), ("entity_kind", pa.string()), ("body", pa.string()), ("moment", pa.int64()),
 ])
 _STATE_FIELDS = pa.schema([
     ("entity_id", pa.string()), ("entity_kind", pa.string()), ("insert_seq", pa.int64()), ("insert_body", pa.string()),
     ("patch_seq", pa.int64()), ("patch_body", pa.string()), ("delete_seq", pa.int64()), ("active", pa.bool_()),
+    ("score_body", pa.string()), ("insert_at", pa.int64()), ("delete_at", pa.int64()),
 ])
 
 
@@ -107,13 +119,14 @@ class _Upserts:
 
     #: Deliveries that one statement takes; between statements only the conflict clause decides.
     STATEMENT = 1024
-    #: Effect, the kind it names, and the columns for its sequence, kind and body. A tombstone
+    #: Effect, the kind it names, and the columns for its sequence, kind, body and time. A tombstone
     #: of unnamed kind retires a claim or an edge, the other only a claim.
     TAKES = (
-        (INSERT, "true", "insert_seq", "entity_kind", "insert_body"),
-        (PATCH, "entity_kind = 'claim'", "claim_patch_seq", None, "patch_body"),
-        (DELETE, "entity_kind is null", "delete_seq", None, None),
-        (DELETE, "entity_kind = 'claim'", "claim_delete_seq", None, None),
+        (INSERT, "true", "insert_seq", "entity_kind", "insert_body", "insert_at"),
+        (PATCH, "entity_kind = 'claim'", "claim_patch_seq", None, "patch_body", None),
+        (SCORE, "entity_kind = 'claim'", "claim_score_seq", None, "score_body", None),
+        (DELETE, "entity_kind is null", "delete_seq", None, None, "delete_at"),
+        (DELETE, "entity_kind = 'claim'", "claim_delete_seq", None, None, "claim_delete_at"),
     )
     #: What has to be greater in a new delivery than in the stored row for it to be taken.
     NEWER = "({new}) > ({old})"
@@ -125,9 +138,10 @@ class _Upserts:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         self.db.execute(
             "create table state (entity_id varchar primary key, entity_kind varchar, "
-            "insert_seq bigint default -1, insert_body varchar, "
+            "insert_seq bigint default -1, insert_body varchar, insert_at bigint, "
             "claim_patch_seq bigint default -1, patch_body varchar, "
-            "delete_seq bigint default -1, claim_delete_seq bigint default -1)"
+            "claim_score_seq bigint default -1, score_body varchar, "
+            "delete_seq bigint default -1, delete_at bigint, claim_delete_seq bigint default -1, claim_delete_at bigint)"
         )
         self.bytes = 0
 
@@ -137,20 +151,20 @@ class _Upserts:
             present = set(part.column("effect").unique().to_pylist())
             self.bytes += part.get_total_buffer_size() if part.num_rows == batch.num_rows else part.nbytes
             self.db.register("feed", pa.Table.from_batches([part]))
-            for effect, named, seq, kind, body in self.TAKES:
+            for effect, *rest in self.TAKES:
                 if effect in present:
-                    self._upsert(effect, named, seq, kind, body)
+                    self._upsert(effect, *rest)
             self.db.unregister("feed")
 
-    def _upsert(self, effect: str, named: str, seq: str, kind: str | None, body: str | None) -> None:
-        fields = {"entity_id": "entity_id", seq: "seq"} | ({kind: "entity_kind"} if kind else {}) | ({body: "body"} if body else {})
-        order = [seq] + [f"coalesce({{}}{c}, '')" for c in (kind, body) if c]
+    def _upsert(self, effect: str, named: str, seq: str, kind: str | None, body: str | None, moment: str | None) -> None:
+        fields = {"entity_id": "entity_id", seq: "seq"} | {c: f for c, f in ((kind, "entity_kind"), (body, "body"), (moment, "moment")) if c}
+        order = [seq] + [f"coalesce({{}}{c}, '')" for c in (kind, body) if c] + ([f"coalesce({{}}{moment}, 0)"] if moment else [])
         side = lambda t: ", ".join(o.format(t) if "{" in o else t + o for o in order)
         self.db.execute(
             f"insert into state ({', '.join(fields)}) select {', '.join(fields.values())} "
             f"from (select * from feed where effect = '{effect}' and {named} "
             # one statement cannot write a row twice
-            "qualify row_number() over (partition by entity_id order by seq desc, coalesce(entity_kind, '') desc, coalesce(body, '') desc) = 1) "
+            "qualify row_number() over (partition by entity_id order by seq desc, coalesce(entity_kind, '') desc, coalesce(body, '') desc, coalesce(moment, 0) desc) = 1) "
             f"on conflict (entity_id) do update set {', '.join(f'{c} = excluded.{c}' for c in fields if c != 'entity_id')} "
             f"where {self.NEWER.format(new=side('excluded.'), old=side('state.'))}"
         )
@@ -159,8 +173,9 @@ class _Upserts:
         """What the table holds as changes again, for a table further on."""
         held = [
             f"select entity_id, '{effect}' as effect, {seq} as seq, "
-            f"{kind or ('null::varchar' if 'null' in named else chr(39) + 'claim' + chr(39))} as entity_kind, {body or 'null::varchar'} as body from state where {seq} >= 0"
-            for effect, named, seq, kind, body in self.TAKES
+            f"{kind or ('null::varchar' if 'null' in named else chr(39) + 'claim' + chr(39))} as entity_kind, {body or 'null::varchar'} as body, "
+            f"{moment or 'null::bigint'} as moment from state where {seq} >= 0"
+            for effect, named, seq, kind, body, moment in self.TAKES
         ]
         return self.db.sql(" union all ".join(held)).to_arrow_table().cast(_CHANGE_FIELDS)
 
@@ -172,7 +187,9 @@ class _Upserts:
             "case when entity_kind = 'claim' and claim_patch_seq > insert_seq then patch_body end as patch_body, "
             "nullif(greatest(delete_seq, case when entity_kind = 'edge' then -1 else claim_delete_seq end), -1) as delete_seq, "
             "insert_seq >= 0 and insert_seq > delete_seq "
-            "and (entity_kind <> 'claim' or insert_seq > claim_delete_seq) as active "
+            "and (entity_kind <> 'claim' or insert_seq > claim_delete_seq) as active, "
+            "case when entity_kind = 'claim' and claim_score_seq > insert_seq then score_body end as score_body, insert_at, "
+            "case when entity_kind is distinct from 'edge' and claim_delete_seq > delete_seq then claim_delete_at else delete_at end as delete_at "
             "from state"
         ).to_arrow_table().cast(_STATE_FIELDS)
 

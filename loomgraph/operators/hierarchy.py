@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, shuffled
 
 
 RAKED, SPLICED, STAYS = 1, 2, 0
@@ -56,13 +56,13 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False, seed: int = 7)
     while live:
         k += 1
         kids = edges.groupBy(F.col("p").alias("kp")).agg(F.count(F.lit(1)).alias("n"))
-        marked = edges.join(kids, F.col("v") == F.col("kp"), "left").withColumn("leaf", F.col("n").isNull())
+        marked = edges.join(shuffled(kids), F.col("v") == F.col("kp"), "left").withColumn("leaf", F.col("n").isNull())
         around = marked.groupBy(F.col("p").alias("up")).agg(
             F.sum(F.when(F.col("leaf"), F.col("own") + F.col("carry") + 1)).alias("gain"),
             F.count_if(~F.col("leaf")).alias("inner"),
             F.max(F.when(~F.col("leaf"), F.struct("v", "carry"))).alias("one"),
         )
-        ranked = marked.join(around, F.col("v") == F.col("up"), "left").withColumn("c", F.when(F.col("inner") == 1, F.col("one.v")))
+        ranked = marked.join(shuffled(around), F.col("v") == F.col("up"), "left").withColumn("c", F.when(F.col("inner") == 1, F.col("one.v")))
         splice = (
             F.col("c").isNotNull()
             & (F.col("v") != F.col("p"))
@@ -81,7 +81,7 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False, seed: int = 7)
         above = F.col("g_v").isNotNull()
         edges = (
             ranked.where(F.col("fate") == STAYS)
-            .join(gone, F.col("p") == F.col("g_v"), "left")
+            .join(shuffled(gone), F.col("p") == F.col("g_v"), "left")
             .select(
                 "v",
                 F.coalesce("g_p", "p").alias("p"),
@@ -99,13 +99,16 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False, seed: int = 7)
         "v", "p", "w", "own", "seg", F.col("v").alias("c"), F.col("w").alias("c_carry"), F.lit(RAKED).alias("fate"))])
     up = removed.select("v", F.col("p").alias("a"), "w", "seg", F.when(F.col("fate") == SPLICED, F.col("c")).alias("c"),
         (F.col("own") + F.when(F.col("fate") == SPLICED, F.col("c_carry") + 1).otherwise(0)).alias("sub"))
+    previous = None
     for _ in range(max(1, (2 * k - 1).bit_length())):
-        up, seen = scratch.keep_with(up)
+        up, _ = scratch.keep(up)
+        scratch.drop(previous)
+        previous = up
         higher = up.select(F.col("v").alias("h_v"), F.col("a").alias("h_a"), F.col("w").alias("h_w"), F.col("seg").alias("h_seg"))
         lower = up.select(F.col("v").alias("l_v"), F.col("c").alias("l_c"), F.col("sub").alias("l_sub"))
         up = (
-            up.join(higher, F.col("a") == F.col("h_v"), "left")
-            .join(lower, F.col("c") == F.col("l_v"), "left")
+            up.join(shuffled(higher), F.col("a") == F.col("h_v"), "left")
+            .join(shuffled(lower), F.col("c") == F.col("l_v"), "left")
             .select(
                 "v",
                 F.coalesce("h_a", "a").alias("a"),
@@ -118,7 +121,7 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False, seed: int = 7)
     none = F.lit(None)
     # what is left points at itself: the loops, each shrunk to one node
     core = edges.select(F.col("v").alias("core"), F.col("low").alias("loop_root"))
-    below = up.join(core, F.col("a") == F.col("core"), "left").select(
+    below = up.join(shuffled(core), F.col("a") == F.col("core"), "left").select(
         F.col("v").alias("node"),
         F.coalesce("loop_root", "a").alias("root"),
         F.when(F.col("core").isNull(), F.col("w")).otherwise(F.lit(-1)).cast("bigint").alias("depth"),
@@ -130,11 +133,11 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False, seed: int = 7)
         F.col("core").alias("node"), F.col("loop_root").alias("root"), F.lit(-1).cast("bigint").alias("depth"),
         F.lit(True).alias("loop"), none.cast("bigint").alias("n_descendants"), none.alias("path"),
     )
-    tops = every.select(F.col("p").alias("node")).distinct().join(every.select("v"), F.col("node") == F.col("v"), "left_anti")
+    tops = every.select(F.col("p").alias("node")).distinct().join(shuffled(every.select("v")), F.col("node") == F.col("v"), "left_anti")
     carried = _union([r.where(F.col("fate") == RAKED).select("p", "own", "carry") for r in records]) if records else None
     if carried is not None:
         gains = carried.groupBy(F.col("p").alias("gp")).agg(F.sum(F.col("own") + F.col("carry") + 1).alias("total"))
-        tops = tops.join(gains, F.col("node") == F.col("gp"), "left").select("node", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+        tops = tops.join(shuffled(gains), F.col("node") == F.col("gp"), "left").select("node", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
     else:
         tops = tops.withColumn("total", F.lit(0).cast("bigint"))
     tops = tops.select(
@@ -173,4 +176,4 @@ def supersession_links(events: DataFrame) -> DataFrame:
     ids = events.select(normal_id(F.col("event_id")).alias("id")).where(F.col("id").isNotNull())
     links = events.select(normal_id(F.col("event_id")).alias("child"), normal_id(F.col("supersedes")).alias("parent"))
     links = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
-    return links.join(ids, F.col("parent") == F.col("id"), "left_semi")
+    return links.join(shuffled(ids), F.col("parent") == F.col("id"), "left_semi")

@@ -57,6 +57,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that is never broadcast: for tables that grow with the data."""
+    return df.hint("merge")
+
+
 class Scratch:
     """Tables written during one operator call.
 

@@ -108,7 +108,7 @@ def delivered(events):
 
     rows = []
     for name, seq, effect, kind, body in events:
-        rows.append({"entity_id": name, "effect": effect, "seq": seq, "entity_kind": kind, "body": body})
+        rows.append({"entity_id": name, "effect": effect, "seq": seq, "entity_kind": kind, "body": body, "moment": seq % 5})
     return pa.RecordBatch.from_pylist(rows, changefeed._CHANGE_FIELDS)
 
 
