@@ -91,13 +91,15 @@ def score_claims(claims: DataFrame, edges: DataFrame, source_signals: DataFrame
         (source * quote * consistency * precision).alias("quality"), F.coalesce("clusters", F.lit(0)).alias("clusters"), weakest["n"].alias("weakest"),
     )
     raw = F.col("evidence") * F.col("quality")
+    # half up on the binary value, the same in every engine
+    six = lambda c: F.floor(c * 1e6 + 0.5) / 1e6
     return rows.select(
-        "claim_id", "ord", "previous", F.round("evidence", 6).alias("evidence"), F.round("quality", 6).alias("quality"),
-        F.round(raw, 6).alias("confidence"), scoring.confidence_level(raw).alias("level"), "clusters", "weakest",
-        F.when(F.round("evidence", 6) < F.round("quality", 6), "evidence").otherwise("quality").alias("bottleneck"),
+        "claim_id", "ord", "previous", six(F.col("evidence")).alias("evidence"), six(F.col("quality")).alias("quality"),
+        six(raw).alias("confidence"), scoring.confidence_level(raw).alias("level"), "clusters", "weakest",
+        F.when(F.col("evidence") < F.col("quality"), "evidence").otherwise("quality").alias("bottleneck"),
     )
 
 
 def confidence_updates(scored: DataFrame, least: float = 0.05) -> DataFrame:
-    """Scored claims whose confidence moved by more than ``least``."""
-    return scored.where(F.abs(F.col("confidence") - F.coalesce("previous", F.lit(0.5))) > least)
+    """Scored claims whose confidence, to three decimals, moved by more than ``least``."""
+    return scored.where(F.abs(F.bround("confidence", 3) - F.coalesce("previous", F.lit(0.5))) > least)

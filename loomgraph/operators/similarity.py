@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.store import ranked
 from loomgraph.session import Scratch
 
 BLOCK = 2048
@@ -62,8 +63,8 @@ def candidate_pairs(vectors: DataFrame, within: float = 0.6, cross: float = 0.4,
     n = vectors.count()
     pairs = similar_pairs(vectors, within, cross)
     keys = [F.desc("cross_source"), F.desc("similarity"), F.asc("a_ord"), F.asc("b_ord")]
-    best = pairs.withColumn("similarity", F.round("similarity", 6)).orderBy(*keys).limit(n * per_claim)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).select("a", "b", "similarity", "cross_source", "rank")
+    best = ranked(pairs.withColumn("similarity", F.round("similarity", 6)), *keys)
+    return best.where(F.col("rank") <= n * per_claim).select("a", "b", "similarity", "cross_source", "rank")
 
 
 def batches(pairs: DataFrame, size: int = 15) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import edge_type, numbered
 from loomgraph.operators.changefeed import EFFECTS, apply_changes, event_effects
+from loomgraph.session import Scratch
 from loomgraph.sources.publish import publish, read_current
 
 # Event types of the store.
@@ -18,20 +19,31 @@ EVENT_TYPES = (
 LOG_SCHEMA = "event_id string, event_type string, tx bigint, ts timestamp, actor string, method string, supersedes string, payload string"
 
 
+def ranked(rows: DataFrame, *keys: Column, name: str = "rank") -> DataFrame:
+    """``rows`` with their number from 1 in the order of ``keys``; no task holds more than a range of them.
+
+    Ranks count within the ranges of a range partitioning, moved by the sizes of the ranges
+    before. Rows of equal keys are numbered in any order.
+    """
+    parts = rows.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    # written once, so that both uses see the same ranges
+    parts, _ = Scratch(rows.sparkSession, "ranks").keep(parts)
+    held = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = (F.col("_before") + F.col("_k")).cast("bigint")
+    return held.join(before.select("_p", "_before"), "_p").withColumn(name, number).drop("_p", "_k", "_before")
+
+
 def number_events(drafts: DataFrame, last_tx: int = 0) -> DataFrame:
     """Give drafts their ``tx`` and ``event_id`` after ``last_tx``, in order of ``ord``.
 
-    Unknown event types raise. Numbers are dense without sorting in one task: ranks within
-    the ranges of a range partitioning, moved by the sizes of the ranges before.
+    Unknown event types raise. Numbers are dense without sorting in one task.
     """
     kinds = F.when(~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False)), F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce("event_type", F.lit("null")))))
     checked = drafts.withColumn("event_type", F.coalesce(kinds.cast("string"), F.col("event_type")))
-    parts = checked.repartitionByRange("ord").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("ord")))
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    tx = F.col("_before") + F.col("_k") + F.lit(last_tx)
-    numbered_rows = parts.join(before.select("_p", "_before"), "_p").withColumn("tx", tx.cast("bigint"))
-    return numbered_rows.withColumn("event_id", numbered("evt", 6, F.col("tx"))).drop("_p", "_k", "_before")
+    rows = ranked(checked, F.asc("ord"), name="tx").withColumn("tx", F.col("tx") + F.lit(last_tx).cast("bigint"))
+    return rows.withColumn("event_id", numbered("evt", 6, F.col("tx")))
 
 
 def append_events(drafts: DataFrame, path: str, last_tx: int = 0) -> DataFrame:
@@ -58,21 +70,24 @@ def as_of(events: DataFrame, tx: int) -> DataFrame:
 
 
 def claim_state(events: DataFrame) -> DataFrame:
-    """Claims of the state: ``claim_id, assert_tx, text, category, source_url, confidence, status``.
+    """Claims of the state: ``claim_id, assert_tx, text, category, source_url, confidence, rank, status, created_at, expired_at``.
 
-    The latest patch after the latest assertion overrides the confidence; text that is
-    not a number counts as missing.
+    The latest patch after the latest assertion that has a confidence overrides it; text that is
+    not a number counts as missing. The rank is that of the latest patch, ``normal`` where
+    it names none. ``expired_at`` is when a claim that does not stand was superseded last.
     """
     state = apply_changes(event_effects(events, with_body=True)).where("entity_kind = 'claim' and insert_seq > 0")
     body = F.from_json("insert_body", "statement struct<natural_language: string>, category string, source_url string, confidence string")
-    patch = F.from_json("patch_body", "confidence string, new_rank string, confidence_level string")
+    patch = F.from_json("patch_body", "new_rank string")
     number = lambda c: F.expr(f"try_cast({c} as double)")
-    rows = state.select("entity_id", "insert_seq", "active", body.alias("b"), patch.alias("p"))
+    rows = state.select("entity_id", "insert_seq", "active", "patch_seq", "score_body", "insert_at", "delete_at", body.alias("b"), patch.alias("p"))
     return rows.select(
         F.col("entity_id").alias("claim_id"), F.expr("(insert_seq - 1) div 2").alias("assert_tx"),
         F.col("b.statement.natural_language").alias("text"), F.col("b.category").alias("category"), F.col("b.source_url").alias("source_url"),
-        F.coalesce(number("p.confidence"), number("b.confidence")).alias("confidence"), F.col("p.new_rank").alias("rank"),
+        F.coalesce(number("score_body"), number("b.confidence")).alias("confidence"),
+        F.when(F.col("patch_seq").isNotNull(), F.coalesce("p.new_rank", F.lit("normal"))).alias("rank"),
         F.when(F.col("active"), "active").otherwise("superseded").alias("status"),
+        F.timestamp_micros("insert_at").alias("created_at"), F.when(~F.col("active"), F.timestamp_micros("delete_at")).alias("expired_at"),
     )
 
 
@@ -103,15 +118,24 @@ def flags(events: DataFrame) -> DataFrame:
     return rows.select("event_id", "tx", F.get_json_object("payload", "$.flag_type").alias("flag_type"), F.expr("try_cast(get_json_object(payload, '$.severity') as double)").alias("severity"))
 
 
-def save_snapshot(events: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Publish the state with its high-water mark; returns the scan and the mark."""
+SNAPSHOT_PARTS = ("claims", "edges", "positions", "challenges", "flags")
+
+
+def save_snapshot(events: DataFrame, path: str) -> int:
+    """Publish claims, edges, positions, challenges and flags as of the log's end; returns its last ``tx``.
+
+    Every part names the mark; a snapshot is whole once the last part has it.
+    """
     mark = events.agg(F.max("tx")).first()[0] or 0
-    state = apply_changes(event_effects(events)).withColumn("up_to_tx", F.lit(mark).cast("bigint"))
-    return publish(state, path), mark
+    parts = (claim_state(events), edge_state(events), keyed_state(events, "position.stated", "position_id"), keyed_state(events, "challenge.raised", "challenge_id"), flags(events))
+    for name, df in zip(SNAPSHOT_PARTS, parts, strict=True):
+        publish(df.withColumn("up_to_tx", F.lit(mark).cast("bigint")), f"{path}/{name}")
+    return mark
 
 
-def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return read_current(spark, path)
+def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of a snapshot by name."""
+    return {name: read_current(spark, f"{path}/{name}") for name in SNAPSHOT_PARTS}
 
 
 def challenge_events(challenges: DataFrame) -> DataFrame:

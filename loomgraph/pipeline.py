@@ -21,7 +21,7 @@ PHASES = ("relationships", "confidence", "discourse", "full")
 def relationships(spark: SparkSession, folder: str, settings: Settings) -> dict[str, DataFrame]:
     """Duplicates by leader and the batched candidate pairs of what is left."""
     r = settings.relationships
-    claims = adapters.claims_view(spark, folder).selectExpr("claim_id as id", "ord", "source_url")
+    claims = adapters.claims_view(spark, folder).where("status = 'active'").selectExpr("claim_id as id", "ord", "source_url")
     vectors = adapters.vectors_view(spark, folder).join(claims, "id")
     leaders = similarity.duplicate_leaders(similarity.similar_pairs(vectors, r.merge_threshold, r.merge_threshold), vectors)
     kept = vectors.join(leaders.where("id = leader").select("id"), "id", "left_semi")
@@ -31,14 +31,14 @@ def relationships(spark: SparkSession, folder: str, settings: Settings) -> dict[
 
 def scored(spark: SparkSession, folder: str, settings: Settings) -> dict[str, DataFrame]:
     """Confidences and the updates that pass the gate."""
-    rows = confidence.score_claims(adapters.claims_view(spark, folder), adapters.edges_view(spark, folder))
+    rows = confidence.score_claims(*adapters.graph_views(spark, folder))
     return {"confidence": rows, "updates": confidence.confidence_updates(rows, settings.change_gate)}
 
 
 def discussed(spark: SparkSession, folder: str, settings: Settings) -> dict[str, DataFrame]:
     """Positions merged and compared, and what settling shows."""
-    claims, edges = adapters.claims_view(spark, folder), adapters.edges_view(spark, folder)
-    positions = discourse.merge_positions(adapters.positions_view(claims), edges)
+    claims, edges = adapters.graph_views(spark, folder)
+    positions = discourse.merge_positions(adapters.positions_view(spark, folder), edges)
     verdicts = graph.verdict_claims(claims)
     return {
         "positions": positions,

@@ -14,7 +14,8 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import reports as R
 from loomgraph.operators import similarity as S
 from loomgraph.operators import store
-from loomgraph.sources.claims import CLAIMS_SQL, EDGES_SQL, claims_view, edges_view, positions_view, registry_view, vectors_view
+from loomgraph.operators.changefeed import apply_changes, event_effects
+from loomgraph.sources.claims import CLAIMS_SQL, EDGES_SQL, GRAPH_SQL, POSITIONS_SQL, STATE_SQL, claims_view, edges_view, graph_views, positions_view, registry_view, vectors_view
 from loomgraph.sources.tables import table
 from loomgraph.streaming.fold import arrivals
 
@@ -32,14 +33,14 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-_BOTH = f"with recursive {CLAIMS_SQL}, {EDGES_SQL}"
-_CLAIMS = f"with {CLAIMS_SQL}"
+_BOTH = f"with recursive {GRAPH_SQL}"
+_CLAIMS = f"with recursive {CLAIMS_SQL}"
 _EDGES = f"with recursive {EDGES_SQL}"
 
 _LINES = """
 , lines as (
   select e.target as claim_id, c.source_url, coalesce(e.strength, 0.5) * case when c.category = 'assessment' then 0.3 else 1.0 end as strength
-  from edges_v e join claims_v c on c.claim_id = e.source where e.edge_type = 'supports' and e.target is not null
+  from edges_v e join active_v c on c.claim_id = e.source where e.edge_type = 'supports' and e.target is not null
 ), clusters as (
   select claim_id, source_url, count(*) as n, avg(strength) as strength from lines group by 1, 2
 ), scores as (select claim_id, 1 - product(1 - strength) as evidence, count(*) as clusters from clusters group by 1)
@@ -56,15 +57,15 @@ _SCORED = (
   select c.claim_id, c.ord, c.confidence as previous, coalesce(s.evidence, 0.5) as evidence, coalesce(s.clusters, 0) as clusters,
          0.5::double as d0, case when c.quote_verified then 1.0 else 0.3 end::double as d1,
          case when a.claim_id is not null then 0.3 else 0.9 end::double as d2, greatest(0.5, 1 - 0.15 * len(c.flags))::double as d3
-  from claims_v c left join scores s on s.claim_id = c.claim_id left join against a on a.claim_id = c.claim_id
+  from active_v c left join scores s on s.claim_id = c.claim_id left join against a on a.claim_id = c.claim_id
 ), scored as (
-  select claim_id, ord, previous, round(evidence, 6) as evidence, round(d0 * d1 * d2 * d3, 6) as quality,
-         round(evidence * (d0 * d1 * d2 * d3), 6) as confidence,
+  select claim_id, ord, previous, floor(evidence * 1e6 + 0.5) / 1e6 as evidence, floor((d0 * d1 * d2 * d3) * 1e6 + 0.5) / 1e6 as quality,
+         floor((evidence * (d0 * d1 * d2 * d3)) * 1e6 + 0.5) / 1e6 as confidence,
          case when evidence * (d0*d1*d2*d3) >= 0.9 then 'very_high' when evidence * (d0*d1*d2*d3) >= 0.75 then 'high'
               when evidence * (d0*d1*d2*d3) >= 0.5 then 'medium' when evidence * (d0*d1*d2*d3) >= 0.25 then 'low' else 'very_low' end as level,
          clusters, case when d0 <= d1 and d0 <= d2 and d0 <= d3 then 'source' when d1 <= d2 and d1 <= d3 then 'quote'
                         when d2 <= d3 then 'consistency' else 'precision' end as weakest,
-         case when round(evidence, 6) < round(d0 * d1 * d2 * d3, 6) then 'evidence' else 'quality' end as bottleneck
+         case when evidence < d0 * d1 * d2 * d3 then 'evidence' else 'quality' end as bottleneck
   from dims
 )"""
 )
@@ -73,90 +74,82 @@ _SCORED = (
 @_query("claim_confidence", f"{_BOTH} {_SCORED} select * from scored")
 def claim_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence of every claim with its parts."""
-    return C.score_claims(claims_view(spark, folder), edges_view(spark, folder))
+    return C.score_claims(*graph_views(spark, folder))
 
 
-@_query("confidence_updates", f"{_BOTH} {_SCORED} select * from scored where abs(confidence - coalesce(previous, 0.5)) > 0.05")
+@_query("confidence_updates", f"{_BOTH} {_SCORED} select * from scored where abs(round_even(confidence, 3) - coalesce(previous, 0.5)) > 0.05")
 def confidence_updates(spark: SparkSession, folder: str) -> DataFrame:
     return C.confidence_updates(claim_confidence(spark, folder))
 
 
 @_query("evidence_clusters", f"{_BOTH} {_LINES} select claim_id, source_url, n, round(strength, 6) as strength from clusters")
 def evidence_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    rows = C.evidence_clusters(C.evidence_lines(claims_view(spark, folder), edges_view(spark, folder)))
+    rows = C.evidence_clusters(C.evidence_lines(*graph_views(spark, folder)))
     return rows.where("claim_id is not null").withColumn("strength", F.round("strength", 6))
 
 
 @_query("contradicted_claims", f"{_BOTH} {_LINES} select claim_id from against")
 def contradicted_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return C.contradicted(claims_view(spark, folder), edges_view(spark, folder)).where("claim_id is not null")
-
-
-_NUMBER = "try_cast({} as double)"
-
-
-def _state_sql(tx: str = "") -> str:
-    return rf"""
-with ev as (
-  select regexp_replace(lower(event_type), '^\s+|\s+$', '', 'g') as kind, tx,
-         nullif(regexp_replace(lower(supersedes), '^\s+|\s+$', '', 'g'), '') as ref,
-         case when json_valid(payload) then payload end as body from event_log where tx is not null {tx}
-), own as (
-  select *, regexp_replace(lower(json_extract_string(body, '$.claim_id')), '^\s+|\s+$', '', 'g') as cid,
-         regexp_replace(lower(json_extract_string(body, '$.edge_id')), '^\s+|\s+$', '', 'g') as eid,
-         regexp_replace(lower(json_extract_string(body, '$.old_claim_id')), '^\s+|\s+$', '', 'g') as oid from ev
-), deaths as (
-  select id, max(seq) as seq from (select ref as id, 2 * tx as seq from own where ref is not null
-    union all select oid, 2 * tx + 1 from own where kind = 'claim.superseded' and oid is not null) group by 1
-), births as (
-  select case when kind = 'claim.asserted' then cid else eid end as id, max(tx) as tx from own
-  where kind in ('claim.asserted', 'edge.asserted') group by 1
-)"""
+    return C.contradicted(*graph_views(spark, folder)).where("claim_id is not null")
 
 
-_STATE_COUNTS = """
-select case when b.id like 'clm%' then 'claim' else 'edge' end as entity_kind,
-       case when d.seq is null or d.seq < 2 * b.tx + 1 then 'active' else 'superseded' end as status, count(*) as n
-from births b left join deaths d on d.id = b.id where b.id is not null group by 1, 2
-"""
+def _state_counts(events: DataFrame) -> DataFrame:
+    """Claims and edges by status; the fold carries no bodies."""
+    rows = apply_changes(event_effects(events)).where("insert_seq > 0")
+    status = F.when(F.col("active"), "active").otherwise("superseded")
+    return rows.groupBy("entity_kind", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _state_counts(events: DataFrame) -> DataFrame:
-    claims = store.claim_state(events).select(F.lit("claim").alias("entity_kind"), "status")
-    edges = store.edge_state(events).select(F.lit("edge").alias("entity_kind"), "status")
-    return claims.union(edges).groupBy("entity_kind", "status").agg(F.count(F.lit(1)).alias("n"))
+_STATE_COUNTS = "select what as entity_kind, case when active then 'active' else 'superseded' end as status, count(*) as n from st_state group by 1, 2"
 
 
-@_query("state_counts", _state_sql() + _STATE_COUNTS)
+@_query("state_counts", f"with {STATE_SQL} {_STATE_COUNTS}")
 def state_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _state_counts(table(spark, folder, "event_log"))
 
 
-@_query("state_as_of", _state_sql("and tx <= 5000") + _STATE_COUNTS)
+@_query("state_as_of", f"with {STATE_SQL.replace('where tx is not null', 'where tx <= 5000', 1)} {_STATE_COUNTS}")
 def state_as_of(spark: SparkSession, folder: str) -> DataFrame:
     """The state after transaction 5,000."""
     return _state_counts(store.as_of(table(spark, folder, "event_log"), 5000))
 
 
+_STRIP = r"regexp_replace(lower({}), '^\s+|\s+$', '', 'g')"
+
+
 @_query(
     "state_edges",
-    _state_sql()
-    + r"""
-select b.id as edge_id, b.tx as assert_tx,
-  coalesce(regexp_replace(regexp_replace(lower(json_extract_string(o.body, '$.edge_type')), '^\s+|\s+$', '', 'g'), '[\s_]+', '_', 'g'), 'supports') as edge_type,
-  case when d.seq is null or d.seq < 2 * b.tx + 1 then 'active' else 'superseded' end as status
-from births b join (select eid, tx, max(body) as body from own where kind = 'edge.asserted' group by 1, 2) o on o.eid = b.id and o.tx = b.tx
-left join deaths d on d.id = b.id
+    f"""with {STATE_SQL}
+select s.id as edge_id, s.tx as assert_tx,
+  coalesce(regexp_replace({_STRIP.format("json_extract_string(o.body, '$.edge_type')")}, '[\\s_]+', '_', 'g'), 'supports') as edge_type,
+  {_STRIP.format("json_extract_string(o.body, '$.source')")} as source, {_STRIP.format("json_extract_string(o.body, '$.target')")} as target,
+  try_cast(json_extract_string(o.body, '$.strength') as double) as strength, json_extract_string(o.body, '$.revised_from') as revised_from,
+  case when s.active then 'active' else 'superseded' end as status
+from st_state s join (select eid, tx, max(body) as body from st_own where kind = 'edge.asserted' group by 1, 2) o on o.eid = s.id and o.tx = s.tx
+where s.what = 'edge'
 """,
 )
 def state_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return store.edge_state(table(spark, folder, "event_log")).select("edge_id", "assert_tx", "edge_type", "status")
+    """Edges of the state as their latest assertion gives them."""
+    return store.edge_state(table(spark, folder, "event_log"))
 
 
-@_query("state_claims")
+@_query(
+    "state_claims",
+    f"""with {STATE_SQL}
+select s.id as claim_id, s.tx as assert_tx, json_extract_string(o.body, '$.statement.natural_language') as text, json_extract_string(o.body, '$.category') as category,
+  json_extract_string(o.body, '$.source_url') as source_url, coalesce(s.score, try_cast(json_extract_string(o.body, '$.confidence') as double)) as confidence,
+  case when p.tx > s.tx then coalesce(json_extract_string(p.body, '$.new_rank'), 'normal') end as rank,
+  case when s.active then 'active' else 'superseded' end as status, o.moment as created_us, case when not s.active then s.dead_at end as expired_us
+from st_state s join (select cid, tx, max(body) as body, arg_max(moment, body) as moment from st_own where kind = 'claim.asserted' group by 1, 2) o on o.cid = s.id and o.tx = s.tx
+left join (select cid, max({{'tx': tx, 'body': body}}).tx as tx, max({{'tx': tx, 'body': body}}).body as body from st_own where kind = 'claim.rank_changed' group by 1) p on p.cid = s.id
+where s.what = 'claim'
+""",
+)
 def state_claims(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims of the state with text, confidence after patches, rank and status."""
-    return store.claim_state(table(spark, folder, "event_log"))
+    """Claims of the state with text, confidence after patches, rank, status, creation and expiry."""
+    rows = store.claim_state(table(spark, folder, "event_log"))
+    return rows.withColumns({"created_us": F.unix_micros("created_at"), "expired_us": F.unix_micros("expired_at")}).drop("created_at", "expired_at")
 
 
 @_query(
@@ -207,9 +200,9 @@ def arrivals_per_day(spark: SparkSession, folder: str) -> DataFrame:
     return arrivals(table(spark, folder, "event_log"))
 
 
-@_query("valid_claims_as_of", f"{_CLAIMS} select claim_id from claims_v where coalesce(date '2022-06-30' >= valid_from, true) and coalesce(date '2022-06-30' <= valid_until, true)")
+@_query("valid_claims_as_of", f"{_CLAIMS} select claim_id from active_v where coalesce(date '2022-06-30' >= valid_from, true) and coalesce(date '2022-06-30' <= valid_until, true)")
 def valid_claims_as_of(spark: SparkSession, folder: str) -> DataFrame:
-    holds = temporal.valid_at(F.col("status"), F.col("valid_from"), F.col("valid_until"), F.lit(None).cast("timestamp"), F.lit("2022-06-30").cast("date"))
+    holds = temporal.valid_at(F.col("status"), F.col("valid_from"), F.col("valid_until"), F.col("expired_at"), F.lit("2022-06-30").cast("date"))
     return claims_view(spark, folder).where(holds).select("claim_id")
 
 
@@ -217,13 +210,14 @@ def valid_claims_as_of(spark: SparkSession, folder: str) -> DataFrame:
     "supersession_gate",
     f"""{_BOTH}
 select e.edge_id, coalesce(n.confidence, 0.5) >= coalesce(o.confidence, 0.5) * (1 - least(0.3, greatest(date_diff('day', o.extracted_at::date, n.extracted_at::date), 0) / 365.0)) as allowed
-from edges_v e join claims_v n on n.claim_id = e.source join claims_v o on o.claim_id = e.target where e.edge_type in ('supersedes', 'refines')
+from edges_all e join claims_v n on n.claim_id = e.source join claims_v o on o.claim_id = e.target where e.edge_type in ('supersedes', 'refines')
 """,
 )
 def supersession_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the newer claim of each refinement may replace the older one."""
-    claims = claims_view(spark, folder).select("claim_id", F.coalesce("confidence", F.lit(0.5)).alias("c"), "extracted_at")
-    edges = edges_view(spark, folder).where(F.col("edge_type").isin("supersedes", "refines")).select("edge_id", "source", "target")
+    claims, edges = graph_views(spark, folder)
+    claims = claims.select("claim_id", F.coalesce("confidence", F.lit(0.5)).alias("c"), "extracted_at")
+    edges = edges.where(F.col("edge_type").isin("supersedes", "refines")).select("edge_id", "source", "target")
     rows = edges.join(claims.toDF("source", "new_c", "new_at"), "source").join(claims.toDF("target", "old_c", "old_at"), "target")
     gate = temporal.may_replace(F.col("old_c"), F.col("new_c"), F.datediff("new_at", "old_at"))
     return rows.select("edge_id", gate["allowed"].alias("allowed"))
@@ -303,13 +297,40 @@ def non_empty_sources(spark: SparkSession, folder: str) -> DataFrame:
     return DOC.non_empty(table(spark, folder, "fetch_results")).select("fetch_id")
 
 
-@_query("chunks")
+@_query(
+    "chunks",
+    """with recursive w as (
+  select doc_id, text, 0 as k, 0::bigint as a, case when length(text) <= 8000 then length(text) else 8000 end as b from documents where text is not null
+  union all
+  select doc_id, text, k + 1, b - 500, b - 500 + 8000 from (
+    select doc_id, text, k, a, coalesce(cut, b) as b from (
+      select *, case when b < length(text) and strpos(reverse(substring(text, b - 499, 500)), chr(10) || chr(10)) > 0
+          and b - 500 + length(substring(text, b - 499, 500)) - strpos(reverse(substring(text, b - 499, 500)), chr(10) || chr(10)) - 1 > a
+        then b - 500 + length(substring(text, b - 499, 500)) - strpos(reverse(substring(text, b - 499, 500)), chr(10) || chr(10)) - 1 end as cut from w))
+  where length(text) > 8000 and b - 500 < length(text)
+), cut as (
+  select doc_id, k, a, length(text) as n, text, case when b < length(text) and strpos(reverse(substring(text, b - 499, 500)), chr(10) || chr(10)) > 0
+          and b - 500 + length(substring(text, b - 499, 500)) - strpos(reverse(substring(text, b - 499, 500)), chr(10) || chr(10)) - 1 > a
+        then b - 500 + length(substring(text, b - 499, 500)) - strpos(reverse(substring(text, b - 499, 500)), chr(10) || chr(10)) - 1 else b end as b from w
+)
+select doc_id, k as chunk_index, a as start, least(b, n) as end, sha256(substring(text, a + 1, least(b, n) - a)) as chunk from cut
+""",
+)
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 8,000 characters over every document."""
-    return DOC.chunk_documents(table(spark, folder, "documents")).select("doc_id", "chunk_index", "start", "end")
+    return DOC.chunk_documents(table(spark, folder, "documents")).withColumn("chunk", T.content_hash(F.col("chunk")))
 
 
-@_query("transcripts")
+@_query(
+    "transcripts",
+    r"""
+select fetch_id as source_id, string_agg(said, ' ' order by start, said) as text, max(start)::double as duration from (
+  select fetch_id, regexp_extract(line, '^\s*\[(\d+):(\d\d)\]\s*(.*)$', 1)::bigint * 60 + regexp_extract(line, '^\s*\[(\d+):(\d\d)\]\s*(.*)$', 2)::bigint as start,
+    regexp_extract(line, '^\s*\[(\d+):(\d\d)\]\s*(.*)$', 3) as said
+  from (select fetch_id, unnest(string_split(text, chr(10))) as line from (select fetch_id, any_value(text) as text from fetch_results group by 1))
+  where regexp_matches(line, '^\s*\[\d+:\d\d\]\s*.*$')) group by 1
+""",
+)
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched transcripts rebuilt from their timed lines."""
     lines = DOC.timed_segments(table(spark, folder, "fetch_results").dropDuplicates(["fetch_id"])).withColumn("duration", F.lit(0.0))
@@ -362,18 +383,18 @@ def model_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paired_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    claims = claims_view(spark, folder).select(F.col("claim_id").alias("id"), "ord", "source_url")
+    claims = claims_view(spark, folder).where("status = 'active'").select(F.col("claim_id").alias("id"), "ord", "source_url")
     return vectors_view(spark, folder).join(claims, "id")
 
 
 _PAIRS = f"""{_CLAIMS}, v as (
   select id, any_value(vector) as x from (select regexp_replace(lower(claim_id), '^\\s+|\\s+$', '', 'g') as id, vector from claim_vectors
     where len(vector) = 64 and len(list_filter(vector, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(vector, lambda e: e <> 0)) > 0) group by 1
-), u as (select v.id, c.ord, c.source_url, x::double[] as x from v join claims_v c on c.claim_id = v.id),
+), u as (select v.id, c.ord, c.source_url, x::double[] as x from v join active_v c on c.claim_id = v.id),
 pairs as (
   select a.id as a, b.id as b, a.ord as ao, b.ord as bo, round(list_cosine_similarity(a.x, b.x), 6) as similarity, coalesce(a.source_url, '') <> coalesce(b.source_url, '') as cross_source
   from u a join u b on a.ord < b.ord
-  where list_cosine_similarity(a.x, b.x) >= case when coalesce(a.source_url, '') <> coalesce(b.source_url, '') then 0.7 else 0.75 end
+  where list_cosine_similarity(a.x, b.x) >= case when coalesce(a.source_url, '') <> coalesce(b.source_url, '') then 0.4 else 0.6 end
 ), best as (
   select *, row_number() over (order by cross_source desc, similarity desc, ao, bo) as rank from pairs qualify rank <= (select 5 * count(*) from u)
 )"""
@@ -381,8 +402,8 @@ pairs as (
 
 @_query("candidate_pairs", f"{_PAIRS} select a, b, similarity, cross_source, rank from best")
 def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs to classify: cosine of 0.7 across sources, 0.75 within, best five per claim overall."""
-    return S.candidate_pairs(_paired_vectors(spark, folder), within=0.75, cross=0.7)
+    """Pairs to classify: cosine of 0.4 across sources, 0.6 within, best five per claim overall."""
+    return S.candidate_pairs(_paired_vectors(spark, folder))
 
 
 @_query("pair_batches", f"{_PAIRS} select a, b, (rank - 1) // 15 as batch, ((rank - 1) % 15)::bigint as place from best")
@@ -423,7 +444,7 @@ _CRUX = f"""{_BOTH} {_CASCADE} {_TARGETS}
 , deg as (select target as node, count(*) as d from edges_v where edge_type in ('supports', 'depends_on', 'is_crux_for') and source is not null and target is not null group by 1)
 , onward as (select source, target from cas where target in (select node from useful))
 , unc as (select claim_id, ord, category, coalesce(confidence, 0.5) as p,
-    case when coalesce(confidence, 0.5) > 0 and coalesce(confidence, 0.5) < 1 then -(coalesce(confidence, 0.5) * log2(coalesce(confidence, 0.5)) + (1 - coalesce(confidence, 0.5)) * log2(1 - coalesce(confidence, 0.5))) else 0 end as h from claims_v)
+    case when coalesce(confidence, 0.5) > 0 and coalesce(confidence, 0.5) < 1 then -(coalesce(confidence, 0.5) * log2(coalesce(confidence, 0.5)) + (1 - coalesce(confidence, 0.5)) * log2(1 - coalesce(confidence, 0.5))) else 0 end as h from active_v)
 , elig as (select * from unc where category <> 'assessment' and h >= 0.001 and claim_id not in (select claim_id from goals))
 , walk as (
   select claim_id as root, target as node, 1 as depth from elig join onward on source = claim_id
@@ -436,8 +457,8 @@ _CRUX = f"""{_BOTH} {_CASCADE} {_TARGETS}
 
 
 def _crux(spark: SparkSession, folder: str) -> DataFrame:
-    edges = edges_view(spark, folder)
-    return G.crux_scores(claims_view(spark, folder), edges, _targets(edges))
+    claims, edges = graph_views(spark, folder)
+    return G.crux_scores(claims, edges, _targets(edges))
 
 
 @_query("crux_scores", f"{_CRUX} select * from crux")
@@ -450,20 +471,43 @@ def top_cruxes(spark: SparkSession, folder: str) -> DataFrame:
     return G.top_cruxes(_crux(spark, folder), claims_view(spark, folder)).select("claim_id", "score")
 
 
-@_query("settling")
+@_query(
+    "settling",
+    f"""{_BOTH}, verd as (select claim_id as v from active_v where {" or ".join(f"contains(lower(text), '{m}')" for m in T.VERDICT_MARKERS)})
+, sup as (select source, target from edges_v where edge_type = 'supports' and source is not null and target is not null)
+, wrong as (select v from verd where v in (select source from sup) and v not in (select target from sup))
+, turned as (select case when e.edge_type = 'supports' and w.v is not null then e.target else e.source end as source,
+    case when e.edge_type = 'supports' and w.v is not null then e.source else e.target end as target, e.edge_type from edges_v e left join wrong w on w.v = e.source)
+, up as (select distinct source, target from turned where edge_type in ('supports', 'depends_on') and source is not null and target is not null and source <> target)
+, near as (select v, v as node from verd union select v, up.source from near join up on up.target = node)
+, conf as (select claim_id as node, coalesce(confidence, 0.5) as c from claims_v)
+, deps as (select n.v, n.node, coalesce(c, 0.5) between 0.3 and 0.7 as contested from near n left join conf on conf.node = n.node where n.node <> n.v)
+, crux as (select distinct n.v, e.source as node from turned e join near n on n.node in (e.source, e.target) left join conf on conf.node = e.source
+    where e.edge_type = 'is_crux_for' and e.source is not null and e.target is not null and coalesce(c, 0.5) < 0.85)
+, framed as (select node, count(*) as frames from (select source as node from turned where edge_type = 'frames_differently' and source is not null and target is not null
+    union all select target from turned where edge_type = 'frames_differently' and source is not null and target is not null) group by 1)
+, a as (select v, count(*) as n_dependencies, count_if(contested) as n_contested, coalesce(sum(frames), 0)::bigint as n_framework from deps left join framed using (node) group by 1)
+, b as (select v, count(*) as n_cruxes from crux group by 1)
+, o as (select v, count(*) as n_open from (select v, node from deps where contested union select v, node from crux) group by 1)
+, n as (select verd.v, coalesce(n_dependencies, 0) as n_dependencies, coalesce(n_contested, 0) as n_contested, coalesce(n_cruxes, 0) as n_cruxes, coalesce(n_framework, 0) as n_framework,
+    least(1.0, coalesce(n_open, 0) / greatest(1, coalesce(n_dependencies, 0))) as base from verd left join a using (v) left join b using (v) left join o using (v))
+select v as verdict_id, n_contested + n_cruxes > 0 or n_framework > 0 as detected, n_dependencies, n_contested, n_cruxes, n_framework,
+  round(case when n_framework > 0 then greatest(0.5, base) when n_contested + n_cruxes > 0 then base else 0 end, 6)::double as severity from n
+""",
+)
 def settling(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict claims given while what they rest on is open."""
-    claims, edges = claims_view(spark, folder), edges_view(spark, folder)
+    claims, edges = graph_views(spark, folder)
     verdicts = G.verdict_claims(claims)
     return G.settling(claims, G.turned_edges(edges, verdicts), verdicts)
 
 
-@_query("verdict_claims", f"{_CLAIMS} select claim_id from claims_v where " + " or ".join(f"contains(lower(text), '{m}')" for m in T.VERDICT_MARKERS))
+@_query("verdict_claims", f"{_CLAIMS} select claim_id from active_v where (" + " or ".join(f"contains(lower(text), '{m}')" for m in T.VERDICT_MARKERS) + ")")
 def verdict_claims(spark: SparkSession, folder: str) -> DataFrame:
     return G.verdict_claims(claims_view(spark, folder))
 
 
-_POSITIONS = """, member as (select 'pos_' || category as position_id, claim_id, ord from claims_v)
+_POSITIONS = f""", {POSITIONS_SQL}
 , pe as (select least(p.position_id, q.position_id) as a, greatest(p.position_id, q.position_id) as b, edge_type
   from edges_v e join member p on p.claim_id = e.source join member q on q.claim_id = e.target where p.position_id <> q.position_id)
 , pc as (select a, b, count(*) as edges, count_if(edge_type = 'supports') as supports, count_if(edge_type = 'contradicts') as contradicts, count_if(edge_type = 'frames_differently') as frames from pe group by 1, 2)"""
@@ -478,37 +522,35 @@ from ids x join ids y on x.position_id < y.position_id left join pc on pc.a = x.
 """,
 )
 def position_disagreement(spark: SparkSession, folder: str) -> DataFrame:
-    return D.disagreements(positions_view(claims_view(spark, folder)), edges_view(spark, folder))
+    return D.disagreements(positions_view(spark, folder), edges_view(spark, folder))
 
 
 @_query("position_support_share", f"{_BOTH} {_POSITIONS} select a, b, edges, round(supports / edges, 6) as share from pc")
 def position_support_share(spark: SparkSession, folder: str) -> DataFrame:
-    return D.support_shares(positions_view(claims_view(spark, folder)), edges_view(spark, folder))
+    return D.support_shares(positions_view(spark, folder), edges_view(spark, folder))
 
 
 @_query("merged_positions")
 def merged_positions(spark: SparkSession, folder: str) -> DataFrame:
-    return D.merge_positions(positions_view(claims_view(spark, folder)), edges_view(spark, folder))
-
-
-def _largest_only(spark: SparkSession, folder: str) -> DataFrame:
-    return positions_view(claims_view(spark, folder)).where("position_id = 'pos_empirical'")
+    return D.merge_positions(positions_view(spark, folder), edges_view(spark, folder))
 
 
 @_query(
     "opposing_position",
-    f"""{_BOTH}, inside as (select claim_id from claims_v where category = 'empirical')
+    f"""{_BOTH} {_POSITIONS}, largest as (select position_id from member group by 1 order by count(distinct claim_id) desc, position_id limit 1)
+, inside as (select distinct claim_id from member where position_id in (select position_id from largest))
 , ag as (select source, target from edges_v where edge_type in ('contradicts', 'frames_differently', 'qualifies') and source is not null and target is not null)
 , foes as (select distinct o as claim_id from (select source as i, target as o from ag union all select target, source from ag)
    where i in (select claim_id from inside) and o not in (select claim_id from inside))
 , sup as (select source, target from edges_v where edge_type = 'supports' and source is not null and target is not null)
 , all_foes as (select claim_id from foes union select source from sup where target in (select claim_id from foes) union select target from sup where source in (select claim_id from foes))
-select claim_id from all_foes where claim_id not in (select claim_id from inside) and (select count(*) from all_foes where claim_id not in (select claim_id from inside)) >= 3
+, free as (select claim_id from all_foes where claim_id not in (select claim_id from member))
+select claim_id from free where (select count(*) from free) >= 3
 """,
 )
 def opposing_position(spark: SparkSession, folder: str) -> DataFrame:
-    """The opposition to the position of all empirical claims."""
-    return D.opposing_position(_largest_only(spark, folder), edges_view(spark, folder))
+    """The opposition to the largest of the stated positions."""
+    return D.opposing_position(positions_view(spark, folder), edges_view(spark, folder))
 
 
 @_query("positions_density")
@@ -530,41 +572,40 @@ def midband_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(
     "graph_stats",
-    f"""{_BOTH} select 'category' as section, category as name, count(*) as n from claims_v group by 2
+    f"""{_BOTH} select 'category' as section, category as name, count(*) as n from active_v group by 2
 union all select 'edge_type', edge_type, count(*) from edges_v group by 2
-union all select 'total', 'claims', count(*) from claims_v union all select 'total', 'sources', count(distinct source_title) from claims_v""",
+union all select 'total', 'claims', count(*) from active_v union all select 'total', 'sources', count(distinct source_title) from active_v""",
 )
 def graph_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return R.graph_counts(claims_view(spark, folder), edges_view(spark, folder))
+    return R.graph_counts(*graph_views(spark, folder))
 
 
 @_query(
     "claim_page_links",
     f"""{_BOTH} {_POSITIONS}, i as (select target as claim_id, count_if(edge_type = 'supports') as supporting, count_if(edge_type = 'contradicts') as contradicting from edges_v group by 1)
-select c.claim_id, coalesce(supporting, 0) as supporting, coalesce(contradicting, 0) as contradicting, 1 as positions from claims_v c left join i on i.claim_id = c.claim_id""",
+select c.claim_id, coalesce(supporting, 0) as supporting, coalesce(contradicting, 0) as contradicting, coalesce(positions, 0) as positions from claims_v c left join i on i.claim_id = c.claim_id left join (select claim_id, count(distinct position_id) as positions from member group by 1) m on m.claim_id = c.claim_id""",
 )
 def claim_page_links(spark: SparkSession, folder: str) -> DataFrame:
-    claims = claims_view(spark, folder)
-    return R.claim_page_links(claims, edges_view(spark, folder), positions_view(claims))
+    return R.claim_page_links(*graph_views(spark, folder), positions_view(spark, folder))
 
 
-@_query("unsupported_claims", f"{_BOTH} select claim_id from claims_v where claim_id not in (select target from edges_v where edge_type = 'supports' and source is not null and target is not null)")
+@_query("unsupported_claims", f"{_BOTH} select claim_id from active_v where claim_id not in (select target from edges_v where edge_type = 'supports' and source is not null and target is not null)")
 def unsupported_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return G.unsupported_claims(claims_view(spark, folder), edges_view(spark, folder))
+    return G.unsupported_claims(*graph_views(spark, folder))
 
 
-@_query("open_contradictions", f"{_BOTH} select edge_id, source, target from edges_v where edge_type = 'contradicts' and source in (select claim_id from claims_v) and target in (select claim_id from claims_v)")
+@_query("open_contradictions", f"{_BOTH} select edge_id, source, target from edges_v where edge_type = 'contradicts' and source in (select claim_id from active_v) and target in (select claim_id from active_v)")
 def open_contradictions(spark: SparkSession, folder: str) -> DataFrame:
-    return G.open_contradictions(claims_view(spark, folder), edges_view(spark, folder))
+    return G.open_contradictions(*graph_views(spark, folder))
 
 
 @_query("adjacency", f"{_BOTH}, o as (select source, count(*) as n_out from edges_v group by 1) select claim_id, coalesce(n_out, 0) as n_out from claims_v left join o on source = claim_id")
 def adjacency(spark: SparkSession, folder: str) -> DataFrame:
-    rows = G.adjacency(claims_view(spark, folder), edges_view(spark, folder))
+    rows = G.adjacency(*graph_views(spark, folder))
     return rows.select("claim_id", F.coalesce(F.size(F.filter("out_edges", lambda x: x.isNotNull())), F.lit(0)).alias("n_out"))
 
 
-@_query("dependency_cycles", f"{_EDGES}, dep as (select distinct source, target from edges_v where edge_type = 'depends_on' and source is not null and target is not null), w as (select source as r, target as n, 1 as d from dep union select r, target, d + 1 from w join dep on source = n where d < 21) select distinct r as node from w where r = n")
+@_query("dependency_cycles", f"{_EDGES}, dep as (select distinct source, target from edges_v where edge_type = 'depends_on' and source is not null and target is not null), w as (select source as r, target as n from dep union select r, target from w join dep on source = n) select distinct r as node from w where r = n")
 def dependency_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return G.on_dependency_cycle(edges_view(spark, folder))
 
