@@ -5,7 +5,8 @@ closed neighbourhood under it. Edges are relabelled and deduplicated, so the gra
 shrinks by a constant factor in expectation and the number of rounds is logarithmic in
 the number of vertices, whatever the diameter. The mappings of the rounds are kept as
 written tables and expanded from the last to the first, over tables that grow
-geometrically. Nothing is collected; a hub with a third of all edges is one key of a
+geometrically; every second expansion is written, so no plan spans all rounds. Nothing is
+collected or broadcast; a hub with a third of all edges is one key of a
 combinable ``min`` and the skewed side of joins that adaptive execution splits.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, shuffled
 
 
 def consolidate(pairs: DataFrame, seed: int = 11) -> DataFrame:
@@ -33,25 +34,27 @@ def consolidate(pairs: DataFrame, seed: int = 11) -> DataFrame:
         order = _order(seed + len(rounds))
         hook = edges.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(order("b").alias("h"), F.col("b").alias("u"))).alias("m"))
         own = F.struct(order("v").alias("h"), F.col("v").alias("u"))
-        step, _ = scratch.keep(hook.select("v", F.least("m", own)["u"].alias("label")).join(low, "v"))
+        step, _ = scratch.keep(hook.select("v", F.least("m", own)["u"].alias("label")).join(shuffled(low), "v"))
         # the smallest member below each label; only vertices that still had edges take part
         low = step.groupBy(F.col("label").alias("v")).agg(F.min("low").alias("low"))
         rounds.append((step.select("v", "label"), low))
         left = step.select(F.col("v").alias("a"), F.col("label").alias("la"))
         right = step.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-        shrunk = edges.join(left, "a").join(right, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        shrunk = edges.join(shuffled(left), "a").join(shuffled(right), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         previous = edges
         edges, live = scratch.keep(shrunk.distinct())
         if len(rounds) > 1:
             scratch.drop(previous)
     found = None
-    for step, low in reversed(rounds):
-        here = step.join(low.select(F.col("v").alias("label"), "low"), "label")
+    for k, (step, low) in enumerate(reversed(rounds)):
+        here = step.join(shuffled(low.select(F.col("v").alias("label"), "low")), "label")
         if found is not None:
             # a label that had edges in the next round has its group from there
             later = found.select(F.col("v").alias("label"), F.col("low").alias("later"))
-            here = here.join(later, "label", "left").withColumn("low", F.coalesce("later", "low"))
+            here = here.join(shuffled(later), "label", "left").withColumn("low", F.coalesce("later", "low"))
         found = here.select("v", "low")
+        if k % 2 and k + 1 < len(rounds):
+            found, _ = scratch.keep(found)
     found = low if found is None else found
     return found.select(F.col("v").alias("member"), F.col("low").alias("group"))
 
