@@ -1,7 +1,12 @@
-"""Text rules as column expressions; everything here stays on the JVM."""
+"""Text rules as column expressions; all but the fuzzy quote match stay on the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,25 +79,27 @@ def edge_type(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(value), r"^\s+|\s+$", ""), r"[\s_]+", "_")
 
 
+def _of_lower(text: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of the lower-cased text, which is made once however often the rule names it."""
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), rule)[0]
+
+
 def overclaim_flags(text: Column) -> Column:
     """Array of the overclaiming wordings that occur; null text gives none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*(F.lit(p) for p in OVERCLAIMING)), lambda p: F.regexp_like(low, p))
+    return _of_lower(text, lambda low: F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(p)) for p in OVERCLAIMING))))
 
 
 def pressure(text: Column) -> Column:
     """``struct(level, hits, above)`` of the pressure that a prompt puts on its reader."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    known = F.array(*(F.struct(F.lit(n).alias("level"), F.lit(p).alias("wording")) for n, p in PRESSURE))
-    hits = F.filter(known, lambda x: F.regexp_like(low, x["wording"]))
-    level = F.coalesce(F.array_max(F.transform(hits, lambda x: x["level"])), F.lit(1))
-    return F.struct(level.alias("level"), F.size(hits).alias("hits"), (level >= PRESSURE_THRESHOLD).alias("above"))
+    levels = _of_lower(text, lambda low: F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(n)) for n, p in PRESSURE))))
+    # the levels are found once, not for each field
+    fields = lambda x: F.struct(F.greatest(F.lit(1), F.array_max(x)).alias("level"), F.size(x).alias("hits"), F.coalesce(F.array_max(x) >= PRESSURE_THRESHOLD, F.lit(False)).alias("above"))
+    return F.transform(F.array(levels), fields)[0]
 
 
 def is_verdict(text: Column) -> Column:
     """Whether the text speaks of a verdict."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(F.array(*(F.lit(m) for m in VERDICT_MARKERS)), lambda m: F.contains(low, m))
+    return _of_lower(text, lambda low: reduce(or_, (F.contains(low, F.lit(m)) for m in VERDICT_MARKERS)))
 
 
 def quote_contained(quote: Column, text: Column, least: int = 10) -> Column:
@@ -101,20 +108,31 @@ def quote_contained(quote: Column, text: Column, least: int = 10) -> Column:
     return (F.length(F.coalesce(quote, F.lit(""))) >= least) & F.contains(plain_text(F.coalesce(text, F.lit(""))), q)
 
 
+def _in_order(want: pd.Series, have: pd.Series) -> pd.Series:
+    out, said, words = [], None, []
+    for quote, text in zip(want, have, strict=True):
+        if quote is None or text is None:
+            out.append(0)
+            continue
+        if text is not said:
+            said, words = text, text.split(" ")
+        at = n = 0
+        for word in quote.split(" "):
+            try:
+                at = words.index(word, at) + 1
+                n += 1
+            except ValueError:
+                pass
+        out.append(n)
+    return pd.Series(out, dtype="int32")
+
+
 def words_in_order(quote: Column, text: Column) -> Column:
-    """Words of the quote found in the text in order, greedily; a missing word is passed over."""
-    have = F.split(plain_text(text), " ")
-    want = F.split(plain_text(quote), " ")
-    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"))
-
-    def step(state: Column, word: Column) -> Column:
-        found = F.array_position(F.slice(have, state["at"], F.greatest(F.lit(0), F.size(have) - state["at"] + 1)), word)
-        return F.struct(
-            F.when(found > 0, (state["at"] + found).cast("int")).otherwise(state["at"]).alias("at"),
-            (state["n"] + (found > 0).cast("int")).alias("n"),
-        )
-
-    return F.aggregate(want, start, step, lambda s: s["n"])
+    """Words of the quote found in the text in order, greedily; a missing word is passed over.
+
+    One cursor goes through the text's words; null texts and quotes hold none.
+    """
+    return F.pandas_udf(_in_order, "int")(plain_text(quote), plain_text(text))
 
 
 def quote_verified(quote: Column, text: Column, least: int = 10, share: float = 0.8) -> Column:

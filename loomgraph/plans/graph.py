@@ -15,7 +15,7 @@ from loomgraph.operators import reports as R
 from loomgraph.operators import similarity as S
 from loomgraph.operators import store
 from loomgraph.operators.changefeed import apply_changes, event_effects
-from loomgraph.sources.claims import CLAIMS_SQL, EDGES_SQL, GRAPH_SQL, POSITIONS_SQL, STATE_SQL, claims_view, edges_view, graph_views, positions_view, registry_view, vectors_view
+from loomgraph.sources.claims import CLAIMS_SQL, EDGES_SQL, GRAPH_SQL, POSITIONS_SQL, STATE_SQL, claims_view, edges_view, extractions_view, graph_views, positions_view, registry_view, vectors_view
 from loomgraph.sources.tables import table
 from loomgraph.streaming.fold import arrivals
 
@@ -257,7 +257,7 @@ from claims_v c left join pages p on p.url = c.source_url where c.quote is not n
 def quote_exact(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each quote stands in the text fetched from its source."""
     pages = table(spark, folder, "fetch_results").groupBy(F.col("url").alias("source_url")).agg(F.max("text").alias("page"))
-    rows = claims_view(spark, folder).where("quote is not null").join(pages, "source_url", "left")
+    rows = extractions_view(spark, folder).where("quote is not null").join(pages, "source_url", "left")
     return rows.select("claim_id", T.quote_contained(F.col("quote"), F.col("page")).alias("contained"))
 
 
@@ -268,7 +268,7 @@ def quote_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
     Texts of a source are the pages fetched from its address and the pages and documents
     of its title; a quote without any is not verified.
     """
-    rows = claims_view(spark, folder).where("quote is not null").select("claim_id", "quote", "source_url", F.lower(F.trim("source_title")).alias("title"))
+    rows = extractions_view(spark, folder).where("quote is not null").select("claim_id", "quote", "source_url", F.lower(F.trim("source_title")).alias("title"))
     pages = table(spark, folder, "fetch_results").select("url", F.lower(F.trim("title")).alias("title"), "text")
     titled = pages.select("title", "text").union(table(spark, folder, "documents").select(F.lower(F.trim("title")), "text")).distinct()
     by_url = rows.join(pages.select(F.col("url").alias("source_url"), "text").distinct(), "source_url").select("claim_id", "quote", "text")
@@ -339,7 +339,7 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("capped_claims", f"{_CLAIMS} select claim_id, source_url, row_number() over (partition by source_url order by ord) as rank from claims_v qualify rank <= 50")
 def capped_claims(spark: SparkSession, folder: str) -> DataFrame:
-    return DOC.first_per_source(claims_view(spark, folder)).select("claim_id", "source_url", "rank")
+    return DOC.first_per_source(extractions_view(spark, folder)).select("claim_id", "source_url", "rank")
 
 
 @_query(
@@ -365,7 +365,7 @@ select source_url, round(greatest(0.0, (s/n + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/
 )
 def quote_wilson(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of the share of verified quotes per source."""
-    rows = claims_view(spark, folder).groupBy("source_url").agg(F.count_if("quote_verified").alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = extractions_view(spark, folder).groupBy("source_url").agg(F.count_if("quote_verified").alias("s"), F.count(F.lit(1)).alias("n"))
     w = scoring.wilson(F.col("s"), F.col("n"))
     return rows.select("source_url", F.round(w["lower"], 6).alias("lower"), F.round(w["upper"], 6).alias("upper"))
 
@@ -376,14 +376,14 @@ def quote_wilson(spark: SparkSession, folder: str) -> DataFrame:
 from claims_v group by 1""",
 )
 def model_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    rows = claims_view(spark, folder).groupBy("source_url").agg(
+    rows = extractions_view(spark, folder).groupBy("source_url").agg(
         F.count_if("quote_verified").alias("s"), F.count(F.lit(1)).alias("n"), F.count_distinct(scoring.model_family(F.col("extraction_model"))).alias("f")
     )
     return rows.select("source_url", F.round(scoring.agreement(F.col("s"), F.col("n"), F.col("f")), 6).alias("agreement"))
 
 
 def _paired_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    claims = claims_view(spark, folder).where("status = 'active'").select(F.col("claim_id").alias("id"), "ord", "source_url")
+    claims = extractions_view(spark, folder).where("status = 'active'").select(F.col("claim_id").alias("id"), "ord", "source_url")
     return vectors_view(spark, folder).join(claims, "id")
 
 
@@ -612,19 +612,19 @@ def dependency_cycles(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("pending_sources", f"{_CLAIMS} select url from source_registry where url not in (select source_url from claims_v where source_url is not null)")
 def pending_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return R.pending_sources(registry_view(spark, folder), claims_view(spark, folder)).select("url")
+    return R.pending_sources(registry_view(spark, folder), extractions_view(spark, folder)).select("url")
 
 
 @_query("extraction_usage", f"{_CLAIMS} select extraction_model as model, count(*) as calls, sum(length(text))::bigint as input_tokens, sum(length(coalesce(quote, '')))::bigint as output_tokens from claims_v group by rollup (extraction_model)")
 def extraction_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Characters read and quoted by extraction model, with the total."""
-    rows = claims_view(spark, folder).select(F.col("extraction_model").alias("model"), F.length("text").cast("bigint").alias("input_tokens"), F.length(F.coalesce("quote", F.lit(""))).cast("bigint").alias("output_tokens"))
+    rows = extractions_view(spark, folder).select(F.col("extraction_model").alias("model"), F.length("text").cast("bigint").alias("input_tokens"), F.length(F.coalesce("quote", F.lit(""))).cast("bigint").alias("output_tokens"))
     return R.usage_rollup(rows)
 
 
 @_query("trial_scores", f"{_CLAIMS}, t as (select category, count_if(quote_verified)::double s, count(*)::double n from claims_v group by 1) select category, round(s / n, 6) as point, case when (s/n + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) - 1.96 * sqrt((s/n)*(1-s/n)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n) > 0.8 then 'HIGH' when (s/n + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) - 1.96 * sqrt((s/n)*(1-s/n)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n) > 0.5 then 'MEDIUM' when (s/n + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) - 1.96 * sqrt((s/n)*(1-s/n)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n) > 0.2 then 'LOW' else 'INSUFFICIENT_EVIDENCE' end as label from t")
 def trial_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Verification trials by category: point estimate and label of the interval."""
-    rows = claims_view(spark, folder).groupBy("category").agg(F.count_if("quote_verified").alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = extractions_view(spark, folder).groupBy("category").agg(F.count_if("quote_verified").alias("s"), F.count(F.lit(1)).alias("n"))
     w = scoring.wilson(F.col("s"), F.col("n"))
     return rows.select("category", F.round(F.col("s") / F.col("n"), 6).alias("point"), scoring.interval_label(w["lower"], F.lit(1.0)).alias("label"))

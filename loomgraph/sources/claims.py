@@ -37,14 +37,14 @@ def _with_state(rows: DataFrame, key: str, kind: str, state: DataFrame) -> DataF
     return rows.join(shuffled(held), key, "left").withColumn("status", status).drop("active")
 
 
-def claims_view(spark: SparkSession, folder: str, state: DataFrame | None = None) -> DataFrame:
-    """One row per claim: the first extraction of each id with what the log's state says of it.
+def extractions_view(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per claim as first extracted, whatever became of it.
 
     ``ord`` is the claim's number, the order in which ids were given.
     """
     raw = table(spark, folder, "extraction_results").withColumn("claim_id", plain_id(F.col("claim_id")))
     first = F.row_number().over(Window.partitionBy("claim_id").orderBy("extracted_at", "chunk_index"))
-    rows = (
+    return (
         raw.where("claim_id is not null").withColumn("_n", first).where("_n = 1").select(
             "claim_id",
             F.regexp_extract("claim_id", r"(\d+)$", 1).cast("bigint").alias("ord"),
@@ -58,7 +58,11 @@ def claims_view(spark: SparkSession, folder: str, state: DataFrame | None = None
             F.col("confidence").alias("extracted_confidence"), "valid_from", "valid_until", "extracted_at",
         )
     )
-    rows = _with_state(rows, "claim_id", "claim", state_view(spark, folder) if state is None else state)
+
+
+def claims_view(spark: SparkSession, folder: str, state: DataFrame | None = None) -> DataFrame:
+    """The extracted claims with the status, expiry and confidence that the log's state gives them."""
+    rows = _with_state(extractions_view(spark, folder), "claim_id", "claim", state_view(spark, folder) if state is None else state)
     return rows.withColumn("confidence", F.coalesce("score", "extracted_confidence")).drop("score")
 
 

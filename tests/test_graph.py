@@ -55,6 +55,44 @@ def test_confidence_cases(claims, edges):
     assert final(C.score_claims(claims(inactive), lines), "a")[0] == 0.6
 
 
+def test_what_was_superseded_or_patched_changes_the_core_queries(spark, rows, tmp_path):
+    import json
+
+    from loomgraph.plans import graph as plans
+
+    def folder(name, events):
+        path = tmp_path / name
+        base = spark.read.parquet("/root/testdata/sf0.001/extraction_results.parquet").schema
+        data = [{f.name: None for f in base} | {"claim_id": f"CLM_{k} ", "natural_language": "so judges ruled" if k == 0 else "x", "source_url": f"u{k}", "confidence": 0.4, "quote_verified": True} for k in range(4)]
+        spark.createDataFrame([tuple(d.values()) for d in data], base).write.parquet(f"{path}/extraction_results.parquet")
+        edge = spark.read.parquet("/root/testdata/sf0.001/trace_edges.parquet").schema
+        links = [("e1", "clm_1", "clm_0", "supports"), ("e2", "clm_2", "clm_0", "supports"), ("e3", "clm_3", "clm_0", "contradicts"), ("e4", "clm_2", "clm_0", "is_crux_for")]
+        rows_of = [{f.name: None for f in edge} | {"edge_id": e, "source": s, "target": t, "edge_type": k, "strength": 0.6} for e, s, t, k in links]
+        spark.createDataFrame([tuple(d.values()) for d in rows_of], edge).write.parquet(f"{path}/trace_edges.parquet")
+        made = [("claim.asserted", 1 + k, None, json.dumps({"claim_id": f"clm_{k}"})) for k in range(4)] + [("edge.asserted", 5 + k, None, json.dumps({"edge_id": f"e{k + 1}"})) for k in range(4)]
+        log = [(f"evt_{tx}", kind, tx, ref, body, None) for kind, tx, ref, body in made + events]
+        spark.createDataFrame(log, "event_id string, event_type string, tx bigint, supersedes string, payload string, ts timestamp").write.parquet(f"{path}/event_log.parquet")
+        return str(path)
+
+    plain = folder("plain", [])
+    moved = folder("moved", [
+        ("claim.superseded", 20, None, '{"old_claim_id": "clm_2"}'), ("claim.rank_changed", 21, None, '{"claim_id": "clm_3", "confidence": 0.8}'),
+        ("claim.rank_changed", 22, None, '{"claim_id": "clm_3"}'), ("claim.rank_changed", 23, None, '{"claim_id": "clm_1", "confidence": 0.95}'),
+    ])
+    none = folder("none", [("heartbeat", 20, " E1", None)])
+    before = {r.claim_id: r for r in plans.claim_confidence(spark, plain).collect()}
+    after = {r.claim_id: r for r in plans.claim_confidence(spark, moved).collect()}
+    assert (before["clm_0"].evidence, before["clm_0"].clusters, before["clm_0"].weakest) == (0.84, 2, "source")
+    assert (after["clm_0"].evidence, after["clm_0"].clusters, after["clm_0"].weakest) == (0.6, 1, "consistency") and "clm_2" not in after
+    assert {r.claim_id: r for r in plans.claim_confidence(spark, none).collect()}["clm_0"].clusters == 1
+    assert rows(plans.contradicted_claims(spark, plain)) == [] and rows(plans.contradicted_claims(spark, moved)) == [("clm_0",)]
+    # a firm dependency is not contested, a patched one no longer
+    assert [(r.n_contested, r.n_cruxes) for r in plans.settling(spark, plain).collect()] == [(2, 1)]
+    assert [(r.n_contested, r.n_cruxes) for r in plans.settling(spark, moved).collect()] == [(1, 1)]
+    assert rows(plans.unsupported_claims(spark, moved)) == [("clm_1",), ("clm_3",)]
+    assert {r.claim_id: r.score > 0 for r in plans.crux_scores(spark, plain).collect()} == {"clm_0": False, "clm_1": True, "clm_2": True, "clm_3": False}
+
+
 def crux_graph(claims, edges):
     nodes = claims([("target", 0.8), ("foundation", 0.5), ("mid", 0.7), ("irrelevant", 0.5), ("dead_end", 0.5), ("certain", 0.95), ("framework", 0.5)])
     links = edges([("foundation", "mid", "supports"), ("mid", "target", "supports"), ("irrelevant", "dead_end", "supports"), ("certain", "target", "supports"), ("framework", "target", "frames_differently")])

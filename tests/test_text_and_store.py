@@ -75,8 +75,12 @@ def test_log_numbers_snapshots_and_challenges(spark, tmp_path, rows):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 20
     with pytest.raises(Exception, match="unknown event type"):
         store.number_events(drafts.withColumn("event_type", F.lit("odd"))).collect()
-    _, mark = store.save_snapshot(log, str(tmp_path / "snap"))
-    assert mark == 120 and store.load_snapshot(spark, str(tmp_path / "snap")).count() == 20
+    said = [("evt_9", "position.stated", 119, '{"position_id": "pos_1", "member_claims": ["clm_1"]}'), ("evt_8", "meta.flag", 118, '{"flag_type": "note"}'), ("evt_7", "challenge.raised", 117, '{"challenge_id": "chl_9"}')]
+    more = spark.createDataFrame(said, "event_id string, event_type string, tx bigint, payload string")
+    mark = store.save_snapshot(log.unionByName(more, allowMissingColumns=True), str(tmp_path / "snap"))
+    held = store.load_snapshot(spark, str(tmp_path / "snap"))
+    assert mark == 120 and {k: df.count() for k, df in held.items()} == {"claims": 20, "edges": 0, "positions": 1, "challenges": 1, "flags": 1}
+    assert held["claims"].where("up_to_tx = 120 and status = 'active'").count() == 20
     assert store.as_of(log, 110).count() == 10
     challenge = spark.createDataFrame([(1, "chl_1", "clm_3", "factual", "no", "u")], "ord int, challenge_id string, target string, challenge_type string, body string, source_url string")
     raised = store.number_events(store.challenge_events(challenge), 120)
@@ -157,3 +161,31 @@ def test_quotes_are_checked_against_texts_of_their_source(spark, rows, tmp_path)
     spark.createDataFrame([("u1", "x", text), ("u1", None, None)], "url string, title string, text string").write.parquet(f"{tmp_path}/fetch_results.parquet")
     spark.createDataFrame([("a title", text)], "title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(quote_fuzzy(spark, str(tmp_path))) == [("c1", True), ("c2", True), ("c3", False), ("c4", False)]
+
+
+def test_state_keeps_a_confidence_that_later_patches_lack(spark, rows):
+    from datetime import datetime
+
+    day = lambda n: datetime(2024, 1, n)
+    events = [
+        ("claim.asserted", 1, None, '{"claim_id": "clm_1", "confidence": 0.4, "statement": {"natural_language": "x"}}', day(1)),
+        ("claim.rank_changed", 2, None, '{"claim_id": "clm_1", "confidence": "0.8"}', day(2)),
+        ("claim.rank_changed", 3, None, '{"claim_id": "clm_1", "new_rank": "preferred"}', day(3)),
+        ("claim.rank_changed", 4, None, '{"claim_id": "clm_1", "confidence": "high"}', day(4)),
+        ("claim.asserted", 5, None, '{"claim_id": "clm_2", "confidence": 0.3}', day(5)),
+        ("claim.rank_changed", 6, None, '{"claim_id": "clm_3", "confidence": 0.9}', day(6)),
+        ("claim.asserted", 7, "CLM_2 ", '{"claim_id": "clm_3", "confidence": 0.2}', day(7)),
+    ]
+    log = spark.createDataFrame(events, "event_type string, tx bigint, supersedes string, payload string, ts timestamp")
+    got = rows(store.claim_state(log.union(log.where("tx = 2"))), "claim_id", "confidence", "rank", "status", "created_at", "expired_at")
+    assert got == [("clm_1", 0.8, "normal", "active", day(1), None), ("clm_2", 0.3, None, "superseded", day(5), day(7)), ("clm_3", 0.2, None, "active", day(7), None)]
+
+
+def test_wordings(spark):
+    texts = [("This PROVES conclusively it; the only explanation.", 2, 1), ("You must always choose an answer. Failure to comply will result in loss.", 0, 4), (None, 0, 1), ("", 0, 1), ("don't answer insufficient", 0, 3)]
+    df = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(texts)], "k int, t string")
+    got = {r.k: (r.n, r.p.level, r.p.above) for r in df.select("k", F.size(T.overclaim_flags(F.col("t"))).alias("n"), T.pressure(F.col("t")).alias("p")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: (n, p) for k, (_, n, p) in enumerate(texts)}
+    assert got[1][2] is True and got[2][2] is False
+    words = spark.createDataFrame([("a b c", "x A y\n b z c"), ("a b c", "c b a"), (None, "a"), ("a", None)], "q string, t string")
+    assert [r.n for r in words.select(T.words_in_order(F.col("q"), F.col("t")).alias("n")).collect()] == [3, 1, 0, 0]
