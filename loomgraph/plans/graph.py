@@ -383,7 +383,7 @@ def model_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paired_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    claims = extractions_view(spark, folder).where("status = 'active'").select(F.col("claim_id").alias("id"), "ord", "source_url")
+    claims = claims_view(spark, folder).where("status = 'active'").select(F.col("claim_id").alias("id"), "ord", "source_url")
     return vectors_view(spark, folder).join(claims, "id")
 
 
@@ -411,7 +411,19 @@ def pair_batches(spark: SparkSession, folder: str) -> DataFrame:
     return S.batches(candidate_pairs(spark, folder)).select("a", "b", "batch", F.col("place").cast("bigint").alias("place"))
 
 
-@_query("dedup_leaders")
+@_query(
+    "dedup_leaders",
+    f"""{_PAIRS.replace("with recursive", "with recursive", 1)}
+, near as (select b.ord as late, list(a.ord) as early from u a join u b on a.ord < b.ord where list_cosine_similarity(a.x, b.x) >= 0.92 group by 1)
+, turns as (select ord, row_number() over (order by ord) as k, coalesce(early, []) as early from u left join near on late = ord)
+, led as (
+  select 0::bigint as k, []::bigint[] as leaders
+  union all select t.k, case when len(list_intersect(t.early, led.leaders)) = 0 then list_append(led.leaders, t.ord) else led.leaders end from led join turns t on t.k = led.k + 1
+), final as (select leaders from led order by k desc limit 1)
+select me.id as claim_id, coalesce(lead.id, me.id) as leader from turns t join u me on me.ord = t.ord
+left join u lead on lead.ord = case when not list_contains((select leaders from final), t.ord) then list_min(list_intersect(t.early, (select leaders from final))) end
+""",
+)
 def dedup_leaders(spark: SparkSession, folder: str) -> DataFrame:
     """Claims merged greedily at a cosine of 0.92."""
     vectors = _paired_vectors(spark, folder)
