@@ -4,10 +4,10 @@ The budget is the largest total at which every source can give its share within
 repeats. A source is used whole as often as its budget allows; the remainder is an exact
 subset-sum over the histogram of document lengths: each length gives its proportional
 count, longer lengths fill what that leaves, and a bounded-knapsack dynamic programme over
-bit sets closes the last stretch. Which documents of a length are taken is drawn by a
-seeded hash.
+bit sets closes the last stretch, a longer one where a short one does not come out even; what
+no stretch closes is reported. Which documents of a length are taken is drawn by a seeded hash.
 
-Only histograms reach the driver (one row per source and exact token length, at most
+Only histograms reach the driver (one row per listed source and exact token length, at most
 ``max_lengths`` rows in all, checked). Choosing documents sorts within 256 slices of each
 length by hash, so a length or source with a third of all rows is never one task.
 """
@@ -25,8 +25,8 @@ from loomgraph.llm.tokens import count_tokens
 from loomgraph.session import Scratch
 
 SLICES = 256
-#: Stretch of the budget that the dynamic programme closes, in tokens.
-FIT = 1 << 16
+#: Stretches of the budget that the dynamic programme closes, in tokens: the next where one leaves a rest.
+FITS = (1 << 16, 1 << 18, 1 << 20)
 
 
 def source_name(column: Column) -> Column:
@@ -49,8 +49,23 @@ def token_lengths(documents: DataFrame) -> DataFrame:
 
 
 def knapsack(lengths: dict[int, int], budget: int) -> dict[int, int]:
-    """Counts per length, within those available, whose total is the most up to ``budget``
-    that the dynamic programme reaches; exact if ``budget`` is at most ``FIT``."""
+    """Counts per length, within those available, whose total is the most up to ``budget``.
+
+    A total equal to the budget is the most there can be; so is any if the budget is within the longest stretch.
+    """
+    best: dict[int, int] = dict.fromkeys(lengths, 0)
+    for fit in FITS:
+        taken = _fill(lengths, budget, fit)
+        if sum(n * c for n, c in taken.items()) >= sum(n * c for n, c in best.items()):
+            best = taken
+        left = budget - sum(n * c for n, c in best.items())
+        if left <= 0 or budget <= fit or best == lengths:
+            break
+    return best
+
+
+def _fill(lengths: dict[int, int], budget: int, fit: int) -> dict[int, int]:
+    """Counts that leave at most about ``fit`` tokens to the dynamic programme."""
     taken = dict.fromkeys(lengths, 0)
     total = sum(n * c for n, c in lengths.items())
     if budget >= total:
@@ -58,14 +73,14 @@ def knapsack(lengths: dict[int, int], budget: int) -> dict[int, int]:
     if budget <= 0:
         return taken
     left = budget
-    if budget > FIT:
+    if budget > fit:
         for n, c in lengths.items():
-            taken[n] = c * (budget - FIT // 2) // total
+            taken[n] = c * (budget - fit // 2) // total
             left -= taken[n] * n
         for n in sorted(lengths, reverse=True):
-            if left <= FIT:
+            if left <= fit:
                 break
-            more = min(lengths[n] - taken[n], max(0, (left - FIT // 2)) // n)
+            more = min(lengths[n] - taken[n], max(0, (left - fit // 2)) // n)
             taken[n] += more
             left -= more * n
     # bounded counts as powers of two; reach[i] holds the sums after i parcels
@@ -96,7 +111,7 @@ def plan_mix(histogram: pd.DataFrame, targets: pd.DataFrame) -> tuple[pd.DataFra
     """Copies per (source, length), and one report row per target source."""
     totals = histogram.assign(t=histogram["n_tokens"] * histogram["docs"]).groupby("source")["t"].sum()
     wanted = targets[targets["target_share"] > 0]
-    able = [(int(totals.get(r.source, 0)) * int(r.max_repeats)) / r.target_share for r in wanted.itertuples()]
+    able = [int(totals[r.source]) * int(r.max_repeats) / r.target_share for r in wanted.itertuples() if totals.get(r.source, 0)]
     whole = min(able, default=0.0)
     picks, report = [], []
     for r in targets.itertuples():
@@ -112,6 +127,7 @@ def plan_mix(histogram: pd.DataFrame, targets: pd.DataFrame) -> tuple[pd.DataFra
         report.append((r.source, float(r.target_share), int(r.max_repeats), held, budget, used))
     shares = pd.DataFrame(report, columns=["source", "target_share", "max_repeats", "tokens_held", "tokens_wanted", "tokens_used"])
     every = shares["tokens_used"].sum()
+    shares["tokens_short"] = shares["tokens_wanted"] - shares["tokens_used"]
     shares["actual_share"] = shares["tokens_used"] / every if every else 0.0
     return pd.DataFrame(picks, columns=["source", "n_tokens", "whole_copies", "extra_docs"]), shares
 
@@ -120,10 +136,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 5, max_len
     """The chosen records and the report.
 
     Chosen: ``doc_id, source, n_tokens, copies`` with ``copies`` of at least 1. Report: one
-    row per target source with target, wanted, used and actual share. Sources not listed,
-    null sources and texts without tokens are not used. A target source without documents,
-    or a share that nothing can fill, makes the whole mix empty, as no total has the asked
-    shares. Repeated target rows count once; null shares and repeats count as 0. Repeated
+    row per target source with target, wanted, used and actual share, and the tokens by which what
+    is used falls short of what is wanted. Sources not listed, null sources and texts without
+    tokens are not used. A target source without documents gives nothing, which its row
+    shows; the others keep their shares to one another. A listed source that may not be used at
+    all bounds the whole mix at nothing. Repeated target rows count once; null shares and repeats count as 0. Repeated
     documents rows count as further documents. Extra columns are ignored.
     """
     spark = documents.sparkSession
@@ -135,7 +152,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 5, max_len
         F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"),
     ).where("source is not null")
     listed = listed.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    histogram, n = scratch.keep(docs.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs")))
+    used = docs.join(listed.select("source"), "source", "left_semi")
+    histogram, n = scratch.keep(used.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("docs")))
     if n > max_lengths:
         raise ValueError(f"{n} distinct lengths exceed the bound of {max_lengths}")
     picks, report = plan_mix(histogram.toPandas(), listed.toPandas())
@@ -156,6 +174,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 5, max_len
     edge = placed.where(partly).withColumn("extra", (rank <= F.col("quota")).cast("int"))
     chosen = sure.unionByName(edge).select("doc_id", "source", "n_tokens", (F.col("whole_copies") + F.col("extra")).alias("copies"))
     shares = spark.createDataFrame(
-        report, "source string, target_share double, max_repeats int, tokens_held bigint, tokens_wanted bigint, tokens_used bigint, actual_share double"
+        report, "source string, target_share double, max_repeats int, tokens_held bigint, tokens_wanted bigint, tokens_used bigint, tokens_short bigint, actual_share double"
     )
     return chosen.where("copies > 0"), shares

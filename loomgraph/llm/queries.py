@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.boilerplate import boilerplate_lines
@@ -122,6 +122,19 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"))
 
 
+def p10_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document that was split: its tokens, and whether its pieces cover it, fit and overlap as asked."""
+    pieces = split_oversized(table(spark, folder, "documents"))
+    before = F.lag("end_token").over(Window.partitionBy("doc_id").orderBy("piece_no"))
+    rows = pieces.withColumn("before", before)
+    fits = F.col("end_token") - F.col("first_token") <= 1024
+    overlaps = F.when(F.col("before").isNull(), F.col("first_token") == 0).otherwise(F.col("before") - F.col("first_token") == 64)
+    return rows.groupBy("doc_id").agg(
+        F.max("end_token").cast("bigint").alias("n_tokens"), F.bool_and(fits).alias("fits"), F.bool_and(overlaps).alias("overlaps"),
+        F.bool_and(F.length("piece") > 0).alias("filled"),
+    )
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_similar": p2_similar,
@@ -139,6 +152,7 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
+    "p10_checks": p10_checks,
 }
 
 _PLAIN = r"regexp_replace(lower({}), '^\s+|\s+$', '', 'g')"
@@ -181,6 +195,32 @@ select doc_id from documents
 where len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+')) > 1024
 """,
 }
+_N_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+'))"
+ORACLE["p10_checks"] = f"select doc_id, {_N_TOKENS} as n_tokens, true as fits, true as overlaps, true as filled from documents where {_N_TOKENS} > 1024"
+ORACLE["p9_shares"] = f"""
+with d as (
+  select regexp_replace(regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g'), '[\\s_]+', '_', 'g') as source, {_N_TOKENS} as n from documents where source is not null and text is not null
+), t as (
+  select regexp_replace(regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g'), '[\\s_]+', '_', 'g') as source, max(target_share) as target_share, max(max_repeats) as max_repeats from mix_targets group by 1
+), h as (select t.*, coalesce((select sum(n) from d where d.source = t.source), 0)::bigint as tokens_held from t),
+w as (select min(tokens_held * max_repeats / target_share) as whole from h where target_share > 0 and tokens_held > 0),
+b as (select h.*, case when tokens_held > 0 then floor(whole * target_share + 1e-6)::bigint else 0 end as tokens_wanted from h, w)
+select source, target_share, max_repeats, tokens_held, tokens_wanted, tokens_wanted as tokens_used, 0::bigint as tokens_short,
+  tokens_wanted / (select sum(tokens_wanted) from b) as actual_share from b
+"""
+ORACLE["p4_groups"] = """
+with recursive c as (
+  select lower(trim(claim_id)) as id, min(coalesce(natural_language, '') || ' ' || coalesce(relevant_quote, '')) as t from extraction_results group by 1
+), s as (select id, list_sort(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+'))) as ws from c),
+k as (select ws, min(id) as class_id, count(*) as n_copies from s where len(ws) > 0 group by 1),
+w as (select class_id, unnest(ws) as word, len(ws) as n from k),
+p as (select a.class_id as a, b.class_id as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb from w a join w b on a.word = b.word and a.class_id <> b.class_id group by 1, 2),
+l as (select a, b from p where k >= 0.7 * (na + nb - k) - 1e-9),
+r as (select class_id, class_id as other from k union select r.class_id, l.b from r join l on l.a = r.other),
+g as (select class_id, min(other) as group_id from r group by 1),
+m as (select a as class_id, count(*) as n_links from l group by 1)
+select s.id as claim_id, k.class_id, g.group_id, coalesce(n_links, 0) as n_links, n_copies from s join k on k.ws = s.ws join g on g.class_id = k.class_id left join m on m.class_id = k.class_id
+"""
 ORACLE["p8_overlap"] = f"""
 with d as (select doc_id, {_WORDS} as w from documents where text is not null),
 i as (select item_id, {_WORDS} as w,
@@ -190,7 +230,7 @@ dr as (select distinct doc_id, array_to_string(w[s:s+11], ' ') as r
        from (select doc_id, w, unnest(range(1, len(w) - 10)) as s from d)),
 ir as (select item_id, asks, s, array_to_string(w[s:s+11], ' ') as r
        from (select item_id, asks, w, unnest(range(1, len(w) - 10)) as s from i)),
-hit as (select distinct doc_id, item_id, asks, unnest(range(s, s + 12)) as at from dr join ir using (r))
-select doc_id, item_id, count(*)::int as words, count_if(at > asks)::int as question_words from hit group by 1, 2
+hit as (select distinct doc_id, item_id, asks, unnest(range(s, s + 12)) as spot from dr join ir using (r))
+select doc_id, item_id, count(*)::int as words, count_if(spot > asks)::int as question_words from hit group by 1, 2
 """
 ORACLE["p8_leaked"] = f"select item_id, count(*) as n_docs, min(doc_id) as first_doc from ({ORACLE['p8_found']}) group by 1"
