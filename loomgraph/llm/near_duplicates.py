@@ -9,8 +9,9 @@ bit counts; tile pairs whose population counts differ beyond the radius are skip
 bit that differs stands for a word that differs, so the radius loses nothing; what passes
 is verified on the words themselves.
 
-The word order comes from a count sketch of fixed size (the only thing sent to all
-tasks). A word of many classes is cut into sub-blocks by class hash, and each pair of
+The word order comes from a count sketch of two hash rows, as wide as the number of words asks
+for up to a fixed bound (the only thing sent to all tasks); where it overcounts, blocks are
+larger and nothing is lost. A word of many classes is cut into sub-blocks by class hash, and each pair of
 sub-blocks is its own unit of work, so no block is ever one task.
 """
 
@@ -25,13 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import consolidate
+from loomgraph.llm.frames import group_starts, whole_groups
 from loomgraph.llm.tokens import WORD, hash_words
 from loomgraph.session import Scratch
 
 LANES = 8  # 64-bit lanes of a vector
-SKETCH = 1 << 16
+#: Least and most slots of a row of the sketch; two rows of the most take 32 MB.
+SLOTS = (1 << 16, 1 << 22)
+CHUNK = 1 << 16
 SUB_BLOCK = 4096
 TILE = 256
+#: Row pairs of small blocks, each a tile of its own, that are compared together.
+TOGETHER = 1 << 20
 
 
 def overlap_needed(t: float, total: int) -> int:
@@ -63,58 +69,86 @@ def word_classes(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return records.select("id", *fields).mapInPandas(run, f"id {kind}, class_key string, text_key string, words array<bigint>")
 
 
-def _sketch(classes: DataFrame) -> np.ndarray:
-    """Counts of classes per hash slot of the words; ``SKETCH`` numbers, whatever the data."""
+def sketch_slots(words: int) -> int:
+    """Slots of a row for this many words, repeated ones counted: a quarter as many, within bounds."""
+    return min(SLOTS[1], max(SLOTS[0], 1 << (max(1, words) // 4).bit_length()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            if len(batch):
-                total += np.bincount(np.concatenate(list(batch["words"])).view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH)
-        slots = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": slots, "n": total[slots]})
 
-    rows = classes.select("words").mapInPandas(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, dtype=np.int64)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+def _slot(words: np.ndarray, row: int, slots: int) -> np.ndarray:
+    return ((words >> np.uint64(32 * row)) % np.uint64(slots)).astype(np.int64)
 
 
-def bit_vector(words: np.ndarray) -> np.ndarray:
+def _sketch(classes: DataFrame, slots: int) -> np.ndarray:
+    """Counts of classes per hash slot of the words, in two rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, slots), dtype=np.int64)
+        for batch in batches:
+            if len(batch):
+                words = np.concatenate(list(batch["words"])).view(np.uint64)
+                for row in (0, 1):
+                    total[row] += np.bincount(_slot(words, row, slots), minlength=slots)
+        chunks = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(1))
+        yield pd.DataFrame({"chunk": some, "counts": [chunks[k].tobytes() for k in some]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in part["counts"])
+        return pd.DataFrame({"chunk": part["chunk"][:1], "counts": [np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes()]})
+
+    rows = classes.select("words").mapInPandas(run, "chunk bigint, counts binary").groupBy("chunk").applyInPandas(add, "chunk bigint, counts binary")
+    out = np.zeros((2 * slots // CHUNK, CHUNK), dtype=np.int32)
+    for chunk, counts in rows.collect():
+        out[chunk] = np.frombuffer(counts, dtype=np.int32)
+    return out.reshape(2, slots)
+
+
+def bit_vectors(words: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """A row of ``LANES`` numbers per owner, a bit for each of its hashed words."""
     bits = (words >> np.uint64(20)) % np.uint64(LANES * 64)
-    out = np.zeros(LANES, dtype=np.uint64)
-    np.bitwise_or.at(out, (bits // np.uint64(64)).astype(np.int64), np.uint64(1) << (bits % np.uint64(64)))
+    out = np.zeros((owners, LANES), dtype=np.uint64)
+    np.bitwise_or.at(out, (owner, (bits // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bits % np.uint64(64)))
     return out
 
 
 def _placements(t: float, sketch):
     """Rows of the blocks that a class takes part in."""
+    need = np.vectorize(overlap_needed, otypes=[np.int64])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
+        slots = counts.shape[1]
         for batch in batches:
-            cols = {k: [] for k in ("word", "row", "col", "probe", "size", "cid", "bits")}
-            for cid, listed in zip(batch["cid"], batch["words"], strict=True):
-                words = np.asarray(listed, dtype=np.int64).view(np.uint64)
-                df = counts[(words % np.uint64(SKETCH)).astype(np.int64)]
-                order = np.lexsort((words, df))
-                n = len(words)
-                probe = n - math.ceil(t * n - 1e-9) + 1
-                index = n - overlap_needed(t, 2 * n) + 1
-                bits = bit_vector(words).tobytes()
-                for rank, at in enumerate(order[:probe]):
-                    if df[at] < 2:
-                        continue
-                    parts = -(-int(df[at]) // SUB_BLOCK)
-                    own = hash(int(cid)) % parts
-                    word = int(words[at].astype(np.int64))
-                    places = [(own, c, False) for c in range(parts)] if rank < index else []
-                    places += [(r, own, True) for r in range(parts)]
-                    for r, c, is_probe in places:
-                        for k, v in zip(cols, (word, r, c, is_probe, n, cid, bits), strict=True):
-                            cols[k].append(v)
-            if cols["cid"]:
-                yield pd.DataFrame(cols)
+            if not len(batch):
+                continue
+            n = np.array([len(w) for w in batch["words"]])
+            words = np.concatenate(list(batch["words"])).astype(np.int64).view(np.uint64)
+            owner = np.repeat(np.arange(len(n)), n)
+            df = np.minimum(*(counts[r][_slot(words, r, slots)] for r in (0, 1)))
+            bits = bit_vectors(words, owner, len(n))
+            pop = np.bitwise_count(bits).sum(1).astype(np.int32)
+            order = np.lexsort((words, df, owner))
+            words, df = words[order], df[order]
+            rank = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            probes = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+            indexed = n - need(t, 2 * n) + 1
+            at = np.flatnonzero((rank < probes[owner]) & (df >= 2))
+            parts = -(-df[at].astype(np.int64) // SUB_BLOCK)
+            cid = batch["cid"].to_numpy()
+            own = cid[owner[at]] % parts
+            keep = rank[at] < indexed[owner[at]]
+            held = []
+            for some, probe in ((keep, False), (np.ones(len(at), dtype=bool), True)):
+                every = np.repeat(np.flatnonzero(some), parts[some])
+                step = np.arange(len(every)) - np.repeat(np.cumsum(parts[some]) - parts[some], parts[some])
+                held.append((at[every], *((own[every], step) if not probe else (step, own[every])), np.full(len(every), probe)))
+            spot, row, col, probe = (np.concatenate(x) for x in zip(*held, strict=True))
+            of = owner[spot]
+            packed = np.array([b.tobytes() for b in bits] + [None], dtype=object)[:-1]
+            yield pd.DataFrame({
+                "word": words[spot].view(np.int64), "row": row.astype(np.int32), "col": col.astype(np.int32), "probe": probe,
+                "pop": pop[of], "size": n[of].astype(np.int32), "cid": cid[of], "bits": packed[of],
+            })
 
     return run
 
@@ -131,6 +165,8 @@ def tile_matches(bits_y, pop_y, size_y, bits_x, pop_x, size_x, limit) -> Iterato
             far = np.zeros((len(yp), len(xp)), dtype=np.uint16)
             for k in range(LANES):
                 far += np.bitwise_count(yb[:, k, None] ^ xb[None, :, k])
+                if k == LANES // 2 and far.min() > radius:
+                    break  # what differs so far is beyond the radius everywhere
             near = far <= limit[ys[:, None] + xs[None, :]]
             near &= ys[:, None] <= xs[None, :]
             y, x = np.nonzero(near)
@@ -138,35 +174,51 @@ def tile_matches(bits_y, pop_y, size_y, bits_x, pop_x, size_x, limit) -> Iterato
                 yield y + i, x + j
 
 
+def pair_matches(bits, pop, size, y, x, limit) -> tuple[np.ndarray, np.ndarray]:
+    """Of the row pairs (y, x) those within the radius, with the smaller set as y."""
+    radius = limit[size[y] + size[x]]
+    live = (size[y] <= size[x]) & (np.abs(pop[y] - pop[x]) <= radius)
+    y, x, radius = y[live], x[live], radius[live]
+    # half of the lanes tell most pairs apart
+    far = np.bitwise_count(bits[0][y] ^ bits[0][x]).sum(1)
+    live = far <= radius
+    y, x, radius, far = y[live], x[live], radius[live], far[live]
+    near = far + np.bitwise_count(bits[1][y] ^ bits[1][x]).sum(1) <= radius
+    return y[near], x[near]
+
+
 def _compare(t: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        size = group["size"].to_numpy()
-        top = 2 * int(size.max()) + 1
-        limit = np.array([s - 2 * overlap_needed(t, s) for s in range(top + 1)], dtype=np.int64)
-        bits = np.frombuffer(b"".join(group["bits"]), dtype=np.uint64).reshape(-1, LANES)
-        pop = np.bitwise_count(bits).sum(1).astype(np.int64)
-        cid, probe = group["cid"].to_numpy(), group["probe"].to_numpy()
-        block = (group["word"].to_numpy(), group["row"].to_numpy(), group["col"].to_numpy())
-        order = np.lexsort((pop, probe, *block))
-        changed = np.zeros(len(order), dtype=bool)
-        for part in block:
-            changed[1:] |= part[order][1:] != part[order][:-1]
-        starts = np.flatnonzero(changed)
-        found: set[tuple[int, int]] = set()
-        for at in np.split(order, starts):
-            # a class alone meets itself only
-            if len(at) < 2 or (len(at) == 2 and cid[at[0]] == cid[at[1]]):
-                continue
-            cut = int(np.searchsorted(probe[at], True))
-            y, x = at[:cut], at[cut:]
-            if not len(y) or not len(x):
-                continue
-            for a, b in tile_matches(bits[y], pop[y], size[y], bits[x], pop[x], size[x], limit):
-                a, b = cid[y[a]], cid[x[b]]
-                keep = a != b
-                found.update(zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist(), strict=True))
-        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, ("word", "row", "col")):
+            size = part["size"].to_numpy()
+            limit = np.array([s - 2 * overlap_needed(t, s) for s in range(2 * int(size.max()) + 1)], dtype=np.int64)
+            bits = np.frombuffer(b"".join(part["bits"]), dtype=np.uint64).reshape(-1, LANES)
+            pop, cid, probe = (part[c].to_numpy() for c in ("pop", "cid", "probe"))
+            starts = group_starts(part, ("word", "row", "col"))
+            ends = np.r_[starts[1:], len(part)]
+            cuts = ends - np.add.reduceat(probe.astype(np.int64), starts)  # index rows stand before the probe rows
+            held, asked = cuts - starts, ends - cuts
+            small = (held * asked > 0) & (held * asked <= TILE * TILE)
+            halves = [np.ascontiguousarray(half) for half in np.split(bits, 2, axis=1)]
+            found = []
+            for s, c, e in zip(starts[~small], cuts[~small], ends[~small], strict=True):
+                if s < c < e:
+                    for y, x in tile_matches(bits[s:c], pop[s:c], size[s:c], bits[c:e], pop[c:e], size[c:e], limit):
+                        found.append((y + s, x + c))
+            # small blocks are a tile each; the pairs of many are compared at once
+            s, c, wide, pairs = starts[small], cuts[small], asked[small], (held * asked)[small]
+            turn = np.cumsum(pairs) // TOGETHER
+            for k in np.unique(turn):
+                of = turn == k
+                n = pairs[of]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                w = np.repeat(wide[of], n)
+                found.append(pair_matches(halves, pop, size, np.repeat(s[of], n) + at // w, np.repeat(c[of], n) + at % w, limit))
+            if found:
+                y, x = (cid[np.concatenate(side)] for side in zip(*found, strict=True))
+                pairs = np.unique(np.stack([np.minimum(y, x), np.maximum(y, x)], 1)[y != x], axis=0)
+                if len(pairs):
+                    yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -183,17 +235,16 @@ def similar_classes(records: DataFrame, fields: tuple[str, ...], threshold: floa
     spark = records.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     once = records.where("id is not null").groupBy("id").agg(F.min(F.struct(*fields)).alias("r")).select("id", "r.*")
-    sets, n = scratch.keep(word_classes(once, fields).where("class_key is not null"))
+    sets, _ = scratch.keep(word_classes(once, fields).where("class_key is not null"))
     classes = sets.select("class_key", "words").dropDuplicates(["class_key"])
-    classes, n = scratch.keep(classes.select(F.monotonically_increasing_id().alias("cid"), "class_key", "words"))
+    classes, seen = scratch.keep_with(classes.select(F.monotonically_increasing_id().alias("cid"), "class_key", "words"), words=F.sum(F.size("words")))
     members = sets.select("id", "class_key", "text_key").join(classes.select("class_key", "cid"), "class_key").select("id", "cid", "text_key")
-    sketch = spark.sparkContext.broadcast(_sketch(classes))
-    schema = "word bigint, row int, col int, probe boolean, size int, cid bigint, bits binary"
+    sketch = spark.sparkContext.broadcast(_sketch(classes, sketch_slots(int(seen["words"] or 0))))
+    schema = "word bigint, row int, col int, probe boolean, pop int, size int, cid bigint, bits binary"
     placed = classes.select("cid", "words").mapInPandas(_placements(threshold, sketch), schema)
-    # units of about 16k rows; a class has some 30 placements
-    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 32 // 16384)
-    unit = F.pmod(F.xxhash64("word", "row", "col"), F.lit(units)).alias("unit")
-    near = placed.groupBy(unit).applyInPandas(_compare(threshold), "a bigint, b bigint")
+    # a block lies within one partition; adaptive execution sizes these by what is placed
+    blocks = placed.repartition("word", "row", "col").sortWithinPartitions("word", "row", "col", "probe", "pop")
+    near = blocks.mapInPandas(_compare(threshold), "a bigint, b bigint")
     near, _ = scratch.keep(near.distinct())
     left = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
     right = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))

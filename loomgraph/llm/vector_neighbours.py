@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.frames import whole_groups
 from loomgraph.session import Scratch
 
 RUN = 256  # vectors compared with one another in the first graph
@@ -80,22 +81,6 @@ def _top_lists(owner, other, sim, new, width: int):
     return owner[keep], other[keep], sim[keep], new[keep]
 
 
-def _sorted_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Re-cut a sorted stream so that no key spans two parts."""
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = batch[key].iloc[-1]
-        cut = int(np.searchsorted(batch[key].to_numpy(), last))
-        rest = batch.iloc[cut:]
-        if cut:
-            yield batch.iloc[:cut]
-    if rest is not None and len(rest):
-        yield rest
-
-
 LISTS = "n bigint, other bigint, sim float, new boolean"
 
 
@@ -144,7 +129,7 @@ def _merge(lists: DataFrame, width: int, tasks: int) -> DataFrame:
     """The best ``width`` of each vector, one row per vector: ``n, others, sims, news``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _sorted_groups(batches, "n"):
+        for part in whole_groups(batches, ("n",)):
             owner, other, sim, new = _top_lists(
                 part["n"].to_numpy(), part["other"].to_numpy(), part["sim"].to_numpy(), part["new"].to_numpy(dtype=bool), width
             )
@@ -188,7 +173,7 @@ def _meetings(graph: DataFrame, dim: int, keep: int, seed: int, tasks: int) -> D
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(seed)
-        for part in _sorted_groups(batches, "center"):
+        for part in whole_groups(batches, ("center",)):
             center = part["center"].to_numpy()
             member, new, floor = part["member"].to_numpy(), part["new"].to_numpy(dtype=bool), part["floor"].to_numpy()
             code = _stack(part["code"], np.int8, dim)
@@ -226,7 +211,7 @@ def _meetings(graph: DataFrame, dim: int, keep: int, seed: int, tasks: int) -> D
     pairs = graph.select("n", "others", "news").mapInPandas(links, "member bigint, center bigint, new boolean")
     pairs = pairs.groupBy("member", "center").agg(F.max("new").alias("new"))
     sent = pairs.join(graph.select(F.col("n").alias("member"), "code", "floor"), "member")
-    return sent.repartition(tasks, "center").sortWithinPartitions("center").mapInPandas(meet, LISTS)
+    return sent.repartition(tasks, "center").sortWithinPartitions("center", "member").mapInPandas(meet, LISTS)
 
 
 def neighbour_graph(units: DataFrame, dim: int, width: int = 32, passes: int = 6, rounds: int = 8, settled: float = 0.02, keep: int = 6, seed: int = 1):
