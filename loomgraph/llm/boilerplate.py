@@ -8,7 +8,7 @@ nodes; lines that match at their ends leave a slot. Each matched shape (leading
 trailing words) is a candidate node of the host's wrapper.
 
 Candidates of all groups are pooled and their support is counted over all pages. A constant
-node is template if enough of the host's pages hold it. Pages without constant nodes are
+node is template if enough of the host's pages hold it. Pages that hold few constant nodes are
 bare: what occurs on them is article text. A node, constant or slotted, is template only if it
 is frequent on the host's furnished pages and rare on bare pages, of all hosts together;
 sentence patterns and headings of the articles occur on both alike. Lines that are constant template on several
@@ -33,6 +33,7 @@ from loomgraph.session import Scratch
 GROUP = 24  # pages aligned with one another
 CONSTANT_SUPPORT = 0.15  # share of a host's pages that hold a constant node
 SLOT_SUPPORT = 0.2  # share of a host's furnished pages that hold a slotted node
+FURNISHED = 0.25  # share of its host's constant nodes that a furnished page holds
 BARE_RATIO = 0.1  # a slotted node's greatest rate on bare pages, of its own rate
 LEAST_PAGES = 2  # pages with a constant node
 SLOT_PAGES = 3  # pages with a slotted node
@@ -47,7 +48,8 @@ def host_of(url: Column) -> Column:
 
 def line_words(line: str, host: str) -> tuple[str, ...]:
     """Words of a line with the host's name and numbers blanked, in lower case."""
-    plain = line.strip().lower().replace(host, "\x01")
+    plain = line.strip().lower()
+    plain = plain.replace(host, "\x01") if host else plain
     return tuple(_SPLIT.split(_NUMBER.sub("\x02", plain))) if plain else ()
 
 
@@ -191,14 +193,14 @@ def _wrapper(known: dict[str, Wrapper], host: str, shapes) -> Wrapper:
 
 
 def _furnished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages that hold constant nodes: two of them where the host has four or more."""
+    """Pages that hold enough of their host's constant nodes."""
     wrappers: dict[str, Wrapper] = {}
     for batch in batches:
         pages = []
         for page, host, text, shapes in zip(batch["page"], batch["host"], batch["text"], batch["shapes"], strict=True):
             wrapper = _wrapper(wrappers, host, shapes)
             held = {k for _, words in page_lines(text, host) for k in wrapper.match(words)}
-            if len(held) >= (2 if len(wrapper.shapes) >= 4 else 1):
+            if held and len(held) >= FURNISHED * len(wrapper.shapes):
                 pages.append(page)
         if pages:
             yield pd.DataFrame({"page": pages})
@@ -227,18 +229,18 @@ def _with_wrapper(pages: DataFrame, shapes: DataFrame) -> DataFrame:
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
     """``id, line_no`` of every non-blank line of ``pages(id, url, text)`` that is furniture.
 
-    Lines are what lies between line feeds, counted from 0. Pages without a host, null and
-    empty texts, and hosts with fewer than ``LEAST_PAGES`` distinct texts give no rows beyond
-    lines that are template on other hosts. Repeated rows and pages fetched again count
+    Lines are what lies between line feeds, counted from 0. Pages without a host and hosts with
+    fewer than ``LEAST_PAGES`` distinct texts give the lines that are template on other hosts
+    and no others, null and empty texts nothing. Repeated rows and pages fetched again count
     once as evidence and each id gets its rows once. Extra columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "boilerplate")
-    held = pages.select("id", host_of(F.col("url")).alias("host"), F.lower(F.trim("url")).alias("url"), "text")
-    held = held.where(F.col("host").isNotNull() & (F.length(F.trim("text")) > 0)).withColumn("page", F.xxhash64("host", "text"))
+    held = pages.select("id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.lower(F.trim("url")).alias("url"), "text")
+    held = held.where(F.length(F.trim("text")) > 0).withColumn("page", F.xxhash64("host", "text"))
     ids, _ = scratch.keep(held.select("id", "page").distinct())
     # one text per address as evidence, each distinct text once for the result
     texts, _ = scratch.keep(held.groupBy("page").agg(F.first("host").alias("host"), F.first("text").alias("text"), F.min("url").alias("url")))
-    proof = texts.groupBy("host", "url").agg(F.min("page").alias("page"))
+    proof = texts.where("host <> ''").groupBy("host", "url").agg(F.min("page").alias("page"))
     proof, _ = scratch.keep(texts.join(proof.select("page"), "page", "left_semi"))
     sizes = proof.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # groups of about GROUP pages; a large host has many
@@ -249,7 +251,7 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     pooled = found.groupBy("host", "head", "tail", "constant").agg(F.sum("n").alias("n")).join(sizes, "host")
     # each page takes part in up to four alignments: support below these shares of the
     # alignments cannot reach the shares of pages asked for
-    pooled, _ = scratch.keep(pooled.where((F.col("n") >= 2) | (F.col("pages") < 2 * GROUP)).where(F.col("n") >= 0.01 * F.col("pages")))
+    pooled, _ = scratch.keep(pooled.where(F.col("n") >= 0.01 * F.col("pages")))
     constants = pooled.where("constant").select("host", "head", "tail", "constant")
     support = _counted(proof, constants).join(sizes, "host")
     enough = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= CONSTANT_SUPPORT * F.col("pages"))
@@ -307,19 +309,27 @@ def _counted(pages: DataFrame, shapes: DataFrame) -> DataFrame:
 def _bare_counts(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     """``head, tail, bare_n``: bare pages with a line of each slotted shape.
 
-    Lines meet shapes by their first word, or by their last where a shape has no head.
+    A shape fixes so many first and so many last words. For each such pair of numbers that
+    occurs (there are few, whatever the number of shapes) a line gives the words at its own ends,
+    and these meet the shapes as one key: no line meets a shape that it does not have.
     """
-    first = lambda c: F.substring_index(c, "\n", 1)
-    last = lambda c: F.substring_index(c, "\n", -1)
-    framed = F.concat(F.lit("\n"), F.col("line"), F.lit("\n"))
-    fits = F.startswith(framed, F.concat(F.lit("\n"), F.col("head"), F.when(F.col("head") != "", F.lit("\n")).otherwise(""))) & F.endswith(
-        framed, F.concat(F.when(F.col("tail") != "", F.lit("\n")).otherwise(""), F.col("tail"), F.lit("\n"))
-    )
-    long = F.length("line") + 1 >= F.length("head") + F.length("tail") + (F.col("head") != "").cast("int") * (F.col("tail") != "").cast("int")
-    headed = kinds.where("head <> ''").join(lines, first(F.col("head")) == first(F.col("line")))
-    tailed = kinds.where("head = ''").join(lines, last(F.col("tail")) == last(F.col("line")))
-    held = headed.unionByName(tailed).where(fits & long)
-    return held.groupBy("head", "tail").agg(F.count_distinct("page").alias("bare_n"))
+    size = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "\n")))
+    sized = kinds.withColumns({"h": size("head"), "t": size("tail")})
+    ends = [(r.h, r.t) for r in sized.select("h", "t").distinct().collect()]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = set()
+            for page, line in zip(batch["page"], batch["line"], strict=True):
+                words = line.split("\n")
+                for h, t in ends:
+                    if h + t <= len(words):
+                        rows.add((page, "\n".join(words[:h]), "\n".join(words[len(words) - t :])))
+            if rows:
+                yield pd.DataFrame(list(rows), columns=["page", "head", "tail"])
+
+    held = lines.mapInPandas(cut, "page bigint, head string, tail string").join(kinds, ["head", "tail"], "left_semi")
+    return held.distinct().groupBy("head", "tail").agg(F.count(F.lit(1)).alias("bare_n"))
 
 
 def _specific(group: pd.DataFrame) -> pd.DataFrame:

@@ -184,7 +184,7 @@ def pages(seed=0, n=60):
         if rng.random() < 0.7:
             menu = [("Home | Topics | Press | Log in", True)] if k % 2 else [(x, True) for x in ("Home", "Topics", "Press")]
             middle = (f"Related: The {rng.choice(nouns)} and the {rng.choice(nouns)}", True)
-            lines = [(f"We use cookies on {host}. Accept | Refuse", True), *menu, ("", None), *lines[:2], middle, *lines[2:], (f"Copyright {rng.randint(1999, 2024)} {host}. All rights reserved.", True)]
+            lines = [(f"We use cookies on {host}. Accept | Refuse", True), *menu, ("", None), *lines[:2], middle, *lines[2:], (f"Copyright {rng.randint(1999, 2024)} {host}. All rights reserved.", True), ("Subscribe to all letters", True)]
         out.append((k, f"https://{host}/p/{k}", "\n".join(x for x, _ in lines)))
         truth |= {(k, j) for j, (_, flag) in enumerate(lines) if flag}
     return out, truth
@@ -193,10 +193,10 @@ def pages(seed=0, n=60):
 def test_boilerplate_finds_furniture(spark, rows):
     data, truth = pages()
     again = [(1000, data[1][1], data[1][2]), data[0]]
-    odd = [(2000, None, "x\ny"), (2001, "https://one.example/p/e", ""), (2002, "https://one.example/p/n", None), (None, data[3][1], "z"), (2003, "https://lone.example/a", "Some text\nof its own")]
+    odd = [(2000, None, "x\ny"), (2001, "https://one.example/p/e", ""), (2002, "https://one.example/p/n", None), (None, data[3][1], "z"), (2003, "https://lone.example/a", "Some text\nof its own"), (2004, None, "A page without an address\nSubscribe to all letters\nends here")]
     df = spark.createDataFrame(data + again + odd, "id bigint, url string, text string").selectExpr("*", "1 as page", "2 as host", "3 as line")
     got = {tuple(r) for r in boilerplate_lines(df).collect()}
-    want = truth | {(1000, j) for k, j in truth if k == 1}
+    want = truth | {(1000, j) for k, j in truth if k == 1} | {(2004, 1)}
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
     assert boilerplate_lines(df.limit(0)).count() == 0
 
