@@ -11,12 +11,14 @@ the full vectors at the end. Queries walk the graph greedily from entry points o
 The graph has ``width`` neighbours per vector, so what is joined grows with the number of
 vectors and not with its square. A vector that very many others are linked to (a hub)
 compares a random part of them per round, as the method has it: no task holds an unbounded
-group. Accuracy is measured against brute force on a query set (``recall``).
+group. Where the loss in accuracy is not acceptable, ``exact_vectors`` compares all, at the
+cost of all pairs; ``recall`` measures what the graph finds of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -214,27 +216,28 @@ def _meetings(graph: DataFrame, dim: int, keep: int, seed: int, tasks: int) -> D
     return sent.repartition(tasks, "center").sortWithinPartitions("center", "member").mapInPandas(meet, LISTS)
 
 
-def neighbour_graph(units: DataFrame, dim: int, width: int = 32, passes: int = 6, rounds: int = 8, settled: float = 0.02, keep: int = 6, seed: int = 1):
+def neighbour_graph(units: DataFrame, dim: int, width: int = 32, passes: int = 6, rounds: int | None = None, settled: float = 0.02, keep: int = 6, seed: int = 1):
     """``(nodes, graph)``: ``nodes(n, id, unit, code)`` and ``graph(n, others, sims, news, ...)``.
 
-    Rounds stop when less than ``settled`` of all list entries changed, or after ``rounds``.
+    Rounds stop when less than ``settled`` of all list entries changed, or after ``rounds`` if
+    given. Lists only ever improve, so they do settle.
     """
     spark = units.sparkSession
     scratch = Scratch(spark, "neighbours")
 
-    nodes, count = scratch.keep(_with_code(units.select("id", "unit").withColumn("n", F.monotonically_increasing_id()), dim))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * width // 250_000)
-    runs = max(1, min(tasks, count // (4 * RUN)))
+    nodes, held = scratch.keep(_with_code(units.select("id", "unit").withColumn("n", F.monotonically_increasing_id()), dim))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held * width // 250_000)
+    runs = max(1, min(tasks, held // (4 * RUN)))
     codes = nodes.select("n", "code")
     graph, _ = scratch.keep(_merge(_first_graph(nodes, dim, width, passes, runs), width, tasks).join(codes, "n"))
-    for turn in range(rounds):
+    for turn in count() if rounds is None else range(rounds):
         learnt = _meetings(graph, dim, keep, seed + turn, tasks)
         merged = _merge(learnt.unionByName(_lists(graph, True)), width, tasks).join(codes, "n")
         previous = graph
         graph, seen = scratch.keep_with(merged, fresh=F.sum("fresh"))
         scratch.drop(previous)
         scratch.release()
-        if (seen["fresh"] or 0) <= settled * count * width:
+        if (seen["fresh"] or 0) <= settled * held * width:
             break
     return nodes, graph
 
@@ -293,6 +296,46 @@ def similar_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, **options) ->
     return _scored(graph.select("n", "others").mapInPandas(front, "n bigint, other bigint"), nodes, dim, k, tasks).toDF("a", "b", "similarity", "rank")
 
 
+def exact_vectors(vectors: DataFrame, dim: int = 64, k: int = 5, queries: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """``a, b, similarity, rank``: the ``k`` most similar others by comparing all.
+
+    ``queries(id)`` restricts whose neighbours are asked for. Vectors are dealt into blocks; each
+    block of queries meets each block of vectors in one matrix product and keeps its best, so a
+    task holds two blocks. Ties go to the larger id, as with :func:`similar_vectors`.
+    """
+    scratch = Scratch(vectors.sparkSession, "exact")
+    units, held = scratch.keep(usable_vectors(vectors, dim))
+    blocks = max(1, -(-held // block))
+    dealt = units.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = dealt if queries is None else dealt.join(queries.select("id").distinct(), "id", "left_semi")
+    every = asked.select("id", "unit", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks")).union(
+        dealt.select("id", "unit", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+    )
+    kind = dict(vectors.dtypes)["id"]
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        x, asks, ids = _stack(group["unit"], np.float32, dim).astype(np.float64), group["asks"].to_numpy(), group["id"].to_numpy()
+        a, b = ids[asks], ids[~asks]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": a[:0], "b": b[:0], "similarity": np.zeros(0)})
+        sims = x[asks] @ x[~asks].T
+        sims[a[:, None] == b[None, :]] = -9
+        take = min(k, len(b))
+        least = -np.partition(-sims, take - 1, axis=1)[:, take - 1 : take]
+        i, j = np.nonzero((sims >= least) & (sims > -9))
+        return pd.DataFrame({"a": a[i], "b": b[j], "similarity": sims[i, j]})
+
+    near = every.groupBy("i", "j").applyInPandas(best, f"a {kind}, b {kind}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), F.desc("b")))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "similarity", "rank")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours ``a, b`` that were found; 1 where there are none."""
+    rows = exact.select("a", "b").join(found.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left")
+    return rows.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]
+
+
 def _routed(asked: DataFrame, nodes: DataFrame, dim: int, keep: int, passes: int, tasks: int) -> DataFrame:
     """``a, n``: for each query the ``keep`` best vectors of its run in each pass.
 

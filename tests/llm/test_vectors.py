@@ -1,10 +1,14 @@
-import numpy as np
+import os
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm.vector_neighbours import SCALE, greedy_search, neighbour_graph, similar_vectors, usable_vectors
+from loomgraph.llm import queries
+from loomgraph.llm.vector_neighbours import SCALE, exact_vectors, greedy_search, neighbour_graph, recall, similar_vectors, usable_vectors
 
 DIM = 16
+LARGE = "/root/testdata/sf0.1"
 
 
 def clustered(n=900, seed=0):
@@ -79,3 +83,27 @@ def test_search_enters_near_queries_however_many_vectors(spark):
     sims[np.arange(len(asked)), asked] = -9
     truth = {f"v{q}": {f"v{j}" for j in np.argsort(-s)[:5]} for q, s in zip(asked, sims, strict=True)}
     assert sum(r.b in truth[r.a] for r in got) >= 0.9 * 5 * len(asked)
+
+
+def test_comparing_all_equals_brute_force(spark):
+    x = clustered(300, 7)
+    best, sims = truth(x)
+    df = frame(spark, x)
+    got = {}
+    for r in exact_vectors(df, DIM, 5, block=64).collect():
+        got.setdefault(int(r.a[1:]), []).append((r.rank, int(r.b[1:])))
+        assert abs(r.similarity - sims[int(r.a[1:]), int(r.b[1:])]) < 1e-5
+    assert {k: [b for _, b in sorted(v)] for k, v in got.items()} == {k: list(best[k]) for k in range(300)}
+    some = exact_vectors(df, DIM, 5, df.where("id < 'v0010'"), block=64)
+    assert some.count() == 50 and recall(some, some) == 1.0 and recall(some.where("rank < 5"), some) == 0.8
+    assert exact_vectors(df.limit(1), DIM).count() == 0 and recall(df.limit(0).selectExpr("id as a", "id as b"), df.limit(0).selectExpr("id as a", "id as b")) == 1.0
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="test tables are not here")
+def test_recall_on_the_tables(spark):
+    vectors = queries._vectors(spark, LARGE)
+    asked = vectors.where(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 20 == 0)
+    exact = exact_vectors(vectors, 64, 5, asked).cache()
+    assert exact.select("a").distinct().count() > 400
+    assert recall(queries.p2_search(spark, LARGE).toDF("a", "b", "similarity", "rank"), exact) >= 0.93
+    assert recall(queries.p2_similar(spark, LARGE).toDF("a", "b", "similarity", "rank"), exact) >= 0.97
