@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.store import first_per_key
+
 
 _BLANK_LINE = re.compile(r"(?=\n\n)")
 
@@ -134,5 +136,4 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 def first_per_source(claims: DataFrame, most: int = 50) -> DataFrame:
     """At most ``most`` claims per source, in order of extraction."""
-    rank = F.row_number().over(Window.partitionBy("source_url").orderBy("ord"))
-    return claims.withColumn("rank", rank).where(F.col("rank") <= most)
+    return first_per_key(claims, "source_url", most, "ord")

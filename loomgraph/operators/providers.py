@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions.scoring import default_confidence
+from loomgraph.operators.store import first_per_key, ranked
 
 
 def with_key(prompts: DataFrame) -> DataFrame:
@@ -62,8 +63,35 @@ def within_budget(prompts: DataFrame, budget_tokens: int, per_char: float = 0.25
 
     The one that passes it is still sent, as the check precedes the call.
     """
-    spent = F.sum(F.length("prompt") * per_char).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    return prompts.withColumn("_spent", F.coalesce(spent, F.lit(0.0))).where(F.col("_spent") < budget_tokens).drop("_spent")
+    # totals of ranges first, so that no task holds all prompts
+    rows = ranked(prompts.withColumn("_cost", F.length("prompt") * per_char), F.asc("ord"), name="_r").withColumn("_part", F.floor((F.col("_r") - 1) / 4096))
+    parts = rows.groupBy("_part").agg(F.sum("_cost").alias("_c"))
+    ahead = parts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_ahead"))
+    within = F.sum("_cost").over(Window.partitionBy("_part").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    spent = F.col("_ahead") + F.coalesce(F.col("_within"), F.lit(0.0))
+    rows = rows.withColumn("_within", within).join(ahead, "_part").where(spent < budget_tokens)
+    return rows.drop("_cost", "_r", "_part", "_ahead", "_within")
+
+
+def with_usage(answered: DataFrame, per_char: float = 0.25) -> DataFrame:
+    """Adds ``input_tokens, output_tokens``, estimated from the lengths of prompt and response."""
+    tokens = lambda c: F.ceil(F.length(F.coalesce(c, F.lit(""))) * per_char)
+    return answered.withColumns({"input_tokens": tokens("prompt"), "output_tokens": tokens("response")})
+
+
+def embedded(texts: DataFrame, connect: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
+    """``id, vector`` of ``texts(id, text)``: a client opened once per task takes each batch in one request.
+
+    Null texts are sent as empty ones. A batch is an Arrow batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = connect()
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"id": batch["id"], "vector": call([t or "" for t in batch["text"]])})
+
+    return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, vector array<float>")
 
 
 def extracted_claims(replies: DataFrame, texts: DataFrame, most: int = 50, least_quote: int = 10) -> DataFrame:
@@ -78,14 +106,13 @@ def extracted_claims(replies: DataFrame, texts: DataFrame, most: int = 50, least
     rows = rows.where((F.trim("c.claim") != "") & (F.trim("c.quote") != ""))
     rows = rows.join(texts.select("source_url", F.col("text").alias("_source")), "source_url", "left")
     kind = T.category(F.col("c.category"))
-    rank = F.row_number().over(Window.partitionBy("source_url").orderBy("chunk_index", "k"))
     rows = rows.select(
         "source_url", "chunk_index", "k", F.col("c.claim").alias("text"), F.col("c.quote").alias("quote"), kind.alias("category"),
         T.quote_verified(F.col("c.quote"), F.col("_source"), least_quote).alias("quote_verified"), T.overclaim_flags(F.col("c.claim")).alias("flags"),
-        F.coalesce(F.col("c.confidence"), default_confidence(kind)).alias("confidence"), rank.alias("rank"),
-    ).where(F.col("rank") <= most)
-    order = F.row_number().over(Window.orderBy("source_url", "rank"))
-    return rows.withColumn("ord", order).withColumn("claim_id", T.numbered("clm", 6, F.col("ord"))).drop("k")
+        F.coalesce(F.col("c.confidence"), default_confidence(kind)).alias("confidence"),
+    )
+    rows = ranked(first_per_key(rows, "source_url", most, "chunk_index", "k"), F.asc("source_url"), F.asc("rank"), name="ord")
+    return rows.withColumn("claim_id", T.numbered("clm", 6, F.col("ord"))).drop("k")
 
 
 def entailment_flags(replies: DataFrame, penalty: float = 0.1) -> DataFrame:
@@ -112,8 +139,8 @@ def classified_edges(pairs: DataFrame, replies: DataFrame) -> DataFrame:
     items = replies.select("batch", F.posexplode(T.json_rows(F.col("response"), item)).alias("place", "e"))
     rows = pairs.join(items, ["batch", "place"]).withColumn("edge_type", T.edge_type(F.col("e.type")))
     rows = rows.where(F.col("edge_type").isin(*T.EDGE_TYPES))
-    order = F.row_number().over(Window.orderBy("batch", "place"))
-    return rows.select(T.numbered("edg", 6, order).alias("edge_id"), "edge_type", F.col("a").alias("source"), F.col("b").alias("target"), F.coalesce("e.strength", F.lit(0.5)).alias("strength"), F.col("e.evidence").alias("evidence"))
+    rows = ranked(rows, F.asc("batch"), F.asc("place"), name="_order")
+    return rows.select(T.numbered("edg", 6, F.col("_order")).alias("edge_id"), "edge_type", F.col("a").alias("source"), F.col("b").alias("target"), F.coalesce("e.strength", F.lit(0.5)).alias("strength"), F.col("e.evidence").alias("evidence"))
 
 
 def reclassified(edges: DataFrame, replies: DataFrame) -> DataFrame:
@@ -129,6 +156,25 @@ def reclassified(edges: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.select("edge_id", F.when(known, new).otherwise("none").alias("edge_type"), "source", "target", "strength", F.col("edge_type").alias("revised_from"), F.when(F.coalesce(known, F.lit(False)), "active").otherwise("superseded").alias("status"))
 
 
+def confirmed_duplicates(pairs: DataFrame, replies: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the grey zone that ``replies(a, b, response)`` call the same; others are not."""
+    parsed = T.json_object(F.col("response"), "same boolean")
+    same = replies.select("a", "b", parsed.alias("r")).where(F.coalesce("r.same", F.lit(False))).select("a", "b").distinct()
+    return pairs.join(same, ["a", "b"], "left_semi")
+
+
+def fallback_positions(claims: DataFrame, replies: DataFrame, most: int = 50) -> DataFrame:
+    """``position_id, label, claim_id, ord`` from one reply that groups the first ``most`` claims by number.
+
+    Numbers count from 1 in order of assertion; numbers without a claim and groups without
+    members are passed over.
+    """
+    shown = first_per_key(claims.where("status = 'active'").select(F.lit(0).alias("case"), "claim_id", "ord"), "case", most, "ord")
+    groups = replies.select(F.posexplode(T.json_rows(F.col("response"), "struct<label: string, members: array<int>>")).alias("k", "g"))
+    members = groups.select(T.numbered("pos", 2, F.col("k") + 1).alias("position_id"), F.col("g.label").alias("label"), F.explode("g.members").alias("rank")).distinct()
+    return members.join(shown, "rank").select("position_id", "label", "claim_id", "ord")
+
+
 def labelled_positions(positions: DataFrame, replies: DataFrame) -> DataFrame:
     """``position_id, label, summary, core_claim``; without a readable reply the label is the id.
 

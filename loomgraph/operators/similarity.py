@@ -67,6 +67,11 @@ def candidate_pairs(vectors: DataFrame, within: float = 0.6, cross: float = 0.4,
     return best.where(F.col("rank") <= n * per_claim).select("a", "b", "similarity", "cross_source", "rank")
 
 
+def grey_zone(vectors: DataFrame, low: float = 0.8, high: float = 0.92) -> DataFrame:
+    """``a, b`` of pairs from ``low`` up to, not including, ``high``, of one source or two."""
+    return similar_pairs(vectors, low, low).where(F.col("similarity") < high).select("a", "b")
+
+
 def batches(pairs: DataFrame, size: int = 15) -> DataFrame:
     """Ranked pairs with the number and the place of each in its batch."""
     return pairs.withColumn("batch", F.floor((F.col("rank") - 1) / size)).withColumn("place", (F.col("rank") - 1) % size)

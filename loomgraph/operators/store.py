@@ -35,6 +35,14 @@ def ranked(rows: DataFrame, *keys: Column, name: str = "rank") -> DataFrame:
     return held.join(before.select("_p", "_before"), "_p").withColumn(name, number).drop("_p", "_k", "_before")
 
 
+def first_per_key(rows: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """At most ``most`` rows of each key, with their ``rank``; a key of many rows is ranked in slices first."""
+    ahead = Window.partitionBy(key, "_slice").orderBy(*order)
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(64))).withColumn("_k", F.row_number().over(ahead)).where(F.col("_k") <= most)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return sliced.withColumn("rank", rank).where(F.col("rank") <= most).drop("_slice", "_k")
+
+
 def number_events(drafts: DataFrame, last_tx: int = 0) -> DataFrame:
     """Give drafts their ``tx`` and ``event_id`` after ``last_tx``, in order of ``ord``.
 

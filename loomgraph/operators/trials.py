@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scoring
 from loomgraph.functions import text as T
+from loomgraph.operators.store import ranked
 
 #: Ways in which one claim is put to a model, one trial each.
 FRAMINGS = ("neutral", "sceptical", "supportive", "source_only", "counter_evidence")
@@ -63,8 +64,7 @@ def four_tiers(claims: DataFrame, edges: DataFrame, texts: DataFrame, verified:
 def overlapping_batches(claims: DataFrame, size: int = 25, overlap: int = 5) -> DataFrame:
     """``batch, place, claim_id``: claims in order of assertion, neighbours sharing ``overlap`` claims."""
     step = size - overlap
-    k = F.row_number().over(Window.orderBy("ord")) - 1
-    rows = claims.select("claim_id", k.alias("k"))
+    rows = ranked(claims.select("claim_id", "ord"), F.asc("ord"), name="k").select("claim_id", (F.col("k") - 1).alias("k"))
     last = F.floor(F.col("k") / step)
     first = F.greatest(F.lit(0), F.ceil((F.col("k") - size + 1) / step))
     spread = rows.select("claim_id", "k", F.explode(F.sequence(first, last)).alias("batch"))

@@ -11,9 +11,10 @@ from loomgraph.operators import confidence as C
 from loomgraph.operators import discourse as D
 from loomgraph.operators import documents as DOC
 from loomgraph.operators import graph as G
+from loomgraph.operators import prompts
 from loomgraph.operators import reports as R
 from loomgraph.operators import similarity as S
-from loomgraph.operators import store
+from loomgraph.operators import store, writers
 from loomgraph.operators.changefeed import apply_changes, event_effects
 from loomgraph.sources.claims import CLAIMS_SQL, EDGES_SQL, GRAPH_SQL, POSITIONS_SQL, STATE_SQL, claims_view, edges_view, extractions_view, graph_views, positions_view, registry_view, vectors_view
 from loomgraph.sources.tables import table
@@ -567,8 +568,10 @@ def opposing_position(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("positions_density")
 def positions_density(spark: SparkSession, folder: str) -> DataFrame:
-    """Density clusters of the claims of each source."""
-    vectors = _paired_vectors(spark, folder).where("source_url is not null").withColumnRenamed("source_url", "case_name")
+    """Density clusters of the claims of each case of the source registry."""
+    plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"/+$", "")
+    cases = registry_view(spark, folder).select(plain("url").alias("_url"), "case_name").where("case_name is not null").dropDuplicates(["_url"])
+    vectors = _paired_vectors(spark, folder).withColumn("_url", plain("source_url")).join(cases, "_url")
     return D.density_positions(vectors)
 
 
@@ -640,3 +643,67 @@ def trial_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = extractions_view(spark, folder).groupBy("category").agg(F.count_if("quote_verified").alias("s"), F.count(F.lit(1)).alias("n"))
     w = scoring.wilson(F.col("s"), F.col("n"))
     return rows.select("category", F.round(F.col("s") / F.col("n"), 6).alias("point"), scoring.interval_label(w["lower"], F.lit(1.0)).alias("label"))
+
+
+@_query("verifiable_claims", f"{_CLAIMS} select claim_id from active_v where quote_verified")
+def verifiable_claims(spark: SparkSession, folder: str) -> DataFrame:
+    return prompts.verifiable(claims_view(spark, folder)).select("claim_id")
+
+
+@_query("average_confidence", f"{_BOTH} {_SCORED} select count(*) as claims, round(coalesce(avg(confidence), 0), 3) as confidence from scored")
+def average_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return R.average_confidence(claim_confidence(spark, folder))
+
+
+@_query("level_counts", f"{_BOTH} {_SCORED} select level, count(*) as n from scored group by 1")
+def level_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return R.level_counts(claim_confidence(spark, folder))
+
+
+@_query("source_names", f"{_CLAIMS} select distinct source_title from active_v where source_title is not null")
+def source_names(spark: SparkSession, folder: str) -> DataFrame:
+    return R.source_names(claims_view(spark, folder))
+
+
+@_query("position_members", f"""with {POSITIONS_SQL.replace("select p.position_id, ", "select p.position_id, p.ord, ").replace("select position_id, unnest(last.members) as m", "select position_id, unnest(last.members) as m, unnest(range(len(last.members))) as ord")}
+, placed as (select position_id, claim_id, row_number() over (partition by position_id order by ord, claim_id) as place from member)
+select position_id, claim_id, place::int as place, place <= 15 as open from placed""")
+def position_members(spark: SparkSession, folder: str) -> DataFrame:
+    return R.members_shown(positions_view(spark, folder))
+
+
+@_query("claim_links", f"""{_BOTH} {_POSITIONS}, l as (
+  select target as claim_id, edge_type as kind, source as other from edges_v where edge_type in ('supports', 'contradicts') and source is not null
+  union select claim_id, 'position', position_id from member)
+select claim_id, kind, other from l where claim_id in (select claim_id from claims_v)""")
+def claim_links(spark: SparkSession, folder: str) -> DataFrame:
+    return R.claim_links(*graph_views(spark, folder), positions_view(spark, folder))
+
+
+@_query("contradiction_texts", f"""{_BOTH} select e.edge_id, length(a.text) + length(b.text) as letters from edges_v e join claims_v a on a.claim_id = e.source join claims_v b on b.claim_id = e.target where e.edge_type = 'contradicts'""")
+def contradiction_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Contradictions with the size of what a reader would be shown to confirm them."""
+    claims, edges = graph_views(spark, folder)
+    rows = prompts.with_texts(edges.where("status = 'active' and edge_type = 'contradicts'"), claims, "source", "target")
+    return rows.select("edge_id", (F.length("source_text") + F.length("target_text")).alias("letters"))
+
+
+@_query("grey_zone_pairs", f"""{_PAIRS} select a.id as a, b.id as b from u a join u b on a.ord < b.ord where list_cosine_similarity(a.x, b.x) >= 0.8 and list_cosine_similarity(a.x, b.x) < 0.92""")
+def grey_zone_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs that may or may not be duplicates and are asked about."""
+    return S.grey_zone(_paired_vectors(spark, folder))
+
+
+@_query("merge_events", ORACLE["dedup_leaders"].replace("select me.id as claim_id, coalesce(lead.id, me.id) as leader from", "select me.id as old_claim_id, lead.id as merged_into from") + " where lead.id is not null")
+def merge_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Supersessions that the merging of duplicates writes to the log."""
+    leaders = dedup_leaders(spark, folder).select(F.col("claim_id").alias("id"), "leader", F.regexp_extract("claim_id", r"(\d+)$", 1).cast("bigint").alias("ord"))
+    return writers.merges(leaders).select(F.get_json_object("payload", "$.old_claim_id").alias("old_claim_id"), F.get_json_object("payload", "$.merged_into").alias("merged_into"))
+
+
+@_query("settling_flags", ORACLE["settling"].replace("from n\n", "from n where n_contested + n_cruxes > 0 or n_framework > 0\n").replace("select v as verdict_id, n_contested + n_cruxes > 0 or n_framework > 0 as detected, n_dependencies, n_contested, n_cruxes, n_framework,", "select v as verdict_id, n_dependencies as dependency_count, case when n_framework = 0 then 1 when n_contested + n_cruxes = 0 then 1 else 2 end as kinds,").replace("round(case when", "round_even(case when").replace(", 6)::double as severity", ", 3)::double as severity"))
+def settling_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags that the settling check writes to the log."""
+    flags = writers.settling_flags(settling(spark, folder), extractions_view(spark, folder))
+    body = F.from_json("payload", "verdict_claim_id string, dependency_count bigint, settling_type array<string>, severity double")
+    return flags.select(body.alias("b")).select(F.col("b.verdict_claim_id").alias("verdict_id"), "b.dependency_count", F.size("b.settling_type").alias("kinds"), "b.severity")

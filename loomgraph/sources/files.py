@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +30,16 @@ def read_pdf_files(spark: SparkSession, path: str) -> DataFrame:
     except ImportError as missing:
         raise RuntimeError("reading PDF files needs pypdf") from missing
 
-    @F.udf("string")
-    def text(content: bytes) -> str:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
         import pypdf
 
-        return "\n\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
+        for batch in batches:
+            texts = ["\n\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages) for content in batch["content"]]
+            yield pd.DataFrame({"url": batch["path"], "text": texts})
 
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), text("content").alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "url string, text string")
 
 
 def read_registry(spark: SparkSession, path: str, case_name: str | None = None) -> DataFrame:
