@@ -115,10 +115,15 @@ _STATE_FIELDS = pa.schema([
 
 
 class _Upserts:
-    """One embedded table that takes changes in any order and any repetition."""
+    """One embedded table that takes changes in any order and any repetition.
 
-    #: Deliveries that one statement takes; between statements only the conflict clause decides.
-    STATEMENT = 1024
+    A statement cannot write a row twice. Of the deliveries at hand the first of every entity
+    goes in one statement, the second in the next, and so on for ``LAYERS`` statements; what
+    an entity has beyond that in one go (only a hot one has) is reduced to its latest first.
+    """
+
+    #: Deliveries at hand at a time, and statements that take them as they came.
+    STATEMENT, LAYERS = 8192, 4
     #: Effect, the kind it names, and the columns for its sequence, kind, body and time. A tombstone
     #: of unnamed kind retires a claim or an edge, the other only a claim.
     TAKES = (
@@ -148,23 +153,28 @@ class _Upserts:
     def take(self, batch: pa.RecordBatch) -> None:
         for start in range(0, batch.num_rows, self.STATEMENT):
             part = batch.slice(start, self.STATEMENT)
-            present = set(part.column("effect").unique().to_pylist())
-            self.bytes += part.get_total_buffer_size() if part.num_rows == batch.num_rows else part.nbytes
-            self.db.register("feed", pa.Table.from_batches([part]))
-            for effect, *rest in self.TAKES:
-                if effect in present:
-                    self._upsert(effect, *rest)
-            self.db.unregister("feed")
-
-    def _upsert(self, effect: str, named: str, seq: str, kind: str | None, body: str | None, moment: str | None) -> None:
+            self.bytes += part.nbytes
+            self.db.register("arrived", pa.Table.from_batches([part]))
+            self.db.execute(
+                "create or replace temp table feed as select * exclude (place), least(row_number() over "
+                f"(partition by entity_id, effect, entity_kind order by place), {self.LAYERS + 1}) as turn "
+                "from (select *, row_number() over () as place from arrived)"
+            )
+            self.db.unregister("arrived")
+            waiting = self.db.execute("select distinct turn, effect, entity_kind is null from feed order by all").fetchall()
+            for turn, effect, unnamed in waiting:
+                for what, named, *columns in self.TAKES:
+                    if what == effect and (named == "true" or ("null" in named) == unnamed):
+                        self._upsert(turn, effect, named, *columns)
+
+    def _upsert(self, turn: int, effect: str, named: str, seq: str, kind: str | None, body: str | None, moment: str | None) -> None:
         fields = {"entity_id": "entity_id", seq: "seq"} | {c: f for c, f in ((kind, "entity_kind"), (body, "body"), (moment, "moment")) if c}
         order = [seq] + [f"coalesce({{}}{c}, '')" for c in (kind, body) if c] + ([f"coalesce({{}}{moment}, 0)"] if moment else [])
         side = lambda t: ", ".join(o.format(t) if "{" in o else t + o for o in order)
+        latest = "qualify row_number() over (partition by entity_id order by seq desc, coalesce(entity_kind, '') desc, coalesce(body, '') desc, coalesce(moment, 0) desc) = 1"
         self.db.execute(
-            f"insert into state ({', '.join(fields)}) select {', '.join(fields.values())} "
-            f"from (select * from feed where effect = '{effect}' and {named} "
-            # one statement cannot write a row twice
-            "qualify row_number() over (partition by entity_id order by seq desc, coalesce(entity_kind, '') desc, coalesce(body, '') desc, coalesce(moment, 0) desc) = 1) "
+            f"insert into state ({', '.join(fields)}) select {', '.join(fields.values())} from feed "
+            f"where turn = {turn} and effect = '{effect}' and {named} {latest if turn > self.LAYERS or named == 'true' else ''} "
             f"on conflict (entity_id) do update set {', '.join(f'{c} = excluded.{c}' for c in fields if c != 'entity_id')} "
             f"where {self.NEWER.format(new=side('excluded.'), old=side('state.'))}"
         )
@@ -214,6 +224,7 @@ def _apply_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _apply_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's states: between what the map tasks send on, the conflict clause decides."""
     table = _Upserts()
     for batch in batches:
         table.take(batch)
