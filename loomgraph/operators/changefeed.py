@@ -208,6 +208,8 @@ class _Upserts:
         self.bytes = 0
 
 
+#: Bytes of the feed per core below which its rows are spread over the cores first.
+SPREAD = 4 << 20
 #: Bytes of deliveries after which a map task sends on what its table holds.
 FLUSH = 64 << 20
 
@@ -258,6 +260,9 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 
 def _in_buckets(changes: DataFrame, buckets: int | None) -> DataFrame:
     changes = changes.select(*CHANGE_COLUMNS)
+    cores, size = changes.sparkSession.sparkContext.defaultParallelism, plan_bytes(changes)
+    if 0 < size < cores * SPREAD:
+        changes = changes.repartition(cores)  # a small feed lies in one or two files
     return changes.mapInArrow(_apply_locally, CHANGE_SCHEMA).repartition(buckets or _buckets(changes), "entity_id")
 
 

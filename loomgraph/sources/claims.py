@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators.changefeed import apply_changes, event_effects
+from loomgraph.operators.changefeed import PATCH, apply_changes, event_effects
 from loomgraph.session import Scratch, shuffled
 from loomgraph.sources.tables import table
 
@@ -22,7 +22,8 @@ def plain_id(column: Column) -> Column:
 
 def state_view(spark: SparkSession, folder: str) -> DataFrame:
     """``entity_id, entity_kind, active, score, expired_at`` of all claims and edges of the log, folded once."""
-    state = apply_changes(event_effects(table(spark, folder, "event_log"), with_scores=True)).where("insert_seq > 0")
+    effects = event_effects(table(spark, folder, "event_log"), with_scores=True).where(F.col("effect") != PATCH)
+    state = apply_changes(effects).where("insert_seq > 0")
     rows = state.select(
         "entity_id", "entity_kind", "active", F.expr("try_cast(score_body as double)").alias("score"),
         F.when(~F.col("active"), F.timestamp_micros("delete_at")).alias("expired_at"),
