@@ -60,11 +60,22 @@ def similar_pairs(vectors: DataFrame, within: float, cross: float, block: int =
 def candidate_pairs(vectors: DataFrame, within: float = 0.6, cross: float = 0.4, per_claim: int = 5) -> DataFrame:
     """The best ``per_claim`` times as many pairs as vectors: pairs across sources first, then
     by similarity, ties by order of assertion. Adds ``rank`` from 1."""
-    n = vectors.count()
-    pairs = similar_pairs(vectors, within, cross)
+    wanted = vectors.count() * per_claim
+    pairs = similar_pairs(vectors, within, cross).withColumn("similarity", F.round("similarity", 6))
+    pairs, _ = Scratch(vectors.sparkSession, "candidates").keep(pairs)
+    # counts by hundredth tell which pairs can be among the best; only these are ordered
+    step = F.floor(F.col("similarity") * 100)
+    held = pairs.groupBy("cross_source", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, least = 0, None
+    for row in sorted(held, key=lambda r: (r.cross_source, r.step), reverse=True):
+        least, total = (row.cross_source, row.step), total + row.n
+        if total >= wanted:
+            break
+    if least is not None:
+        above = (step >= least[1]) & (F.col("cross_source") == least[0])
+        pairs = pairs.where(above if least[0] else above | F.col("cross_source"))
     keys = [F.desc("cross_source"), F.desc("similarity"), F.asc("a_ord"), F.asc("b_ord")]
-    best = ranked(pairs.withColumn("similarity", F.round("similarity", 6)), *keys)
-    return best.where(F.col("rank") <= n * per_claim).select("a", "b", "similarity", "cross_source", "rank")
+    return ranked(pairs, *keys).where(F.col("rank") <= wanted).select("a", "b", "similarity", "cross_source", "rank")
 
 
 def grey_zone(vectors: DataFrame, low: float = 0.8, high: float = 0.92) -> DataFrame:
