@@ -102,24 +102,62 @@ def opposing_position(positions: DataFrame, edges: DataFrame, least: int = 3) ->
     return free if n >= least else free.limit(0)
 
 
-def _density_labels(x: np.ndarray, least: int) -> np.ndarray:
+#: Distances held at once while the nearest points are sought.
+BLOCK = 1 << 21
+
+
+def _core_distances(x: np.ndarray, square: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each of ``sizes`` every point's distance to its neighbour of that rank, itself the first."""
+    n = len(x)
+    ranks = {least: min(least - 1, n - 1) for least in sizes}
+    core = {least: np.empty(n) for least in sizes}
+    step = max(1, BLOCK // n)
+    for s in range(0, n, step):
+        dist = np.sqrt(np.maximum(0, square[s : s + step, None] + square[None, :] - 2 * x[s : s + step] @ x.T))
+        dist.partition(sorted(set(ranks.values())), axis=1)
+        for least, rank in ranks.items():
+            core[least][s : s + step] = dist[:, rank]
+    return core
+
+
+def _spanning_links(x: np.ndarray, square: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """Minimum spanning tree of mutual reachability, grown from the first point.
+
+    A point's distances are made when it joins the tree, so only one row is held.
+    """
+    rest, away, far, bound = np.arange(len(x)), x, square, core.copy()
+    near, parent = np.full(len(x), np.inf), np.zeros(len(x), dtype=int)
+    at = gone = place = 0
+    links = []
+    for _ in range(len(x) - 1):
+        near[place] = bound[place] = np.inf  # joined
+        gone += 1
+        if gone > 16 and gone * 16 > len(rest):  # what has joined is not compared again
+            left = np.flatnonzero(np.isfinite(bound))
+            rest, near, parent, bound = rest[left], near[left], parent[left], bound[left]
+            away, far, gone = x[rest], square[rest], 0
+        reach = away @ x[at]
+        reach *= -2
+        reach += square[at] + far
+        np.sqrt(np.maximum(0, reach, out=reach), out=reach)
+        np.maximum(np.maximum(reach, bound, out=reach), core[at], out=reach)
+        closer = reach < near
+        near[closer], parent[closer] = reach[closer], at
+        place = int(np.argmin(near))
+        at = int(rest[place])
+        links.append((float(near[place]), int(parent[place]), at))
+    return links
+
+
+def _density_labels(x: np.ndarray, least: int, square: np.ndarray | None = None, core: np.ndarray | None = None) -> np.ndarray:
     """Hierarchical density clusters of points: -1 is noise (excess-of-mass selection)."""
     n = len(x)
     if n < 2 * least:
         return np.full(n, -1)
-    square = (x * x).sum(1)
-    dist = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * x @ x.T))
-    core = np.partition(dist, min(least - 1, n - 1), axis=1)[:, min(least - 1, n - 1)]
-    # minimum spanning tree of mutual reachability, grown from the first point
-    near, parent, done = np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=bool)
-    at, links = 0, []
-    for _ in range(n - 1):
-        done[at] = True
-        reach = np.maximum(np.maximum(dist[at], core), core[at])
-        closer = (reach < near) & ~done
-        near[closer], parent[closer] = reach[closer], at
-        at = int(np.argmin(np.where(done, np.inf, near)))
-        links.append((near[at], parent[at], at))
+    if square is None or core is None:
+        square = (x * x).sum(1)
+        core = _core_distances(x, square, (least,))[least]
+    links = _spanning_links(x, square, core)
     # single linkage, then condense: a split counts if both sides hold ``least`` points
     group = list(range(n))
 
@@ -129,7 +167,8 @@ def _density_labels(x: np.ndarray, least: int) -> np.ndarray:
             v = group[v]
         return v
 
-    points, cluster, birth, mass, kids = [[i] for i in range(n)], [None] * n, {}, {}, {}
+    # a cluster's points are those of its kids and its own
+    points, cluster, own, size, mass, kids = [[i] for i in range(n)], [None] * n, {}, {}, {}, {}
     count = 0
     for d, a, b in sorted(links):
         density = 1.0 / max(d, 1e-12)
@@ -139,35 +178,48 @@ def _density_labels(x: np.ndarray, least: int) -> np.ndarray:
         ca, cb = cluster[a], cluster[b]
         if ca is not None and cb is not None:
             for c in (ca, cb):
-                mass[c] += (0 - density) * len(birth[c])
+                mass[c] += (0 - density) * size[c]
             count += 1
-            new = count
-            kids[new], birth[new], mass[new] = [ca, cb], [*birth[ca], *birth[cb]], density * (len(birth[ca]) + len(birth[cb]))
-            cluster[a] = new
+            kids[count], own[count], size[count] = [ca, cb], [], size[ca] + size[cb]
+            mass[count] = density * size[count]
+            cluster[a] = count
         elif ca is not None:
-            birth[ca] += points[b]
+            own[ca] += points[b]
+            size[ca] += len(points[b])
             mass[ca] += density * len(points[b])
         elif len(points[a]) + len(points[b]) >= least:
             count += 1
-            birth[count] = [*points[a], *points[b]]
-            mass[count], kids[count] = density * len(birth[count]), []
+            own[count] = [*points[a], *points[b]]
+            size[count], kids[count] = len(own[count]), []
+            mass[count] = density * size[count]
             cluster[a] = count
         points[a] += points[b]
+        points[b] = []
         group[b] = a
     # best set of clusters below each node; the whole set of points is not one
     root = cluster[top(0)]
-
-    def best(c: int) -> tuple[float, list[int]]:
-        below = [best(k) for k in kids[c]]
-        total = sum(m for m, _ in below)
-        if c != root and mass[c] >= total:
-            return mass[c], [c]
-        return total, [x for _, chosen in below for x in chosen]
-
     labels = np.full(n, -1)
-    if root is not None:
-        for k, c in enumerate(sorted(best(root)[1], key=lambda c: min(birth[c]))):
-            labels[birth[c]] = k
+    if root is None:
+        return labels
+    best, whole = {}, {}
+    for c in range(1, count + 1):  # kids come before what they merged into
+        total = sum(best[k] for k in kids[c])
+        whole[c] = c != root and mass[c] >= total
+        best[c] = mass[c] if whole[c] else total
+    chosen, open_ = [], [root]
+    while open_:
+        c = open_.pop()
+        if whole[c]:
+            held, below = [], [c]
+            while below:
+                k = below.pop()
+                held += own[k]
+                below += kids[k]
+            chosen.append(held)
+        else:
+            open_ += kids[c]
+    for k, held in enumerate(sorted(chosen, key=min)):
+        labels[held] = k
     return labels
 
 
@@ -177,15 +229,17 @@ def density_positions(vectors: DataFrame, sizes: tuple[int, ...] = (5, 10, 15, 2
     ``vectors(case_name, id, ord, vector)``. Of the ``sizes`` the first that gives between
     ``few`` and ``many`` clusters is kept, else the one with most clusters up to ``many``;
     noise has label -1 and is dropped, as are cases without ``few`` clusters. A case is one
-    group of at most some thousand claims, as the method builds its distance matrix.
+    group: its memory grows with its claims, its time with their square.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")
         x = np.stack(group["vector"].to_list()).astype(np.float64)
+        square = (x * x).sum(1)
+        core = _core_distances(x, square, sizes)
         held, found, used = None, 0, 0
         for least in sizes:
-            labels = _density_labels(x, least)
+            labels = _density_labels(x, least, square, core[least])
             n = int(labels.max()) + 1
             if few <= n <= many:
                 held, found, used = labels, n, least

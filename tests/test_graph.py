@@ -183,6 +183,25 @@ def test_density_finds_blobs_and_rejects_noise(spark):
     assert D.density_positions(df.limit(4)).count() == 0
 
 
+def test_density_holds_no_matrix_and_follows_deep_trees():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    # pairs of points that join one after another: a tree as deep as there are pairs
+    line = np.cumsum(1.0 + np.arange(1500) * 1e-3)
+    x = np.zeros((3000, 8))
+    x[:, 0] = np.repeat(line, 2) + np.tile([0.0, 0.1], 1500)
+    x[:, 1:] = rng.normal(0, 1e-4, (3000, 7))
+    tracemalloc.start()
+    labels = D._density_labels(x, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (labels >= 0).all() and (labels[::2] == labels[1::2]).all()
+    assert peak < 64e6  # a matrix of all distances has 72 MB
+
+
 def test_scalars(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c.alias("x")).first().x
