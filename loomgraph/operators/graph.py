@@ -1,7 +1,8 @@
 """Closures, cruxes and settling over the claim graph.
 
 Frontiers advance for all roots or targets together: a round is one join against the
-edges and one anti join against what is known, whatever the number of roots.
+edges and one anti join against what is known, whatever the number of roots. Where only
+sums or counts over what is reached are asked for, a root is a bit and no pair is written.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import binary_entropy
 from loomgraph.functions.text import is_verdict
-from loomgraph.session import Scratch
+from loomgraph.session import Scratch, shuffled
 
 CASCADE = ("supports", "depends_on", "is_crux_for")
 UPSTREAM = ("supports", "depends_on")
@@ -70,12 +71,112 @@ def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
     frontier = known
     while live:
         further = frontier.join(back, "node").select(F.col("next").alias("node")).distinct()
-        frontier, live = scratch.keep(further.join(known, "node", "left_anti"))
+        frontier, live = scratch.keep(further.join(shuffled(known), "node", "left_anti"))
         if live:
             known, _ = scratch.keep(known.unionByName(frontier))
     return known
 
 
+#: Most groups of roots that each walk all edges, most roots of a walk in words of 64 bits, most words of its tables.
+WALKS = 64
+WALK_WORDS = 32
+WALK_TABLE = 8 << 20
+
+
+def _bits_set(rows: np.ndarray) -> np.ndarray:
+    """How many of the ``rows`` of 64-bit words have each bit; three rows at a time become their sum and carry."""
+    total, worth = np.zeros(rows.shape[1] * 64, dtype=np.int64), 0
+    while len(rows):
+        carried = []
+        while len(rows) > 24:
+            third = len(rows) // 3
+            a, b, c = rows[:third], rows[third : 2 * third], rows[2 * third : 3 * third]
+            odd, both = a ^ b, a & b
+            both |= odd & c
+            odd ^= c
+            carried.append(both)
+            rows = np.concatenate([odd, rows[3 * third :]])
+        bits = np.unpackbits(np.ascontiguousarray(rows, dtype="<u8").view(np.uint8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.int64) << worth
+        rows, worth = np.concatenate(carried) if carried else rows[:0], worth + 1
+    return total
+
+
+def _walk(roots: np.ndarray, source: np.ndarray, target: np.ndarray, degree: np.ndarray, decay: float, most: int) -> np.ndarray:
+    """For each root the sum of ``decay ** distance / degree`` over the nodes within ``most`` steps, itself left out.
+
+    ``source``, ``target`` and the target's ``degree`` of every edge, each edge once. A step
+    carries the bits of all roots of a slice over all edges.
+    """
+    ids, ends = np.unique(np.concatenate([source, target]), return_inverse=True)
+    a, b = ends[: len(source)], ends[len(source) :]
+    into, share = np.bincount(b, minlength=len(ids)), np.zeros(len(ids), dtype=np.int64)
+    share[b] = np.maximum(1, degree)
+    # nodes with most edges first, so that those with a k-th edge are the first ones; equal degrees side by side
+    order = np.lexsort((share, -into))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    a, b, into, share = place[a], place[b], into[order], share[order]
+    by = np.argsort(b, kind="stable")
+    nth = np.arange(len(b)) - np.repeat(np.cumsum(into) - into, into)
+    steps = [a[by][nth == k] for k in range(into.max(initial=0))]
+    entered = int(np.count_nonzero(into))
+    cuts = [0, *(np.flatnonzero(np.diff(share[:entered])) + 1).tolist(), entered]
+    at, out = place[np.searchsorted(ids, roots)], np.zeros(len(roots))
+    words = int(np.clip(min(WALK_TABLE // len(ids), -(-len(roots) // 64)), 1, WALK_WORDS))
+    for s in range(0, len(roots), 64 * words):
+        mine = at[s : s + 64 * words]
+        k = np.arange(len(mine))
+        seen = np.zeros((len(ids), words), dtype=np.uint64)
+        seen[mine, k // 64] = np.uint64(1) << (k % 64).astype(np.uint64)
+        fresh, total = seen.copy(), np.zeros(64 * words)
+        for depth in range(1, most + 1):
+            got = np.take(fresh, steps[0], axis=0)
+            for step in steps[1:]:
+                got[: len(step)] |= np.take(fresh, step, axis=0)
+            got &= ~seen[:entered]
+            live = got.any(axis=1)
+            if not live.any():
+                break
+            seen[:entered] |= got
+            fresh[:entered], fresh[entered:] = got, 0
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if live[lo:hi].any():
+                    total += decay**depth / share[lo] * _bits_set(got[lo:hi][live[lo:hi]])
+        out[s : s + len(mine)] = total[: len(mine)]
+    return out
+
+
+def downstream_gains(edges: DataFrame, roots: DataFrame, degrees: DataFrame, decay: float, most: int) -> DataFrame:
+    """``root, gain``: the sum of ``decay ** distance / in-degree`` over all nodes within ``most`` steps of a root.
+
+    ``edges(source, target)``, ``roots(root)`` of which each is a source, ``degrees(node, in_degree)``.
+    Roots are dealt to groups that each hold all edges; what a group holds beside them is
+    of a fixed size, and no pair of root and node leaves it.
+    """
+    scratch = Scratch(edges.sparkSession, "gains")
+    edges, _ = scratch.keep(edges.select("source", "target").distinct())
+    names = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    nodes, _ = scratch.keep(names.select("node", F.monotonically_increasing_id().alias("k")))
+    number = lambda end, k: shuffled(nodes.select(F.col("node").alias(end), F.col("k").alias(k)))
+    links = edges.join(number("source", "a"), "source").join(number("target", "b"), "target").join(shuffled(degrees.withColumnRenamed("node", "target")), "target", "left")
+    links, _ = scratch.keep(links.select("a", "b", F.coalesce("in_degree", F.lit(1)).alias("degree")))
+    starts, n = scratch.keep(roots.select("root").distinct().join(number("root", "k"), "root"))
+    groups = max(1, min(WALKS, n // (32 * WALK_WORDS)))
+    dealt = starts.select("k", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("g"))
+    copies = links.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def run(mine: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        k = mine["k"].to_numpy()
+        gain = _walk(k, every["a"].to_numpy(), every["b"].to_numpy(), every["degree"].to_numpy(), decay, most) if len(k) else np.zeros(0)
+        return pd.DataFrame({"k": k, "gain": gain})
+
+    # a number of partitions of its own: the groups are small tables and long work
+    sides = [side.repartition(groups, "g").groupBy("g") for side in (dealt, copies)]
+    gains, _ = scratch.keep(sides[0].cogroup(sides[1]).applyInPandas(run, "k bigint, gain double"))
+    return starts.join(shuffled(gains), "k").select("root", "gain")
+
+
 def crux_scores(claims: DataFrame, edges: DataFrame, targets: DataFrame, decay: float = 0.7, most: int = 20, floor: float = 0.001) -> DataFrame:
     """``claim_id, ord, uncertainty, influence, score`` of every active claim.
 
@@ -93,11 +194,9 @@ def crux_scores(claims: DataFrame, edges: DataFrame, targets: DataFrame, decay:
     eligible = uncertain.where((F.col("category") != "assessment") & (F.col("uncertainty") >= floor))
     eligible = eligible.join(goals, F.col("claim_id") == F.col("node"), "left_anti")
     # only edges into nodes that reach a target lead anywhere that counts
-    onward = cascade.select("source", "target").join(useful, F.col("target") == F.col("node"), "left_semi")
-    roots = eligible.select(F.col("claim_id").alias("root")).join(onward, F.col("root") == F.col("source"), "left_semi")
-    sent = reach(onward, roots, most).join(degree, "node", "left")
-    gain = F.pow(F.lit(decay), F.col("depth")) / F.greatest(F.lit(1), F.coalesce("in_degree", F.lit(1)))
-    influence = sent.groupBy("root").agg((F.sum(gain) / n).alias("influence"))
+    onward = cascade.select("source", "target").join(shuffled(useful), F.col("target") == F.col("node"), "left_semi")
+    roots = eligible.select(F.col("claim_id").alias("root")).join(shuffled(onward), F.col("root") == F.col("source"), "left_semi")
+    influence = downstream_gains(onward, roots, degree, decay, most).select("root", (F.col("gain") / n).alias("influence"))
     live = eligible.select(F.col("claim_id").alias("root")).withColumn("counts", F.lit(True))
     rows = uncertain.join(influence, F.col("claim_id") == F.col("root"), "left").drop("root").join(live, F.col("claim_id") == F.col("root"), "left")
     score = F.when(F.col("counts"), F.col("uncertainty") * F.coalesce("influence", F.lit(0.0))).otherwise(0.0)

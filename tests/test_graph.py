@@ -119,6 +119,39 @@ def test_parallel_edges_count_in_degree_but_are_walked_once(spark, claims, edges
     assert got.score == pytest.approx(0.35)
 
 
+def test_cruxes_equal_a_walk_from_each_claim(spark, claims, edges, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    names = [f"c{k:03d}" for k in range(220)]
+    kinds = ("supports", "depends_on", "is_crux_for")
+    links = list({(rng.choice(names), rng.choice(names), rng.choice(kinds[:2])) for _ in range(420)} | {(a, b, "supports") for a, b in zip(names, names[1:30], strict=False)})
+    links += [(names[3], "goal", "is_crux_for"), (names[29], "goal", "depends_on"), ("c001", "c001", "supports")]
+    onto, degree = {}, {}
+    for a, b, _ in links:
+        onto.setdefault(a, set()).add(b)
+        degree[b] = degree.get(b, 0) + 1
+    useful = {"goal"}
+    while more := {a for a, b, _ in links if b in useful} - useful:
+        useful |= more
+    want = {}
+    for root in names:
+        seen, front, gain = {root}, {root}, 0.0
+        for depth in range(1, 21):
+            front = {b for a in front for b in onto.get(a, ()) if b in useful} - seen
+            seen |= front
+            gain += sum(0.7**depth / degree[b] for b in front)
+        want[root] = round(gain, 6)
+    goal = spark.createDataFrame([("goal",)], "claim_id string")
+    nodes = claims([(n, 0.5) for n in [*names, "goal"]])
+    # neither pairs nor rounds of joins over all roots
+    monkeypatch.setattr(G, "reach", None)
+    for words in (32, 1):
+        monkeypatch.setattr(G, "WALK_WORDS", words)
+        got = {r.claim_id: r.score for r in G.crux_scores(nodes, edges(links), goal).collect()}
+        assert max(abs(got[n] - want[n]) for n in names) < 2e-6 and got["goal"] == 0
+
+
 def test_reach_ends_on_cycles(spark, edges, rows):
     links = edges([("a", "b", "supports"), ("b", "c", "supports"), ("c", "a", "supports")])
     starts = spark.createDataFrame([("a",)], "root string")
