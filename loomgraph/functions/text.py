@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,6 +145,71 @@ def quote_verified(quote: Column, text: Column, least: int = 10, share: float =
     return F.coalesce(long & (quote_contained(quote, text, least) | loose), F.lit(False))
 
 
+def _enough_in_order(words: list[str], places: dict[str, list[int]], least: float) -> bool:
+    """``words_in_order`` of a text by the places of its words, until too many are missing."""
+    at, left = 0, len(words)
+    for word in words:
+        held = places.get(word, ())
+        k = bisect_left(held, at)
+        if k < len(held):
+            at = held[k] + 1
+        else:
+            left -= 1
+            if left < least:
+                return False
+    return True
+
+
+def verified_among(quotes: Sequence[str], texts: Sequence[str], share: float = 0.8) -> list[bool]:
+    """Whether each quote is verified by any of the texts; all of them plain text, the quotes long enough.
+
+    The texts that hold a word are listed once. A text can verify a quote of n words only if it holds
+    ``share`` of them, or all but the first and the last, which may be parts of its words; only such texts are read.
+    """
+    split = [q.split(" ") for q in quotes]
+    wanted = {w for words in split for w in words}
+    where: dict[str, list[int]] = {}
+    for k, text in enumerate(texts):
+        for w in wanted.intersection(text.split(" ")):
+            where.setdefault(w, []).append(k)
+    # a word of many texts is a row of marks, one of few a list
+    common = [w for w, ks in where.items() if len(ks) * 16 > len(texts)]
+    row, marks = {w: r for r, w in enumerate(common)}, np.zeros((len(common), len(texts)), dtype=np.uint8)
+    for r, w in enumerate(common):
+        marks[r, where.pop(w)] = 1
+    rare = {w: np.array(ks) for w, ks in where.items()}
+    placed: list[dict[str, list[int]] | None] = [None] * len(texts)
+
+    def places(k: int) -> dict[str, list[int]]:
+        known = placed[k]
+        if known is None:
+            known = placed[k] = {}
+            for at, w in enumerate(texts[k].split(" ")):
+                if w in wanted:
+                    known.setdefault(w, []).append(at)
+        return known
+
+    out = []
+    for quote, words in zip(quotes, split, strict=True):
+        n = len(words)
+        least = min(share * n, n - 2)
+        rows = [row[w] for w in words if w in row]
+        lists = [rare[w] for w in words if w in rare]
+        if not texts or len(rows) + len(lists) < least:
+            out.append(False)
+            continue
+        held = marks[rows].sum(0, dtype=np.uint8 if n < 256 else np.int64)
+        for ks in lists:
+            held[ks] += 1
+        likely = np.flatnonzero(held >= least)
+        likely = likely[np.argsort(-held[likely].astype(np.int64), kind="stable")]
+        found = any(quote in texts[k] for k in likely)
+        if not found and n >= 3:
+            found = any(held[k] >= share * n and _enough_in_order(words, places(k), share * n) for k in likely)
+        out.append(found)
+    return out
+
+
 def source_kind(url: Column) -> Column:
     """Kind of a source by its address: local file, video, PDF or web page."""
     low = F.lower(F.trim(url))

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import text as T
 from loomgraph.operators.store import first_per_key
+from loomgraph.session import Scratch, shuffled
 
 
 _BLANK_LINE = re.compile(r"(?=\n\n)")
@@ -137,3 +139,34 @@ def read_pages(pages: DataFrame) -> DataFrame:
 def first_per_source(claims: DataFrame, most: int = 50) -> DataFrame:
     """At most ``most`` claims per source, in order of extraction."""
     return first_per_key(claims, "source_url", most, "ord")
+
+
+#: Most quotes, texts and characters of texts that one task compares at a time.
+QUOTES, TEXTS, CHARACTERS = 20_000, 1_000, 4_000_000
+
+
+def verified_quotes(quotes: DataFrame, texts: DataFrame, least: int = 10) -> DataFrame:
+    """``id`` of the quotes that ``quote_verified`` holds true for in any text of their key.
+
+    ``quotes(id, key, quote)``, ``texts(key, text)``. The quotes and the texts of a key are dealt to
+    blocks of a fixed size that meet each other; in a block a quote reads only texts that can verify it.
+    """
+    scratch = Scratch(quotes.sparkSession, "quotes")
+    want = quotes.where(F.length("quote") >= least).select("id", "key", T.plain_text(F.col("quote")).alias("quote"))
+    want, _ = scratch.keep(want.where("key is not null").distinct())
+    have = texts.select("key", T.plain_text(F.coalesce("text", F.lit(""))).alias("text")).join(shuffled(want.select("key").distinct()), "key", "left_semi")
+    have, _ = scratch.keep(have.distinct())
+    ceil = lambda c, most: F.ceil(c / most).cast("int")
+    slices = have.groupBy("key").agg(F.greatest(ceil(F.count(F.lit(1)), TEXTS), ceil(F.sum(F.length("text")), CHARACTERS)).alias("slices"))
+    blocks = want.groupBy("key").agg(ceil(F.count(F.lit(1)), QUOTES).alias("blocks"))
+    sizes, _ = scratch.keep(slices.join(blocks, "key"))
+    deal = lambda column, parts: F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    mine = want.join(sizes, "key").withColumn("block", deal("id", "blocks")).withColumn("slice", every("slices")).select("key", "block", "slice", "id", "quote")
+    theirs = have.join(sizes, "key").withColumn("slice", deal("text", "slices")).withColumn("block", every("blocks")).select("key", "block", "slice", "text")
+
+    def run(some: pd.DataFrame, among: pd.DataFrame) -> pd.DataFrame:
+        return some.loc[T.verified_among(some["quote"].to_list(), among["text"].to_list()), ["id"]]
+
+    sides = [side.groupBy("key", "block", "slice") for side in (mine, theirs)]
+    return sides[0].cogroup(sides[1]).applyInPandas(run, f"id {dict(quotes.dtypes)['id']}").distinct()

@@ -271,10 +271,12 @@ def quote_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = extractions_view(spark, folder).where("quote is not null").select("claim_id", "quote", "source_url", F.lower(F.trim("source_title")).alias("title"))
     pages = table(spark, folder, "fetch_results").select("url", F.lower(F.trim("title")).alias("title"), "text")
-    titled = pages.select("title", "text").union(table(spark, folder, "documents").select(F.lower(F.trim("title")), "text")).distinct()
-    by_url = rows.join(pages.select(F.col("url").alias("source_url"), "text").distinct(), "source_url").select("claim_id", "quote", "text")
-    by_title = rows.where("title <> ''").join(titled, "title").select("claim_id", "quote", "text")
-    found = by_url.union(by_title).where(T.quote_verified(F.col("quote"), F.col("text"))).select("claim_id").distinct()
+    titled = pages.select("title", "text").union(table(spark, folder, "documents").select(F.lower(F.trim("title")), "text"))
+    # an address and a title are never the same key
+    by_url, by_title = F.concat(F.lit("url "), "source_url"), F.concat(F.lit("title "), "title")
+    quotes = rows.select(F.col("claim_id").alias("id"), F.explode(F.array(by_url, F.when(F.col("title") != "", by_title))).alias("key"), "quote")
+    texts = pages.select(F.concat(F.lit("url "), "url").alias("key"), "text").union(titled.select(by_title, "text"))
+    found = DOC.verified_quotes(quotes, texts).withColumnRenamed("id", "claim_id")
     return rows.join(found.withColumn("found", F.lit(True)), "claim_id", "left").select("claim_id", F.coalesce("found", F.lit(False)).alias("verified"))
 
 

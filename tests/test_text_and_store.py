@@ -163,6 +163,32 @@ def test_quotes_are_checked_against_texts_of_their_source(spark, rows, tmp_path)
     assert rows(quote_fuzzy(spark, str(tmp_path))) == [("c1", True), ("c2", True), ("c3", False), ("c4", False)]
 
 
+def test_quotes_among_many_texts_equal_a_comparison_of_all(spark, rows, monkeypatch):
+    import random
+
+    from loomgraph.operators import documents as DOC
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(40)] + ["The", "a"]
+    texts = [(f"k{k % 3}", " ".join(rng.choice(words) for _ in range(60)) if k % 19 else None) for k in range(60)]
+    quotes = []
+    for k in range(150):
+        kept = (texts[rng.randrange(60)][1] or "").split(" ")
+        at = rng.randrange(40)
+        part = [w if rng.random() > (k % 4) / 8 else "other" for w in kept[at : at + rng.randrange(1, 16)]]
+        text = " ".join(part)
+        quotes.append((k, f"k{k % 4}", (text[1:-1] if k % 5 == 0 else text) + ("" if k % 7 else "  ")))
+    quotes += [(1000, "k0", " " * 12), (1001, "k0", None), (1002, None, "w1 w2 w3 w4")]
+    q = spark.createDataFrame(quotes, "id int, key string, quote string")
+    t = spark.createDataFrame(texts, "key string, text string")
+    want = rows(q.join(t, "key").where(T.quote_verified(F.col("quote"), F.col("text"))).select("id").distinct())
+    assert 20 < len(want) < 150
+    for most in ((20_000, 1_000, 4_000_000), (9, 4, 4_000_000), (50, 100, 500)):
+        for name, value in zip(("QUOTES", "TEXTS", "CHARACTERS"), most, strict=True):
+            monkeypatch.setattr(DOC, name, value)
+        assert rows(DOC.verified_quotes(q, t)) == want
+
+
 def test_state_keeps_a_confidence_that_later_patches_lack(spark, rows):
     from datetime import datetime
 
