@@ -132,6 +132,24 @@ def test_clusters_find_subjects(spark, rows):
     assert clusters.subject_clusters(df.limit(0), ordinary).count() == 0
 
 
+def test_every_pair_that_shares_terms_is_linked(spark, rows, monkeypatch):
+    rng = random.Random(3)
+    weight = {f"t{k}": w for k, w in enumerate([1.0, 1.0, 0.9, 0.8, 1.0, 0.333333, 1.0, 0.1])}
+    sets = [sorted(rng.sample(sorted(weight), rng.randint(1, 5))) for _ in range(40)]
+    df = spark.createDataFrame([(k, [(t, weight[t]) for t in terms]) for k, terms in enumerate(sets)], "v bigint, terms array<struct<term: string, w: double>>")
+    want = []
+    for b, late in enumerate(sets):
+        for a, early in enumerate(sets[:b]):
+            if both := set(late) & set(early):
+                want.append((a, b, round(min(1.0, (sum(weight[t] for t in both) / 2) ** 2), 6)))
+    assert any(w >= clusters.THRESHOLD for *_, w in want)
+    for block in (256, 3):
+        monkeypatch.setattr(clusters, "BLOCK", block)
+        got = rows(clusters.shared_links(df), "a", "b", "weight")
+        assert [g[:2] for g in got] == sorted((w[:2] for w in want), key=repr)
+        assert max(abs(g[2] - w[2]) for g, w in zip(got, sorted(want, key=repr), strict=True)) < 2e-6
+
+
 def test_a_term_of_another_subject_links_but_does_not_merge(spark, rows):
     first, second = (["kalodol", "mizerix", "tuloramer", "zekadol"], ["ralomer", "kamirix", "tuzedol", "lomiramer"])
     rng = random.Random(1)
