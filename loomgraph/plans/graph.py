@@ -471,19 +471,16 @@ _CRUX = f"""{_BOTH} {_CASCADE} {_TARGETS}
   from unc u left join infl i on i.root = u.claim_id left join elig e on e.claim_id = u.claim_id)"""
 
 
-def _crux(spark: SparkSession, folder: str) -> DataFrame:
-    claims, edges = graph_views(spark, folder)
-    return G.crux_scores(claims, edges, _targets(edges))
-
-
 @_query("crux_scores", f"{_CRUX} select * from crux")
 def crux_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _crux(spark, folder)
+    claims, edges = graph_views(spark, folder)
+    return G.crux_scores(claims, edges, _targets(edges))
 
 
 @_query("top_cruxes", f"{_CRUX} select claim_id, score from crux where score > 0 order by score desc, ord limit 10")
 def top_cruxes(spark: SparkSession, folder: str) -> DataFrame:
-    return G.top_cruxes(_crux(spark, folder), claims_view(spark, folder)).select("claim_id", "score")
+    claims, edges = graph_views(spark, folder)
+    return G.top_cruxes(G.crux_scores(claims, edges, _targets(edges)), claims).select("claim_id", "score")
 
 
 @_query(

@@ -152,6 +152,16 @@ def test_cruxes_equal_a_walk_from_each_claim(spark, claims, edges, monkeypatch):
         assert max(abs(got[n] - want[n]) for n in names) < 2e-6 and got["goal"] == 0
 
 
+def test_top_cruxes_fold_the_log_once(spark, monkeypatch):
+    from loomgraph.plans import graph as plans
+    from loomgraph.sources import claims as source
+
+    folds, fold = [], source.state_view
+    monkeypatch.setattr(source, "state_view", lambda *a: folds.append(a) or fold(*a))
+    assert plans.top_cruxes(spark, "/root/testdata/sf0.001").columns == ["claim_id", "score"]
+    assert len(folds) == 1
+
+
 def test_reach_ends_on_cycles(spark, edges, rows):
     links = edges([("a", "b", "supports"), ("b", "c", "supports"), ("c", "a", "supports")])
     starts = spark.createDataFrame([("a",)], "root string")
