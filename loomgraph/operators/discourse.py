@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.density import Neighbourhood
 from loomgraph.session import Scratch
 
 OPPOSING = ("contradicts", "frames_differently", "qualifies")
@@ -102,62 +103,12 @@ def opposing_position(positions: DataFrame, edges: DataFrame, least: int = 3) ->
     return free if n >= least else free.limit(0)
 
 
-#: Distances held at once while the nearest points are sought.
-BLOCK = 1 << 21
-
-
-def _core_distances(x: np.ndarray, square: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """For each of ``sizes`` every point's distance to its neighbour of that rank, itself the first."""
-    n = len(x)
-    ranks = {least: min(least - 1, n - 1) for least in sizes}
-    core = {least: np.empty(n) for least in sizes}
-    step = max(1, BLOCK // n)
-    for s in range(0, n, step):
-        dist = np.sqrt(np.maximum(0, square[s : s + step, None] + square[None, :] - 2 * x[s : s + step] @ x.T))
-        dist.partition(sorted(set(ranks.values())), axis=1)
-        for least, rank in ranks.items():
-            core[least][s : s + step] = dist[:, rank]
-    return core
-
-
-def _spanning_links(x: np.ndarray, square: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
-    """Minimum spanning tree of mutual reachability, grown from the first point.
-
-    A point's distances are made when it joins the tree, so only one row is held.
-    """
-    rest, away, far, bound = np.arange(len(x)), x, square, core.copy()
-    near, parent = np.full(len(x), np.inf), np.zeros(len(x), dtype=int)
-    at = gone = place = 0
-    links = []
-    for _ in range(len(x) - 1):
-        near[place] = bound[place] = np.inf  # joined
-        gone += 1
-        if gone > 16 and gone * 16 > len(rest):  # what has joined is not compared again
-            left = np.flatnonzero(np.isfinite(bound))
-            rest, near, parent, bound = rest[left], near[left], parent[left], bound[left]
-            away, far, gone = x[rest], square[rest], 0
-        reach = away @ x[at]
-        reach *= -2
-        reach += square[at] + far
-        np.sqrt(np.maximum(0, reach, out=reach), out=reach)
-        np.maximum(np.maximum(reach, bound, out=reach), core[at], out=reach)
-        closer = reach < near
-        near[closer], parent[closer] = reach[closer], at
-        place = int(np.argmin(near))
-        at = int(rest[place])
-        links.append((float(near[place]), int(parent[place]), at))
-    return links
-
-
-def _density_labels(x: np.ndarray, least: int, square: np.ndarray | None = None, core: np.ndarray | None = None) -> np.ndarray:
+def _density_labels(x: np.ndarray, least: int, near: Neighbourhood | None = None) -> np.ndarray:
     """Hierarchical density clusters of points: -1 is noise (excess-of-mass selection)."""
     n = len(x)
     if n < 2 * least:
         return np.full(n, -1)
-    if square is None or core is None:
-        square = (x * x).sum(1)
-        core = _core_distances(x, square, (least,))[least]
-    links = _spanning_links(x, square, core)
+    links = (near or Neighbourhood(x, least)).spanning_links(least)
     # single linkage, then condense: a split counts if both sides hold ``least`` points
     group = list(range(n))
 
@@ -229,17 +180,17 @@ def density_positions(vectors: DataFrame, sizes: tuple[int, ...] = (5, 10, 15, 2
     ``vectors(case_name, id, ord, vector)``. Of the ``sizes`` the first that gives between
     ``few`` and ``many`` clusters is kept, else the one with most clusters up to ``many``;
     noise has label -1 and is dropped, as are cases without ``few`` clusters. A case is one
-    group: its memory grows with its claims, its time with their square.
+    group: its memory grows with its claims, its time with their square, in two passes of
+    matrix products for all sizes together.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")
         x = np.stack(group["vector"].to_list()).astype(np.float64)
-        square = (x * x).sum(1)
-        core = _core_distances(x, square, sizes)
+        near = Neighbourhood(x, max(sizes)) if len(x) >= 2 * min(sizes) else None
         held, found, used = None, 0, 0
         for least in sizes:
-            labels = _density_labels(x, least, square, core[least])
+            labels = _density_labels(x, least, near)
             n = int(labels.max()) + 1
             if few <= n <= many:
                 held, found, used = labels, n, least

@@ -245,6 +245,45 @@ def test_density_holds_no_matrix_and_follows_deep_trees():
     assert peak < 64e6  # a matrix of all distances has 72 MB
 
 
+def test_density_trees_of_all_sizes_come_from_two_passes(monkeypatch):
+    import numpy as np
+
+    from loomgraph.operators import density
+
+    def dense_tree(x, least):
+        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        core = np.sort(gap, axis=1)[:, least - 1]
+        reach = np.maximum(gap, np.maximum(core[:, None], core[None]))
+        near, out, total = reach[0].copy(), np.zeros(len(x), dtype=bool), []
+        out[0] = True
+        for _ in range(len(x) - 1):
+            at = int(np.argmin(np.where(out, np.inf, near)))
+            total.append(near[at])
+            out[at] = True
+            near = np.minimum(near, reach[at])
+        return np.sort(total)
+
+    monkeypatch.setattr(density, "TILE", 64)
+    monkeypatch.setattr(density, "HELD", 1 << 12)
+    rng, made = np.random.default_rng(2), []
+    plain = density._Tiles.between
+    monkeypatch.setattr(density._Tiles, "between", lambda self, a, b: made.append((d := plain(self, a, b)).size) or d)
+    spread = np.concatenate([rng.normal(size=(1, 16)) * 4 + rng.normal(size=(m, 16)) * s for m, s in ((500, 0.1), (400, 1), (150, 3))])
+    apart = np.concatenate([rng.normal(size=(1, 16)) * 400 + rng.normal(size=(260, 16)) for _ in range(4)])
+    tight = np.concatenate([rng.normal(size=(1, 16)) * 3 + rng.normal(size=(500, 16)) * 1e-4 for _ in range(2)])
+    equal = np.repeat(rng.normal(size=(20, 16)), 50, axis=0)[rng.permutation(1000)]
+    uneven = np.concatenate([rng.normal(size=(990, 16)), rng.normal(size=(10, 16)) * 1e6])
+    for x in (spread, apart, tight, equal, uneven, rng.integers(0, 9, (1000, 3)).astype(float)):
+        made.clear()
+        near = density.Neighbourhood(x, 20)
+        assert sum(made) < 1.3 * len(x) ** 2  # half the pairs twice, and the tiles on the diagonal
+        assert len(near.pairs[0]) < 40 * len(x)
+        for least in (5, 10, 15, 20):
+            links = near.spanning_links(least)
+            assert {p for _, *ends in links for p in ends} == set(range(len(x)))
+            assert np.sort([w for w, _, _ in links]) == pytest.approx(dense_tree(x, least), rel=1e-9, abs=1e-9)
+
+
 def test_scalars(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c.alias("x")).first().x
