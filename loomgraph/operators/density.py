@@ -31,7 +31,8 @@ class _Tiles:
         one = np.ones(len(x))
         self.left = np.column_stack([x, low, one]).astype(kind)
         self.right = np.column_stack([-2 * x, one, low]).astype(kind)
-        self.ends = np.linspace(0, len(x), -(-len(x) // TILE) + 1).astype(np.int64)
+        # whole tiles but for the last, which is from half a tile to one and a half
+        self.ends = np.append(np.arange(max(1, (len(x) + TILE // 2) // TILE)) * TILE, len(x))
         self.count = len(self.ends) - 1
         self.x, self.tight = x, np.zeros(self.count, dtype=bool)
         if kind is np.float32:
@@ -51,6 +52,16 @@ class _Tiles:
         return self.left[self.run(a)] @ self.right[self.run(b)].T
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of what is set, eight looked at together."""
+    flat = mask.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    word = np.flatnonzero(flat.view(np.uint64))
+    w, k = np.nonzero(flat.reshape(-1, 8)[word])
+    return word[w] * 8 + k
+
+
 def _distances(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty(len(a))
     for s in range(0, len(a), 1 << 14):
@@ -105,12 +116,18 @@ def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         near[some], dist[some] = b[take].reshape(-1, k), d[take].reshape(-1, k)
         bound[some] = dist[some].max(1)
 
-    total = 0
+    total, (one, two) = 0, np.empty((2, TILE * TILE), dtype=bool)
     for gap in range(1, tiles.count):
         for s in range(tiles.count - gap):
             rows, cols = tiles.run(s), tiles.run(s + gap)
             d = tiles.between(s, s + gap)
-            at = np.flatnonzero((d < bound[rows, None]) | (d < bound[None, cols]))
+            if d.size == len(one):
+                mask, other = one.reshape(d.shape), two.reshape(d.shape)
+                np.less(d, bound[rows, None], out=mask)
+                np.logical_or(mask, np.less(d, bound[None, cols], out=other), out=mask)
+            else:
+                mask = (d < bound[rows, None]) | (d < bound[None, cols])
+            at = _places(mask)
             if not len(at):
                 continue
             a, b = np.divmod(at, d.shape[1])
@@ -227,16 +244,21 @@ def _join_parts(x: np.ndarray, core: np.ndarray, part: np.ndarray) -> tuple[np.n
     return found[:, 0], found[:, 1]
 
 
-def near_pairs(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(x: np.ndarray, copies: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``a, b, distance`` of every pair that a least tree of mutual reachability can hold for sizes up to ``most``.
 
-    With smaller sizes links and what bounds them are smaller, so those of ``most`` are enough; the ``most - 1``
-    nearest of every point are among the pairs.
+    A point counts as often as it has ``copies``. With smaller sizes links and what bounds them are smaller, so those
+    of ``most`` are enough; the ``most - 1`` nearest of every point are among the pairs.
     """
     n = len(x)
     k = min(most, n - 1)
+    if not k:
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), np.empty(0)
     points, dist = _nearest(x, k)
-    core = np.sort(dist, axis=1)[:, min(most - 1, k) - 1]
+    by = np.argsort(dist, axis=1)
+    within = copies[:, None] + np.cumsum(copies[np.take_along_axis(points, by, 1)], axis=1)
+    at = np.minimum((within < most).sum(1), k - 1)
+    core = np.where(copies >= most, 0.0, np.take_along_axis(dist, by, 1)[np.arange(n), at])
     a, b, d = np.repeat(np.arange(n), k), points.ravel().astype(np.int64), dist.ravel()
     while True:
         w = np.maximum(d, np.maximum(core[a], core[b]))
@@ -255,7 +277,7 @@ def near_pairs(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
             rows, cols = tiles.run(s), tiles.run(t)
             reach = bounds.places(np.array([rows.start]), np.array([cols.stop - 1]))[0] if cols.stop - rows.start > 1 else 0.0
             d = tiles.between(s, t)
-            at = np.flatnonzero(d <= d.dtype.type(reach * reach * (1 + 1e-6)))
+            at = _places(d <= d.dtype.type(reach * reach * (1 + 1e-6)))
             i, j = np.divmod(at, d.shape[1])
             i, j, d = i + rows.start, j + cols.start, d.ravel()[at]
             if s == t:
@@ -277,31 +299,37 @@ class Neighbourhood:
     def __init__(self, x: np.ndarray, most: int):
         x = np.ascontiguousarray(x) + 0.0
         self.n, self.most = len(x), most
-        # of equal points as many as the sizes count are enough; the others hang on the first
-        same = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+        # equal points have equal core distances, so all but the first hang on it at theirs
+        rows = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+        same = np.unique(rows, return_inverse=True)[1].ravel()
         by = np.argsort(same, kind="stable")
         start = np.flatnonzero(np.diff(same[by], prepend=-1))
         count = np.diff(np.append(start, self.n))
-        rank = np.arange(self.n) - np.repeat(start, count)
-        more = rank >= max(most, 2)
-        self.copies = list(zip(by[np.repeat(start, count)[more]].tolist(), by[more].tolist(), strict=True))
-        self.kept = np.sort(by[~more])
-        self.pairs = near_pairs(x[self.kept], most)
+        head = np.repeat(by[start], count)
+        self.copies = by[head != by], head[head != by]
+        kept = np.argsort(by[start])
+        self.kept, self.count = by[start][kept], count[kept]
+        self.pairs = a, b, d = near_pairs(x[self.kept], self.count, most)
+        p, q, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        by = np.lexsort((d, p))
+        self.first, self.ranked = np.searchsorted(p[by], np.arange(len(self.kept) + 1)), d[by]
+        self.within = np.cumsum(self.count[q[by]])
 
     def core_distances(self, least: int) -> np.ndarray:
         """Every kept point's distance to its neighbour of rank ``least``, itself the first."""
-        n, (a, b, d) = len(self.kept), self.pairs
-        rank = min(least, n) - 1
-        if rank < 1:
-            return np.zeros(n)
-        p, d = np.concatenate([a, b]), np.concatenate([d, d])
-        by = np.lexsort((d, p))
-        return d[by][np.searchsorted(p[by], np.arange(n)) + rank - 1]
+        core, need = np.zeros(len(self.kept)), min(least, self.n) - self.count
+        on = np.flatnonzero(need > 0)
+        before = np.append(0, self.within)[self.first[on]]
+        core[on] = self.ranked[np.searchsorted(self.within, before + need[on])]
+        return core
 
     def spanning_links(self, least: int) -> list[tuple[float, int, int]]:
         """Minimum spanning tree of mutual reachability for a size, as ``distance, point, point``."""
-        links, name = _grown_tree(len(self.kept), *self.pairs, self.core_distances(least)), self.kept.tolist()
-        return [(w, name[p], name[q]) for w, p, q in links] + [(0.0, p, q) for p, q in self.copies]
+        core, name = self.core_distances(least), self.kept.tolist()
+        links = [(w, name[p], name[q]) for w, p, q in _grown_tree(len(name), *self.pairs, core)]
+        copy, head = self.copies
+        away = core[np.searchsorted(self.kept, head)]
+        return links + list(zip(away.tolist(), head.tolist(), copy.tolist(), strict=True))
 
 
 def _grown_tree(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
