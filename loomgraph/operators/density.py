@@ -28,9 +28,10 @@ class _Tiles:
         # far greater lengths would leave nothing of the others in single precision
         kind = np.float32 if 1e-24 < np.median(square) and square.max() < min(1e24, 1e4 * np.median(square)) else np.float64
         low = square * (1 - ERROR[kind] * max(1, x.shape[1] / 64))
-        one = np.ones(len(x))
-        self.left = np.column_stack([x, low, one]).astype(kind)
-        self.right = np.column_stack([-2 * x, one, low]).astype(kind)
+        self.left, self.right = np.ones((2, len(x), x.shape[1] + 2), dtype=kind)
+        self.left[:, :-2], self.left[:, -2] = x, low
+        self.right[:, :-2], self.right[:, -1] = x, low
+        self.right[:, :-2] *= -2
         # whole tiles but for the last, which is from half a tile to one and a half
         self.ends = np.append(np.arange(max(1, (len(x) + TILE // 2) // TILE)) * TILE, len(x))
         self.count = len(self.ends) - 1
@@ -38,7 +39,9 @@ class _Tiles:
         if kind is np.float32:
             for k in range(self.count):  # runs of points that single precision hardly tells apart
                 doubt = 8 * ERROR[kind] * np.median(square[self.run(k)])
-                self.tight[k] = np.count_nonzero(self.between(k, k) < doubt) * 16 > (self.ends[k + 1] - self.ends[k]) ** 2
+                self.tight[k] = np.count_nonzero(self.left[self.run(k)] @ self.right[self.run(k)].T < doubt) * 16 > (self.ends[k + 1] - self.ends[k]) ** 2
+        if not self.tight.any():
+            del self.x
 
     def run(self, k: int) -> slice:
         return slice(self.ends[k], self.ends[k + 1])
@@ -309,7 +312,7 @@ class Neighbourhood:
         self.copies = by[head != by], head[head != by]
         kept = np.argsort(by[start])
         self.kept, self.count = by[start][kept], count[kept]
-        self.pairs = a, b, d = near_pairs(x[self.kept], self.count, most)
+        self.pairs = a, b, d = near_pairs(x if len(self.kept) == self.n else x[self.kept], self.count, most)
         p, q, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
         by = np.lexsort((d, p))
         self.first, self.ranked = np.searchsorted(p[by], np.arange(len(self.kept) + 1)), d[by]
